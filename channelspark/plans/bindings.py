@@ -194,7 +194,7 @@ VIEWS: dict[str, str] = {
     "fx_cfr": """SELECT vec_id, label, vec_id // 20 AS tx, vec_id // 4 % 5 AS rx, vec_id % 4 AS rx_ant, k,
   CAST(embedding[2 * k + 1] AS DOUBLE) AS re, CAST(embedding[2 * k + 2] AS DOUBLE) AS im
   FROM embeddings, (SELECT UNNEST(RANGE(32)) AS k) ks""",
-    "fx_est": """SELECT a.vec_id, a.tx, a.rx, a.rx_ant, a.k, a.re, a.im, a.re + 0.1::DOUBLE * b.re AS ere,
+    "fx_est": """SELECT a.vec_id, a.label, a.tx, a.rx, a.rx_ant, a.k, a.re, a.im, a.re + 0.1::DOUBLE * b.re AS ere,
   a.im + 0.1::DOUBLE * b.im AS eim FROM fx_cfr a JOIN fx_cfr b ON b.vec_id = a.vec_id + 1 AND b.k = a.k""",
 }
 _DEPENDS = {"fx_est": ("fx_cfr",)}
