@@ -29,20 +29,3 @@ def position_key(value: Column, decimals: int = 3) -> Column:
 def inside_rect(x: Column, y: Column, xmin, xmax, ymin, ymax) -> Column:
     """Inclusive rectangle."""
     return x.between(xmin, xmax) & y.between(ymin, ymax)
-
-
-def rotation_matrix(alpha: Column, beta: Column, gamma: Column) -> list[list[Column]]:
-    """Rz(alpha) * Ry(beta) * Rx(gamma), composed from the three axis rotations."""
-    zero, one = F.lit(0.0), F.lit(1.0)
-    rz = [[F.cos(alpha), -F.sin(alpha), zero], [F.sin(alpha), F.cos(alpha), zero], [zero, zero, one]]
-    ry = [[F.cos(beta), zero, F.sin(beta)], [zero, one, zero], [-F.sin(beta), zero, F.cos(beta)]]
-    rx = [[one, zero, zero], [zero, F.cos(gamma), -F.sin(gamma)], [zero, F.sin(gamma), F.cos(gamma)]]
-
-    def matmul(left, right):
-        return [
-            [sum((left[i][k] * right[k][j] for k in range(1, 3)), left[i][0] * right[0][j])
-             for j in range(3)]
-            for i in range(3)
-        ]
-
-    return matmul(matmul(rz, ry), rx)
