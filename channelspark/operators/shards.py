@@ -30,3 +30,97 @@ def shard_table(assigned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("ue_count"),
         F.min("ue").alias("first_ue"),
     )
+
+
+def with_offsets(shards: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Append offset of each shard: users in the shards before it (one row per shard file)."""
+    before = W.partitionBy(*keys).orderBy("shard_index").rowsBetween(W.unboundedPreceding, -1)
+    return shards.withColumn("offset", F.coalesce(F.sum("ue_count").over(before), F.lit(0)))
+
+
+def contiguity_violations(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fragments that do not start where the previous index ended (the first one at 0).
+
+    Neighbours meet in an equi-join on the index, so a run with very many fragments stays spread.
+    """
+    previous = fragments.select(
+        *keys, (F.col("shard_index") + 1).alias("shard_index"),
+        (F.col("offset") + F.col("ue_count")).alias("expected"),
+    )
+    joined = fragments.join(previous, [*keys, "shard_index"], "left").withColumn(
+        "expected", F.coalesce("expected", F.when(F.col("shard_index") == 0, F.lit(0)))
+    )
+    bad = F.col("expected").isNull() | (F.col("offset") != F.col("expected"))
+    return joined.where(bad).select(*keys, "shard_index", "offset", "expected")
+
+
+def coverage_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Expected users (per key ``first`` .. ``last``) that were never observed."""
+    wanted = expected.select(
+        *keys, F.explode(F.sequence(F.col("first"), F.col("last"))).alias("ue")
+    )
+    return wanted.join(observed, [*keys, "ue"], "left_anti")
+
+
+def training_batches(fragments: DataFrame, run: str, max_fragments: int | None, max_ue: int | None
+                     ) -> DataFrame:
+    """Greedy consecutive batches; a new one starts when either cap would be exceeded.
+
+    With the fragment cap alone this is arithmetic on the fragment rank. The user cap makes it
+    sequential, so each run is walked in one task over three narrow columns: a row stands for a
+    whole shard file, and 100 TB in 128 MB files are under a million rows.
+    """
+    if max_fragments is not None and max_fragments < 1:
+        max_fragments = None
+    if max_ue is not None and max_ue < 1:
+        max_ue = None
+    if max_ue is None:
+        ranked = with_rank(fragments, [run], "fragment", "_rank")
+        size = F.lit(max_fragments or 2**62)
+        return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
+
+    def walk(run_rows):
+        import numpy as np
+
+        rows = run_rows.sort_values("fragment")
+        batch, held, users = 0, 0, 0
+        numbers = np.empty(len(rows), dtype="int64")
+        for at, ue in enumerate(rows["ue_count"].to_numpy()):
+            full = max_fragments is not None and held >= max_fragments
+            if held and (full or users + ue > max_ue):
+                batch, held, users = batch + 1, 0, 0
+            held, users = held + 1, users + ue
+            numbers[at] = batch
+        return rows[[run, "fragment"]].assign(batch=numbers)
+
+    narrow = fragments.select(run, "fragment", "ue_count")
+    types = dict(narrow.dtypes)
+    placed = narrow.groupBy(run).applyInPandas(
+        walk, f"{run} {types[run]}, fragment {types['fragment']}, batch bigint"
+    )
+    return fragments.join(placed, [run, "fragment"])
+
+
+def concat_batches(rows: DataFrame, keys: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """Totals per batch and whether the shared values are identical over its fragments."""
+    same = [(F.min(s).eqNullSafe(F.max(s))).alias(f"{s}_same") for s in shared]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fragments"), F.sum("ue_count").alias("ue_count"), *same
+    )
+
+
+def union_shards(parts: Sequence[DataFrame], key: str, station: str) -> DataFrame:
+    """Concatenate shard tables; differing station lists are an error raised by the result."""
+    merged = parts[0].withColumn("shard", F.lit(0))
+    for number, part in enumerate(parts[1:], start=1):
+        merged = merged.unionByName(part.withColumn("shard", F.lit(number)))
+    per_station = merged.groupBy(station).agg(F.count_distinct("shard").alias("n"))
+    odd = per_station.where(F.col("n") != len(parts)).agg(F.count(F.lit(1))).scalar()
+    check = F.when(odd > 0, F.raise_error(F.lit("shards have different station lists"))
+                   .cast("boolean")).otherwise(F.lit(True))
+    return merged.where(check)
+
+
+def unique_in_order(rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """Distinct keys with the position of their first occurrence."""
+    return rows.groupBy(*keys).agg(F.min(position).alias(position))

@@ -36,4 +36,4 @@ def r(value: Column, digits: int = 6) -> Column:
 
 def sr(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`r`; adding 0.0 folds -0.0 into 0.0."""
-    return f"(ROUND({expr}, {digits}) + 0.0)"
+    return f"(ROUND(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
