@@ -29,40 +29,45 @@ def shard_durations(shards: DataFrame) -> DataFrame:
     )
 
 
-HW_METRICS = ("rss_mb", "gpu_mem_mb", "gpu_util", "threads")
+HW_METRICS = ("rss_mb", "cpu_percent", "thread_count", "gpu_mem_used_mb", "gpu_util_percent")
+HW_PEAKS = ("peak_rss_mb", "max_thread_count", "max_cpu_percent", "peak_gpu_mem_used_mb",
+            "max_gpu_util_percent")
 
 
 def hardware_summary(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Peaks and means of text metrics; unparsable readings are missing."""
+    """Sample counts, peaks and mean utilisation of text metrics; unparsable readings are missing."""
     rows = samples.select(
-        *keys, *[F.expr(f"try_cast({m} AS DOUBLE)").alias(m) for m in HW_METRICS]
+        *keys, "gpu_index", *[F.expr(f"try_cast({m} AS DOUBLE)").alias(m) for m in HW_METRICS]
     )
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.max("rss_mb").alias("peak_rss_mb"),
-        F.max("gpu_mem_mb").alias("peak_gpu_mem_mb"), F.max("threads").alias("max_threads"),
-        F.max("gpu_util").alias("max_gpu_util"), F.avg("gpu_util").alias("mean_gpu_util"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.count_if(F.trim("gpu_index") != "").alias("gpu_sample_count"),
+        F.max("rss_mb").alias("peak_rss_mb"), F.max("thread_count").alias("max_thread_count"),
+        F.max("cpu_percent").alias("max_cpu_percent"),
+        F.max("gpu_mem_used_mb").alias("peak_gpu_mem_used_mb"),
+        F.max("gpu_util_percent").alias("max_gpu_util_percent"),
+        F.avg("gpu_util_percent").alias("mean_gpu_util_percent"),
     )
 
 
 def merge_hardware(per_part: DataFrame) -> DataFrame:
-    """Merge summaries: sum of samples, max of peaks, mean of means."""
+    """Merge summaries: sum of counts, max of peaks, mean of means."""
     return per_part.agg(
-        F.sum("samples").alias("samples"), F.max("peak_rss_mb").alias("peak_rss_mb"),
-        F.max("peak_gpu_mem_mb").alias("peak_gpu_mem_mb"), F.max("max_threads").alias("max_threads"),
-        F.max("max_gpu_util").alias("max_gpu_util"), F.avg("mean_gpu_util").alias("mean_gpu_util"),
+        F.sum("sample_count").alias("sample_count"),
+        F.sum("gpu_sample_count").alias("gpu_sample_count"),
+        *[F.max(p).alias(p) for p in HW_PEAKS],
+        F.avg("mean_gpu_util_percent").alias("mean_gpu_util_percent"),
     )
 
 
 def write_summary(writes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Dataset count, bytes and compression ratios; unknown (negative) storage sizes are left out."""
-    known = F.when(F.col("storage_bytes") >= 0, F.col("storage_bytes"))
-    raw_known = F.when(F.col("storage_bytes") >= 0, F.col("raw_bytes"))
+    """Dataset count, bytes and ratios; writes of unknown stored size count as raw bytes only."""
+    stored = F.sum(F.when(F.col("storage_bytes") > 0, F.col("storage_bytes")))
+    raw = F.sum(F.coalesce("raw_bytes", F.lit(0)))
     return writes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("datasets"), F.sum("raw_bytes").alias("raw_bytes"),
-        F.coalesce(F.sum(known), F.lit(0)).alias("storage_bytes"),
-        F.try_divide(F.sum("raw_bytes"), F.sum(known)).alias("raw_ratio"),
-        F.try_divide(F.sum(raw_known), F.sum(known)).alias("known_ratio"),
-        F.sum("duration_s").alias("duration_s"),
+        F.count(F.lit(1)).alias("dataset_count"), raw.alias("total_raw_bytes"),
+        stored.alias("total_storage_bytes"), F.try_divide(stored, raw).alias("storage_to_raw_ratio"),
+        F.try_divide(raw, stored).alias("raw_to_storage_ratio"),
     )
 
 
@@ -124,18 +129,18 @@ def merge_status_latest(log: DataFrame) -> DataFrame:
     return log.groupBy("entity").agg(latest.alias("m")).select("entity", "m.ts", "m.seq", "m.status")
 
 
+def fallback_attempts(attempts: DataFrame) -> DataFrame:
+    """Attempts that ended in a split, one row each with their shard id."""
+    return attempts.where(F.col("status") == "split")
+
+
 def fallback_summary(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Split attempts per run and reason; the ids stay in rows of :func:`fallback_attempts`."""
+    """Splits per run and reason; the ids stay rows of :func:`fallback_attempts`."""
     return fallback_attempts(attempts).groupBy(*keys, "reason").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_distinct("shard_id").alias("shards"),
-        F.max("fallback_level").alias("max_level"),
+        F.count(F.lit(1)).alias("split_count"), F.count_distinct("shard_id").alias("shards"),
     )
 
 
-def fallback_attempts(attempts: DataFrame) -> DataFrame:
-    return attempts.where(F.col("fallback_level") > 0)
-
-
 def run_summary(planned: DataFrame, produced: DataFrame, attempts: DataFrame, perf: DataFrame
                 ) -> DataFrame:
     """Planned and produced shards, produced order bounds, fallbacks and stage time per run."""
