@@ -7,7 +7,6 @@ from math import ceil
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 PRB_SUBCARRIERS = 12
 
@@ -21,19 +20,6 @@ def frequency_grid(center_hz: Column, bandwidth_hz: Column, count: Column) -> Co
     )
 
 
-@udtf(returnType="k int, f_hz double")
-class FrequencyGrid:
-    """SQL table function: ``SELECT * FROM frequency_grid(3.5e9, 20e6, 64)``."""
-
-    def eval(self, center_hz: float, bandwidth_hz: float, count: int):
-        for k in range(count):
-            yield k, center_hz + (k - (count - 1) / 2) * bandwidth_hz / count
-
-
-def register_table_functions(spark) -> None:
-    spark.udtf.register("frequency_grid", FrequencyGrid)
-
-
 def timestamps(count: Column, rate_hz: Column) -> Column:
     """Snapshot times: id / rate."""
     return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: i / rate_hz)

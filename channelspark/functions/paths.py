@@ -13,6 +13,11 @@ def path_depth(interactions: Column) -> Column:
     return F.size(F.filter(interactions, lambda code: code != 0))
 
 
+def is_los(interactions: Column) -> Column:
+    """No interaction at all; cheaper than comparing :func:`path_type`."""
+    return ~F.exists(interactions, lambda code: code != 0)
+
+
 def path_type(interactions: Column) -> Column:
     """los without interactions, mixed for several kinds, else the one kind's name."""
     kinds = F.array_distinct(F.filter(interactions, lambda code: code != 0))

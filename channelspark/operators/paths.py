@@ -30,15 +30,15 @@ def link_path_labels(paths: DataFrame, source: str = "aoa") -> DataFrame:
     One map-side combined aggregate; ties take the lowest (rx_ant, tx_ant, path).
     """
     azimuth, zenith = receiver_angles(source)
-    picked = F.struct(F.col("tau_s"), azimuth.alias("az"), zenith.alias("ze"))
-    by_delay = F.struct("tau_s", "rx_ant", "tx_ant", "path")
-    p2 = C.abs2(F.col("a_re"), F.col("a_im"))
-    by_power = F.struct((-p2).alias("p"), F.col("rx_ant"), F.col("tx_ant"), F.col("path"))
-    los = P.path_type(F.col("interactions")) == "los"
+    value = [F.col("tau_s"), azimuth.alias("az"), zenith.alias("ze")]
+    place = [F.col(c) for c in ("rx_ant", "tx_ant", "path")]
+    power = -C.abs2(F.col("a_re"), F.col("a_im"))
+    by_delay = F.struct(F.col("tau_s").alias("key"), *place, *value)
+    by_power = F.struct(power.alias("key"), *place, *value)
     picks = paths.groupBy("tx", "rx").agg(
-        F.min_by(picked, by_delay).alias("first"),
-        F.min_by(picked, by_power).alias("strongest"),
-        F.min_by(F.when(los, picked), F.when(los, by_delay)).alias("los"),
+        F.min(by_delay).alias("first"),
+        F.min(by_power).alias("strongest"),
+        F.min(F.when(P.is_los(F.col("interactions")), by_delay)).alias("los"),
     )
     return picks.select(
         "tx", "rx",
@@ -73,7 +73,7 @@ def delay_labels_from_cir(cir: DataFrame) -> DataFrame:
 
 def link_summary(paths: DataFrame, n_rx_ant: int, n_tx_ant: int) -> DataFrame:
     """Distinct paths, path kinds and power averaged over all antenna pairs, empty ones too."""
-    los = P.path_type(F.col("interactions")) == "los"
+    los = P.is_los(F.col("interactions"))
     power = F.sum(C.abs2(F.col("a_re"), F.col("a_im"))) / (n_rx_ant * n_tx_ant)
     return paths.groupBy("tx", "rx").agg(
         F.count_distinct("path").alias("path_count"),
@@ -84,11 +84,16 @@ def link_summary(paths: DataFrame, n_rx_ant: int, n_tx_ant: int) -> DataFrame:
 
 
 def serving_rx(links: DataFrame, policy: str = "strongest_path") -> DataFrame:
-    """Serving receiver per transmitter with its path power."""
+    """Serving receiver per transmitter with its path power; the lowest rx wins a tie.
+
+    Powers are compared at 1e-9 dB: sums that differ only by the order of addition are ties, so a
+    retried task cannot change the choice.
+    """
     if policy not in ("strongest_path", "first_rx"):
         raise ValueError("policy must be strongest_path or first_rx")
     strongest = policy == "strongest_path"
-    order = F.struct((-F.col("power_db")).alias("p"), F.col("rx")) if strongest else F.col("rx")
+    level = F.round("power_db", 9)
+    order = F.struct((-level).alias("p"), F.col("rx")) if strongest else F.col("rx")
     pick = F.min_by(F.struct("rx", "power_db"), order)
     return links.groupBy("tx").agg(pick.alias("s")).select(
         "tx", F.col("s.rx").alias("serving_rx"), F.col("s.power_db").alias("serving_power_db")
@@ -132,7 +137,7 @@ def uplink_power_control(
 def nlos_paths(paths: DataFrame) -> DataFrame:
     """Valid paths that are not line of sight, with power in dB."""
     return (
-        paths.where(P.path_type(F.col("interactions")) != "los")
+        paths.where(~P.is_los(F.col("interactions")))
         .withColumn("power_db", PW.db(C.abs2(F.col("a_re"), F.col("a_im"))))
     )
 
@@ -146,18 +151,33 @@ def first_paths(paths: DataFrame, n: int) -> DataFrame:
     )
 
 
-def cir_to_cfr(paths: DataFrame, grid_hz: Column) -> DataFrame:
+def cir_to_cfr(paths: DataFrame, grid_hz: Column, hot_pair_paths: int = 1_000_000) -> DataFrame:
     """H(f) = sum of a*exp(-j*2*pi*f*tau) per antenna pair.
 
     ``grid_hz`` is an array expression such as :func:`functions.grid.frequency_grid`, so every
-    path row carries its own grid and nothing is joined; sums are combined before the shuffle.
+    path row carries its own grid and nothing is joined. A pair usually has far fewer paths than
+    subcarriers, so the compact path rows are shuffled by pair and unnested afterwards. One count
+    when the query is built finds pairs with very many paths; those are summed in salted parts.
     """
     phase = -2 * F.pi() * F.col("f_hz") * F.col("tau_s")
     re, im = C.rotate(F.col("a_re"), F.col("a_im"), phase)
-    return (
-        paths.select(*PAIR, "a_re", "a_im", "tau_s", F.posexplode(grid_hz).alias("k", "f_hz"))
-        .groupBy(*PAIR, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-    )
+    sums = [F.sum(re).alias("re"), F.sum(im).alias("im")]
+    rows = paths.select(*PAIR, "path", "a_re", "a_im", "tau_s")
+
+    def summed(part: DataFrame, keys: list[str]) -> DataFrame:
+        placed = part.select(*keys, "a_re", "a_im", "tau_s").repartition(*keys)
+        unnested = placed.select(
+            *keys, "a_re", "a_im", "tau_s", F.posexplode(grid_hz).alias("k", "f_hz")
+        )
+        return unnested.groupBy(*keys, "k").agg(*sums)
+
+    hot = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_pair_paths)
+    if hot.isEmpty():
+        return summed(rows, PAIR)
+    salt = F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / hot_pair_paths))
+    parts = summed(rows.join(hot, PAIR).withColumn("_salt", salt), [*PAIR, "_salt"])
+    whole = parts.groupBy(*PAIR, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return summed(rows.join(hot, PAIR, "left_anti"), PAIR).unionByName(whole)
 
 
 def path_scatter(paths: DataFrame, links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from channelspark.session import stored
 
-SMALL_GROUP_ROWS = 200_000
+SMALL_GROUP_ROWS = 1_000_000
 COARSE_PER_E_FOLD = 64
 COARSE_UNIT = 1e-12
 FINE_SPLIT = 4096

@@ -109,7 +109,7 @@ def rasterize_mean(
 
     grid = frame.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), cells("x0", "x1", "dx"))).alias("ix")
-    ).select(
+    ).repartition(*keys, "ix").select(  # the columns of one large scene go to many tasks
         *keys, "ix", (F.col("x0") + F.col("ix") * F.col("dx")).alias("cx"), "y0", "dy",
         F.explode(F.sequence(F.lit(0).cast("bigint"), cells("y0", "y1", "dy"))).alias("iy"),
     ).select(*keys, "ix", "iy", "cx", (F.col("y0") + F.col("iy") * F.col("dy")).alias("cy"))

@@ -40,23 +40,42 @@ def largest_remainder_allocation(scenes: DataFrame, stratum: str, total: int) ->
     )
 
 
+PRUNED_RANK = 1000  # largest rank limit the optimizer applies before the shuffle
+
+
 def stratified_sample(
-    rows: DataFrame, stratum: str, keys: Sequence[str], quotas: DataFrame | int, seed: int
+    rows: DataFrame, stratum: str, keys: Sequence[str], quotas: DataFrame, seed: int,
+    pruned_rank: int = PRUNED_RANK,
 ) -> DataFrame:
     """Quota rows per stratum in seeded order, with their rank in the stratum.
 
-    The widest quota limits the rank before the shuffle, so a huge stratum sends few rows.
+    Small quotas: the rank limit runs before the shuffle, so a huge stratum sends few rows. Large
+    quotas: the seeded hash splits each stratum into 4096 even ranges; whole ranges beyond the
+    quota are dropped by their counts and only single ranges are ever sorted together.
     """
-    ranked = rows.withColumn(
-        "rank", F.row_number().over(W.partitionBy(stratum).orderBy(seeded_order(keys, seed)))
-    )
-    if isinstance(quotas, int):
-        return ranked.where(F.col("rank") <= quotas)
+    order = seeded_order(keys, seed)
+    limits = quotas.select(stratum, "quota")
     widest = quotas.agg(F.max("quota")).first()[0] or 0
-    limited = ranked.where(F.col("rank") <= int(widest))
-    return limited.join(quotas.select(stratum, "quota"), stratum).where(
-        F.col("rank") <= F.col("quota")
-    ).drop("quota")
+    if widest <= pruned_rank:
+        ranked = rows.withColumn(
+            "rank", F.row_number().over(W.partitionBy(stratum).orderBy(order)).cast("bigint")
+        ).where(F.col("rank") <= int(widest))
+        return ranked.join(limits, stratum).where(F.col("rank") <= F.col("quota")).drop("quota")
+    hashed = rows.withColumn("_hash", order).withColumn("_range", F.substring("_hash", 1, 3))
+    before = W.partitionBy(stratum).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        hashed.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .join(limits, stratum).where(F.col("_start") < F.col("quota"))
+        .select(stratum, "_range", "_start", "quota")
+    )
+    inside = F.row_number().over(W.partitionBy(stratum, "_range").orderBy("_hash"))
+    return (
+        hashed.join(starts, [stratum, "_range"])
+        .withColumn("rank", (F.col("_start") + inside).cast("bigint"))
+        .where(F.col("rank") <= F.col("quota"))
+        .drop("_hash", "_range", "_start", "quota")
+    )
 
 
 def interleave_positions(quotas: DataFrame, stratum: str) -> DataFrame:

@@ -54,11 +54,19 @@ def contiguity_violations(fragments: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.where(bad).select(*keys, "shard_index", "offset", "expected")
 
 
-def coverage_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Expected users (per key ``first`` .. ``last``) that were never observed."""
-    wanted = expected.select(
-        *keys, F.explode(F.sequence(F.col("first"), F.col("last"))).alias("ue")
-    )
+def coverage_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str],
+                  chunk: int = 65_536) -> DataFrame:
+    """Expected users (per key ``first`` .. ``last``) that were never observed.
+
+    A range is unnested in two steps with a shuffle of its chunks in between, so even one key
+    with most of the users is produced by many tasks.
+    """
+    chunks = expected.select(
+        *keys, F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(chunk).cast("bigint")))
+        .alias("_from"), "last",
+    ).repartition(*keys, "_from")
+    upto = F.least(F.col("_from") + (chunk - 1), F.col("last"))
+    wanted = chunks.select(*keys, F.explode(F.sequence(F.col("_from"), upto)).alias("ue"))
     return wanted.join(observed, [*keys, "ue"], "left_anti")
 
 

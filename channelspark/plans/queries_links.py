@@ -69,7 +69,7 @@ def b5(spark, sf):
 
 @query("b6_uplink_power_control", f"""WITH {LINK_SUMMARY},
   s AS (SELECT tx, rx AS serving_rx, -power_db AS loss FROM
-    (SELECT *, ROW_NUMBER() OVER (PARTITION BY tx ORDER BY power_db DESC, rx) AS rn FROM ls) t WHERE rn = 1),
+    (SELECT *, ROW_NUMBER() OVER (PARTITION BY tx ORDER BY ROUND(power_db, 9) DESC, rx) AS rn FROM ls) t WHERE rn = 1),
   p AS (SELECT *, -5.0 + 0.8::DOUBLE * loss + 0.5 AS req FROM s),
   c AS (SELECT *, LEAST(GREATEST(req, -40.0::DOUBLE), 23.0::DOUBLE) AS clip FROM p)
   SELECT tx, serving_rx, {sr('loss')} AS path_loss_db, {sr('clip')} AS tx_power_dbm, clip <> req AS clipped,
@@ -322,7 +322,7 @@ def d3(spark, sf):
 
 
 @query("d4_serving_rx", f"""WITH {LINK_SUMMARY} SELECT tx, rx AS serving_rx, {sr('power_db')} AS serving_power_db FROM
-  (SELECT *, ROW_NUMBER() OVER (PARTITION BY tx ORDER BY power_db DESC, rx) AS rn FROM ls) t WHERE rn = 1""",
+  (SELECT *, ROW_NUMBER() OVER (PARTITION BY tx ORDER BY ROUND(power_db, 9) DESC, rx) AS rn FROM ls) t WHERE rn = 1""",
        ("fx_paths",))
 def d4(spark, sf):
     out = PO.serving_rx(PO.link_summary(B.paths(spark, sf), 2, 2))

@@ -99,7 +99,8 @@ def c9(spark, sf):
     def steps(limit):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col(limit) / 0.4)))
 
-    targets = box.select("scene_id", "by", steps("bx").alias("i")).select(
+    columns = box.select("scene_id", "by", steps("bx").alias("i")).repartition("scene_id", "i")
+    targets = columns.select(
         "scene_id", "i", steps("by").alias("j")
     ).withColumns({"x": F.col("i") * F.lit(0.4), "y": F.col("j") * F.lit(0.4)})
     samples = user_values(spark, sf).withColumnRenamed("ue", "id")

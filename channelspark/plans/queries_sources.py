@@ -96,13 +96,13 @@ SHARD_SCHEMA = T.StructType([
 ])
 
 
-@query("a5_resolve_result_paths", """SELECT 'result_' || worker AS name, ROW_NUMBER() OVER (ORDER BY worker) - 1 AS position
-  FROM (SELECT DISTINCT worker FROM fx_perf) t""", ("fx_perf",))
+@query("a5_resolve_result_paths", """SELECT 'result_' || w AS name, ROW_NUMBER() OVER (ORDER BY w) - 1 AS position
+  FROM (SELECT DISTINCT worker // 10 AS w FROM fx_perf) t""", ("fx_perf",))
 def a5(spark, sf):
-    """A folder per worker stands for its result file; names sort by number, not by text."""
+    """A folder per ten workers stands for a result file; names sort by number, not by text."""
     path = work_path(spark, "results")
     B.perf(spark, sf).select(
-        F.concat(F.lit("result_"), F.col("worker").cast("string")).alias("file"), "event_id"
+        F.concat(F.lit("result_"), F.expr("worker div 10").cast("string")).alias("file"), "event_id"
     ).repartition("file").write.partitionBy("file").json(path)
     found = RU.resolve_result_paths(spark, path, "*.json")
     name = F.regexp_extract("path", r"(result_\d+)/[^/]+$", 1)
