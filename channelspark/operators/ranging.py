@@ -149,7 +149,7 @@ def phase_slope_ranging(
     pairs = rows.groupBy(*pair).agg(
         F.avg("w").alias("mean_power"), F.bool_and("finite").alias("finite"),
         F.first("slope").alias("slope"),
-        F.sqrt(F.sum(F.col("w") * misfit * misfit) / F.sum("w")).alias("residual"),
+        F.sqrt(F.try_divide(F.sum(F.col("w") * misfit * misfit), F.sum("w"))).alias("residual"),
     ).withColumn("toa_s", -F.col("slope") / Q.TWO_PI)
     usable = pairs.where(
         F.col("finite") & (F.col("mean_power") >= min_mean_power) & (F.col("toa_s") >= 0)

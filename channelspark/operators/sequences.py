@@ -130,11 +130,12 @@ def line_fit_sums(x: Column, y: Column, w: Column) -> dict[str, Column]:
 
 
 def line_from_sums(s: dict[str, Column]) -> tuple[Column, Column]:
-    """(slope, intercept); zero variance gives slope 0."""
-    spread = s["sxx"] - s["sx"] * s["sx"] / s["sw"]
-    slope = F.when(spread > 0, (s["sxy"] - s["sx"] * s["sy"] / s["sw"]) / spread).otherwise(
-        F.lit(0.0))
-    return slope, (s["sy"] - slope * s["sx"]) / s["sw"]
+    """(slope, intercept); zero variance gives slope 0, zero weight gives NULLs."""
+    x_mean = F.try_divide(s["sx"], s["sw"])
+    spread = s["sxx"] - s["sx"] * x_mean
+    slope = F.when(spread > 0, (s["sxy"] - x_mean * s["sy"]) / spread).when(
+        s["sw"] > 0, F.lit(0.0))
+    return slope, F.try_divide(s["sy"] - slope * s["sx"], s["sw"])
 
 
 def weighted_line_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
