@@ -9,10 +9,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
+# Type objects, not DDL text: importing this module must not need a session.
+FREQUENCIES = T.StructType([T.StructField("k", T.LongType()), T.StructField("f_hz", T.DoubleType())])
+ELEMENTS = T.StructType([T.StructField("symbol", T.LongType()), T.StructField("k", T.LongType())])
 
-@udtf(returnType="k bigint, f_hz double")
+
+@udtf(returnType=FREQUENCIES)
 class FrequencyGrid:
     """``SELECT * FROM frequency_grid(3.5e9, 20e6, 64)``."""
 
@@ -21,7 +26,7 @@ class FrequencyGrid:
             yield k, center_hz + (k - (count - 1) / 2) * (bandwidth_hz / count)
 
 
-@udtf(returnType="symbol bigint, k bigint")
+@udtf(returnType=ELEMENTS)
 class SrsReGrid:
     """Resource elements: ``srs_re_grid(symbols, start_prb, prb_count, comb, offset, total)``."""
 
@@ -31,7 +36,7 @@ class SrsReGrid:
                 yield symbol, k
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def weighted_median(value: pd.Series, weight: pd.Series) -> float:
     """Grouped aggregate: first sorted value whose cumulative weight reaches half of the total."""
     order = np.argsort(value.to_numpy(), kind="stable")

@@ -218,12 +218,14 @@ def d44(spark, sf):
 
 
 @query("d35_largest_remainder_allocation", """WITH c AS (SELECT scene_class, COUNT(*) AS available FROM fx_scenes GROUP BY 1),
-  t AS (SELECT *, 777 * available / SUM(available) OVER () AS ex FROM c),
+  w AS (SELECT SUM(available)::BIGINT * 39 // 100 AS n FROM c),
+  t AS (SELECT *, n * available / SUM(available) OVER () AS ex FROM c, w),
   k AS (SELECT *, FLOOR(ex) AS b, ROW_NUMBER() OVER (ORDER BY ex - FLOOR(ex) DESC, scene_class DESC) AS rn FROM t)
-  SELECT scene_class, available, CAST(b + CASE WHEN rn <= 777 - (SELECT SUM(b) FROM k) THEN 1 ELSE 0 END AS BIGINT) AS quota
+  SELECT scene_class, available, CAST(b + CASE WHEN rn <= n - (SELECT SUM(b) FROM k) THEN 1 ELSE 0 END AS BIGINT) AS quota
   FROM k""", ("fx_scenes",))
 def d35(spark, sf):
-    return SA.largest_remainder_allocation(B.scenes(spark, sf), "scene_class", 777)
+    scenes = B.scenes(spark, sf)
+    return SA.largest_remainder_allocation(scenes, "scene_class", scenes.count() * 39 // 100)
 
 
 QUOTA_SQL = """c AS (SELECT scene_class, COUNT(*) AS available FROM fx_scenes GROUP BY 1),

@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on whole (smallest) tables."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -12,8 +13,18 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 
 @pytest.fixture(scope="module")
-def con():
-    return verify.connect(SF)
+def outcomes(spark):
+    """All comparisons, a few at a time: the jobs are small and share one session."""
+    fns, sql = queries(), oracle_sql()
+
+    def run(name):
+        try:
+            return verify.compare(spark, verify.connect(SF), fns[name], sql[name], SF)
+        except Exception as exc:  # noqa: BLE001
+            return False, str(exc)[:500], 0.0
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(sorted(fns), pool.map(run, sorted(fns))))
 
 
 # Selections that may be empty on the smallest tables.
@@ -21,8 +32,8 @@ MAY_BE_EMPTY = {"c14_require_subset", "q5_label_values", "e17_contiguity_check"}
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_query(spark, con, name):
-    ok, note, _ = verify.compare(spark, con, queries()[name], oracle_sql()[name], SF)
+def test_query(outcomes, name):
+    ok, note, _ = outcomes[name]
     assert ok or (name in MAY_BE_EMPTY and note == "0 rows"), note
 
 
