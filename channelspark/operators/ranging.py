@@ -89,8 +89,7 @@ def pdp_peak_ranging(cfr: DataFrame, options: PdpOptions, truth: DataFrame) -> D
 
     Links without a truth delay, without power or below the peak SNR fail: NULLs and bin -1.
     """
-    measurable = cfr.join(truth.where(C.is_finite(F.col("truth_delay_s"))), LINK, "left_semi")
-    profile = power_delay_profile(measurable, options)
+    profile = power_delay_profile(cfr, options)
     whole = W.partitionBy(*LINK)
     near = Q.with_neighbours(profile, LINK).withColumns({
         "strongest": F.max("power").over(whole), "floor": F.median("power").over(whole),
@@ -99,7 +98,7 @@ def pdp_peak_ranging(cfr: DataFrame, options: PdpOptions, truth: DataFrame) -> D
     )
     ratio = 10.0 ** (options.relative_threshold_db / 10.0)
     candidates = near.where(
-        (F.col("strongest") > 0)
+        C.is_finite(F.col("strongest")) & (F.col("strongest") > 0)
         & Q.is_local_peak(F.col("power"), F.col("left"), F.col("right"))
         & (F.col("power") >= F.col("strongest") * ratio)
         & (F.col("bin") <= F.col("strongest_bin"))
@@ -128,9 +127,8 @@ def phase_slope_ranging(
     unwrap: bool = True, min_mean_power: float = 1e-12,
 ) -> DataFrame:
     """Delay from the phase slope of every antenna pair, combined by power-weighted medians."""
-    measurable = cfr.join(truth.where(C.is_finite(F.col("truth_delay_s"))), LINK, "left_semi")
     pair = [*LINK, "rx_ant"]
-    samples = measurable.repartition(*LINK).select(*pair, F.posexplode("h").alias("k", "s"))
+    samples = cfr.repartition(*LINK).select(*pair, F.posexplode("h").alias("k", "s"))
     re, im = F.col("s.re"), F.col("s.im")
     centred = (F.col("k") - (subcarriers - 1) / 2) * spacing_hz
     rows = samples.select(
@@ -154,20 +152,24 @@ def phase_slope_ranging(
     usable = pairs.where(
         F.col("finite") & (F.col("mean_power") >= min_mean_power) & (F.col("toa_s") >= 0)
     )
-    toa = Q.weighted_median(usable, LINK, "toa_s", "mean_power", "toa_s")
-    residual = Q.weighted_median(usable, LINK, "residual", "mean_power", "residual_rad")
-    return _with_truth(truth, toa.join(residual, LINK))
+    medians = {"toa_s": "toa_s", "residual": "residual_rad"}
+    return _with_truth(truth, Q.weighted_medians(usable, LINK, medians, "mean_power"))
 
 
 def _with_truth(truth: DataFrame, detected: DataFrame) -> DataFrame:
-    """Every link of ``truth`` with derived range, round trip, error and success."""
+    """Every link of ``truth`` with derived range, round trip, error and success.
+
+    A link without a finite truth delay matches no detection and therefore fails.
+    """
     c = PW.SPEED_OF_LIGHT_MPS
-    return truth.join(detected, LINK, "left").withColumns({
+    known = truth.withColumn("_known", C.is_finite(F.col("truth_delay_s")))
+    found = detected.withColumn("_known", F.lit(True))
+    return known.join(found, [*LINK, "_known"], "left").withColumns({
         "range_m": F.col("toa_s") * c,
         "rtt_s": F.col("toa_s") * 2,
         "error_m": (F.col("toa_s") - F.col("truth_delay_s")) * c,
         "success": F.col("toa_s").isNotNull(),
-    }).drop("truth_delay_s")
+    }).drop("truth_delay_s", "_known")
 
 
 #: Registry of estimators: name -> f(cfr, truth, spacing_hz, subcarriers).

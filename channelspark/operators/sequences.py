@@ -111,16 +111,29 @@ def linear_interpolate(points: DataFrame, keys: Sequence[str], values: Sequence[
     )
 
 
+def weighted_medians(rows: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str
+                     ) -> DataFrame:
+    """First sorted value whose cumulative weight reaches half of the total, for several columns.
+
+    ``values`` maps value columns to output names. All columns are handled in one pass: their
+    windows share the partitioning and only re-sort.
+    """
+    whole = W.partitionBy(*keys)
+    reached = {
+        v: F.sum(F.when(F.col(v).isNotNull(), F.col(weight))).over(
+            whole.orderBy(v).rowsBetween(W.unboundedPreceding, W.currentRow))
+        >= 0.5 * F.sum(F.when(F.col(v).isNotNull(), F.col(weight))).over(whole)
+        for v in values
+    }
+    ranked = rows.select(
+        *keys, *[F.when(ok, F.col(v)).alias(v) for v, ok in reached.items()]
+    )
+    return ranked.groupBy(*keys).agg(*[F.min(v).alias(name) for v, name in values.items()])
+
+
 def weighted_median(rows: DataFrame, keys: Sequence[str], value: str, weight: str,
                     name: str = "median") -> DataFrame:
-    """First sorted value whose cumulative weight reaches half of the total."""
-    order = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum(weight).over(W.partitionBy(*keys))
-    ranked = rows.where(F.col(value).isNotNull()).select(
-        *keys, value, F.sum(weight).over(order).alias("_upto"), total.alias("_total")
-    )
-    reached = F.col("_upto") >= 0.5 * F.col("_total")
-    return ranked.groupBy(*keys).agg(F.min(F.when(reached, F.col(value))).alias(name))
+    return weighted_medians(rows, keys, {value: name}, weight)
 
 
 def line_fit_sums(x: Column, y: Column, w: Column) -> dict[str, Column]:

@@ -78,15 +78,15 @@ def diagnostics_report(evaluation: DataFrame, link: Sequence[str]) -> DataFrame:
         values.unpivot([], names, "metric", "value"), ["metric"], "value", {"m": 0.5}
     )
 
-    def median(name: str) -> Column:
-        found = medians.where(F.col("metric") == name).agg(F.max("m"))
-        return F.coalesce(found.scalar(), F.lit(0.0))
-
+    row = medians.agg(F.struct(*[
+        F.coalesce(F.max(F.when(F.col("metric") == n, F.col("m"))), F.lit(0.0)).alias(n)
+        for n in names
+    ])).scalar()
     return report.select(
         "num_links", "num_failed_links", "detection_rate",
         (1 - F.col("detection_rate")).alias("failure_rate"),
         *[F.col(f"w.{c}").alias(f"worst_{c}") for c in link],
-        F.col("w.nmse_db").alias("worst_nmse_db"), *[median(n).alias(n) for n in names],
+        F.col("w.nmse_db").alias("worst_nmse_db"), *[row[n].alias(n) for n in names],
     )
 
 

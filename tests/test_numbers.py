@@ -56,8 +56,9 @@ def grid64():
 def test_single_path_ranging(spark):
     tau = 120e-9
     h = np.exp(-2j * np.pi * grid64() * tau)
-    cfr = cfr_rows(spark, {(0, 0, 0): h, (1, 0, 0): h, (2, 0, 0): 0 * h})
-    truth = spark.createDataFrame([(0, 0, tau), (1, 0, None), (2, 0, tau)],
+    cfr = cfr_rows(spark, {(0, 0, 0): h, (1, 0, 0): h, (2, 0, 0): 0 * h,
+                           (3, 0, 0): h, (3, 0, 1): h * np.nan})
+    truth = spark.createDataFrame([(0, 0, tau), (1, 0, None), (2, 0, tau), (3, 0, tau)],
                                   "tx bigint, rx bigint, truth_delay_s double")
     options = RG.PdpOptions(20e6 / 64, 64, min_peak_snr_db=0.0)
     pdp = {r.tx: r for r in RG.pdp_peak_ranging(cfr, options, truth).collect()}
@@ -68,6 +69,8 @@ def test_single_path_ranging(spark):
         assert not result[1].success and result[1].range_m is None  # no truth
         assert not result[2].success and result[2].toa_s is None  # no power
     assert pdp[2].delay_bin == -1
+    assert not pdp[3].success  # one antenna without finite samples spoils the mean profile
+    assert slope[3].success  # but only drops out of the slope medians
     with pytest.raises(ValueError):
         RG.run_ranging(cfr, truth, 1.0, 64, ["pdp_peak"], "phase_slope")
 
