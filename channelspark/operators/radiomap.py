@@ -150,7 +150,7 @@ def knn_idw(
 
     Targets meet samples on tile keys of their 3 x 3 neighbourhood. A target is settled once k
     samples lie strictly nearer than the border of that neighbourhood; the rest repeat with tiles
-    of twice the size until the neighbourhood covers its scene. Of samples at one position only
+    of three times the size until the neighbourhood covers its scene. Of samples at one position only
     the k lowest ids can matter, which is pruned before any pairing.
     """
     same_spot = W.partitionBy(scene, "x", "y").orderBy("id")
@@ -211,7 +211,7 @@ def knn_idw(
             .alias("value"),
         ))
         pending = tested.where("NOT _done").select(*pending.columns)
-        size *= 2
+        size *= 3  # the next tile is as wide as the neighbourhood just searched
     if not settled:
         return targets.select(*ids, "x", "y", F.lit(None).cast("double").alias("value")).limit(0)
     result = settled[0]
