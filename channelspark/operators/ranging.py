@@ -75,12 +75,16 @@ def delay_power(options: PdpOptions) -> Callable[[Column, Column], Column]:
 
 def power_delay_profile(cfr: DataFrame, options: PdpOptions, link: Sequence[str] = LINK
                         ) -> DataFrame:
-    """Power per delay bin, averaged over the antenna pairs of each link."""
+    """Power per delay bin, averaged over the antenna pairs of each link.
+
+    A pair with non-finite samples has no profile (NULLs), and then its link has none either.
+    """
     by_link = cfr.select(*link, "h").repartition(*link)
     power = delay_power(options)(F.col("h.re"), F.col("h.im"))
+    complete = F.count("p") == F.count(F.lit(1))
     return (
         by_link.select(*link, F.posexplode(power).alias("bin", "p"))
-        .groupBy(*link, "bin").agg(F.avg("p").alias("power"))
+        .groupBy(*link, "bin").agg(F.when(complete, F.avg("p")).alias("power"))
     )
 
 

@@ -119,7 +119,7 @@ def test_knn_against_brute_force(spark):
         expected = value[near[0]] if d[near[0]] <= 1e-9 else (w * value[near]).sum() / w.sum()
         assert got[i, j] == pytest.approx(expected, rel=1e-9), (i, j)
     few = RM.knn_idw(targets, samples.where("id < 3"), scene="s", target=["i", "j"], k=5,
-                     power=2.0, tile_m=2.0)
+                     power=2.0, tile_m=20.0)
     assert few.count() == 100  # fewer samples than neighbours
 
 
