@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelspark.llm import bpe, line_dedup
-from channelspark.llm.common import table
+from channelspark.llm import bpe, line_dedup, mixing, simhash, toxicity
+from channelspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents")).select(
@@ -62,3 +71,50 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    return toxicity.score_documents(docs, model).select(
+        "row.doc_id",
+        (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+MIX_LIMIT = 1.25
+MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+         substr(md5('7:b:' || CAST(doc_id AS VARCHAR)), 1, 3) AS block
+  FROM documents
+), sums AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS t FROM docs GROUP BY source),
+total AS (SELECT CAST(sum(t) AS DOUBLE) AS b FROM sums),
+powers AS (SELECT source, t, k, pow(CAST(t AS DOUBLE), k / 4096.0) AS p FROM sums, range(0, 4097) g(k) WHERE t > 0),
+totals AS (SELECT k, sum(p) AS total, max(p / t) AS most FROM powers GROUP BY k),
+best AS (SELECT coalesce(min(k), 4096) AS k FROM totals, total WHERE b * most / total <= LIMIT),
+want AS (
+  SELECT p.source, p.t, CAST(floor(p.p * b / totals.total + 1e-6) AS BIGINT) AS want
+  FROM powers p JOIN totals USING (k) JOIN best USING (k), total
+), plan AS (
+  SELECT s.source, CASE WHEN s.t > 0 THEN want // s.t ELSE 1 END AS whole, CASE WHEN s.t > 0 THEN want % s.t ELSE 0 END AS rest
+  FROM sums s LEFT JOIN want w ON s.source IS NOT DISTINCT FROM w.source
+), last AS (
+  SELECT d.*, whole, rest, sum(tokens) OVER (PARTITION BY d.source ORDER BY md5('7:' || (whole + 1) || ':' || block),
+         md5('7:' || (whole + 1) || ':' || key), key) AS upto
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+), copies AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM last)
+SELECT doc_id, source, tokens, epoch, block, md5('7:' || epoch || ':' || block) || ':' || md5('7:' || epoch || ':' || key) AS place
+FROM (SELECT *, unnest(range(1, n + 1)) AS epoch FROM copies)
+""".replace("LIMIT", str(MIX_LIMIT))
+
+
+@query("op10_source_mixing", MIX_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"), budget="corpus", repeat_limit=MIX_LIMIT).select(
+        "row.doc_id", "row.source", "tokens", "epoch", "block", "place"
+    )
