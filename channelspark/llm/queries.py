@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelspark.llm import bpe, line_dedup, mixing, simhash, toxicity
+from channelspark.llm import bpe, language, line_dedup, mixing, simhash, token_counts, toxicity
 from channelspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,18 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"), budget="corpus", repeat_limit=MIX_LIMIT).select(
         "row.doc_id", "row.source", "tokens", "epoch", "block", "place"
     )
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents")).select("row.doc_id", "n_tokens", "score")
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    prototypes = language.learn(docs.where(~held_out))
+    return language.identify(docs, prototypes).select(
+        "row.doc_id", (remainder(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
