@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channelspark.session import stored
+
 TOKENIZERS = "/opt/tokenizers"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,3 +39,38 @@ def text_of(column: str = "text") -> Column:
 def remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the text ``null``."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("null"))), F.lit(modulus)).cast("int")
+
+
+def in_slices(rows: DataFrame, by: Column, limit: int) -> DataFrame:
+    """Rows (``key``, ...) with a flag ``tree``, where keys with more than ``limit`` rows are cut up.
+
+    A large key's rows are dealt to slices by a hash of ``by``, and every two slices get a key of their own,
+    under which the first slice is flagged and meets the second. Small keys stay as they are.
+    """
+    large = stored(rows.groupBy("key").count().where(F.col("count") > limit), "large-keys")
+    if large.isEmpty():
+        return rows.withColumn("tree", F.lit(True))
+    slices = F.coalesce(F.ceil(F.col("count") / limit), F.lit(1)).cast("int")
+    key = F.when(F.col("count").isNull(), F.col("key")).otherwise(
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    rest = [c for c in rows.columns if c != "key"]
+    return (
+        rows.join(large, "key", "left").withColumn("mine", F.pmod(F.xxhash64(by), slices).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .select(key.alias("key"), *rest, (F.col("mine") <= F.col("other")).alias("tree"))
+    )
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table per run of equal ``key`` in batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        starts = np.append(0, np.flatnonzero(np.diff(keys)) + 1) if len(keys) else []
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            if held and held[0].column("key")[0].as_py() != keys[start]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(int(start), int(end - start)))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelspark.llm import bpe, language, line_dedup, mixing, simhash, token_counts, toxicity
+from channelspark.llm import bpe, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup
 from channelspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,31 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(docs, prototypes).select(
         "row.doc_id", (remainder(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, o.vec_id, CAST(list_dot_product(CAST(q.c AS DOUBLE[]), CAST(o.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query("op4_exact_top_k", TOP_K_SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, sf, "embeddings"))
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+    )

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelspark.llm.common import packed, text_of
+from channelspark.llm.common import in_slices, packed, text_of
 from channelspark.llm.components import connected_components
 from channelspark.session import stored
 
@@ -160,7 +160,8 @@ def near_links(prints: DataFrame, shard: int = SHARD) -> DataFrame:
         if large.isEmpty():
             return reduce(DataFrame.union, found)
         rows = rows.join(large, "key").select("key", "fp", "rest")
-    found.append(_match(_sliced(rows, large, shard).repartition("key").sortWithinPartitions("key")))
+    sliced = in_slices(rows.select("key", "fp"), F.col("fp"), shard)
+    found.append(_match(sliced.repartition("key").sortWithinPartitions("key")))
     return reduce(DataFrame.union, found)
 
 
@@ -176,18 +177,6 @@ def _split(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("fp", F.explode(F.array(*parts)).alias("p")).select("p.key", "fp", "p.rest")
 
 
-def _sliced(rows: DataFrame, large: DataFrame, shard: int) -> DataFrame:
-    """Shards cut into slices of about ``shard``, under a key for each two slices."""
-    slices = F.ceil(F.col("count") / shard).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), slices).cast("int")
-    each = F.explode(F.sequence(F.lit(0), slices - 1))
-    return (
-        rows.join(large, "key").select("key", "fp", mine.alias("mine"), each.alias("other"))
-        .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-                (F.col("mine") <= F.col("other")).alias("tree"), "fp")
-    )
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``part``, ``fp`` and ``component``: the smallest id reachable over links of three bits.
 
