@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelspark.llm import bpe, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup
+from channelspark.llm import attention_lm, bpe, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup
 from channelspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
     )
+
+
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return attention_lm.score_documents(docs, remainder(F.col("doc_id"), 5) == 1).withColumnRenamed("id", "doc_id")
