@@ -104,7 +104,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                 np.add.at(by, which, counts)
                 for name, vector in zip(names, bundle(by, codes)):
                     total[name] = total.get(name, 0) + vector.astype(np.float64)
-        yield pd.DataFrame({"lang": list(total), "vector": list(total.values())})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "vector": list(total.values())})
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     summed = (

@@ -24,7 +24,7 @@ from channelspark.session import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 
 def names_of(word: str) -> list[str]:
@@ -84,6 +84,8 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_co
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             each = [LETTERS.findall(t.lower()) for t in batch["text"]]
             low = np.array([_minima(w) for w in each], np.int64).reshape(-1, 3)
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "words": [sorted(set(w)) for w in each],
@@ -199,6 +201,8 @@ def fit(
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             fired = [sorted({index[f] for w in words for f in names_of(w) if f in index})
                      for words in batch["words"]]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "fired": fired})
