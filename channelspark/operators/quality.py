@@ -125,25 +125,37 @@ def shard_indices(shards: DataFrame, keys: Sequence[str], planned: DataFrame, us
                   ) -> DataFrame:
     """Q8: shard index in range, user lists as long as declared, indices inside the topology.
 
-    ``planned`` has keys and shard_count; ``users`` has keys, first and last user index.
+    ``planned`` has keys and shard_count; ``users`` has keys, first and last user index. A shard of
+    a run without a plan or without users breaks the rule, and so does a planned run without shards.
     """
-    rows = shards.join(planned, list(keys)).join(users, list(keys))
+    rows = shards.join(planned, list(keys), "full").join(users, list(keys), "left")
     in_range = F.col("shard_index").between(F.lit(0), F.col("shard_count") - 1)
     inside = F.forall("ue_indices", lambda u: u.between(F.col("first"), F.col("last")))
     length = F.size("ue_indices") == F.col("ue_count")
-    detail = F.when(~in_range, "shard index").when(~inside, "user index").otherwise("length")
+    detail = (
+        F.when(F.col("shard_index").isNull(), "no shard").when(F.col("shard_count").isNull(), "no plan")
+        .when(F.col("first").isNull(), "no users").when(~in_range, "shard index")
+        .when(~inside, "user index").otherwise("length")
+    )
     return check(rows, Rule("Q8", "shards", (*keys, "shard_index"),
                             ~(in_range & inside & length), detail))
 
 
 def bundle_offsets(fragments: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
-    """Q9: offsets are contiguous and end at the declared total (``totals``: keys, total)."""
+    """Q9: offsets are contiguous, counts are positive and end at the declared total.
+
+    ``totals`` has keys and total; totals without fragments and fragments without a total break the rule.
+    """
     gaps = contiguity_violations(fragments, keys).select(
         *_row("Q9", "bundle", _key(*keys, "shard_index"), F.lit("offset gap"))
     )
-    sums = fragments.groupBy(*keys).agg(F.sum("ue_count").alias("n")).join(totals, list(keys))
-    return gaps.unionByName(check(sums, Rule("Q9", "bundle", tuple(keys),
-                                             F.col("n") != F.col("total"), F.lit("total differs"))))
+    empty = check(fragments, Rule("Q9", "bundle", (*keys, "shard_index"), F.col("ue_count") < 1,
+                                  F.lit("count below 1")))
+    sums = fragments.groupBy(*keys).agg(F.sum("ue_count").alias("n")).join(totals, list(keys), "full")
+    detail = F.when(F.col("n").isNull(), "no fragment").when(F.col("total").isNull(), "no total").otherwise(
+        "total differs")
+    return gaps.unionByName(empty).unionByName(
+        check(sums, Rule("Q9", "bundle", tuple(keys), F.col("n") != F.col("total"), detail)))
 
 
 def multiuser_slots(slots: DataFrame, keys: Sequence[str], tx_count: Column) -> DataFrame:
@@ -161,11 +173,17 @@ def collision_mask(occupancy: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def iq_layout(captures: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q11: fft >= 2, prefix >= 0, symbols >= 1, sample count = symbols * (fft + prefix)."""
+    """Q11: fft >= 2, prefix >= 0, symbols >= 1, sample count = symbols * (fft + prefix).
+
+    If there is a column ``samples`` (array of re, im), every sample must be finite too.
+    """
     sizes = (F.col("fft") >= 2) & (F.col("cp") >= 0) & (F.col("symbols") >= 1)
     length = F.col("sample_count") == F.col("symbols") * (F.col("fft") + F.col("cp"))
-    return check(captures, Rule("Q11", "iq", tuple(keys), ~(sizes & length),
-                                F.when(~sizes, "sizes").otherwise("sample count")))
+    finite = F.lit(True)
+    if "samples" in captures.columns:
+        finite = F.forall("samples", lambda s: C.is_finite(s["re"]) & C.is_finite(s["im"]))
+    return check(captures, Rule("Q11", "iq", tuple(keys), ~(sizes & length & finite),
+                                F.when(~sizes, "sizes").when(~length, "sample count").otherwise("not finite")))
 
 
 def block_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -178,10 +196,19 @@ def block_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rows_per_key(df: DataFrame, table: str, keys: Sequence[str], expected: int | Column,
-                 rule_id: str = "Q15") -> DataFrame:
-    """Q13, Q14, Q15: a key owns exactly the product of its axis sizes."""
+                 rule_id: str = "Q15", axis: DataFrame | None = None) -> DataFrame:
+    """Q13, Q14, Q15: a key owns exactly the product of its axis sizes.
+
+    ``axis`` lists the keys that must be there; those without a row are reported with count 0,
+    and so are keys that it does not list.
+    """
     wanted = expected if isinstance(expected, Column) else F.lit(expected)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(wanted).alias("wanted"))
+    if axis is not None:
+        listed = axis.select(*keys).distinct().withColumn("_listed", F.lit(True))
+        counts = counts.join(listed, list(keys), "full").withColumns({
+            "n": F.coalesce("n", F.lit(0)), "wanted": F.when(F.col("_listed"), F.col("wanted")),
+        })
     return check(counts, Rule(rule_id, table, tuple(keys), F.col("n") != F.col("wanted"),
                               F.col("n")))
 
@@ -193,12 +220,14 @@ def link_table(links: DataFrame, points: DataFrame, units: Sequence[str]) -> Dat
     )
     counts = links.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
     rows = check(
-        sizes.join(counts, "scene_id", "left").withColumn("n", F.coalesce("n", F.lit(0))),
+        sizes.join(counts, "scene_id", "full").withColumns({
+            "n": F.coalesce("n", F.lit(0)), "wanted": F.coalesce("wanted", F.lit(0))}),
         Rule("Q14", "links", ("scene_id",), F.col("n") != F.col("wanted"), F.col("n")),
     )
     unitless = [c for c in units if not links.schema[c].metadata.get("unit")]
     if unitless:
-        marks = links.limit(1).select(F.explode(F.array(*[F.lit(c) for c in unitless])).alias("c"))
+        marks = links.agg(F.count(F.lit(1))).select(  # one row, also for an empty table
+            F.explode(F.array(*[F.lit(c) for c in unitless])).alias("c"))
         rows = rows.unionByName(marks.select(
             *_row("Q14", "links", F.col("c"), F.lit("unit missing"))
         ))

@@ -1,7 +1,8 @@
 """Time-of-arrival ranging from estimated channel responses.
 
-Input: array rows (tx, rx, rx_ant, h, truth_delay_s). Both estimators shuffle these compact rows by
-link once; unnesting, windows and reductions all reuse that partitioning.
+Input: array rows (tx, rx, rx_ant, h), with snapshot and tx_ant where there are any. Each snapshot of
+a link is ranged by itself over all its antenna pairs. Both estimators shuffle these compact rows by link
+once; unnesting, windows and reductions all reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -21,6 +22,17 @@ from channelspark.functions import power as PW
 from channelspark.operators import sequences as Q
 
 LINK = ["tx", "rx"]
+ROW_SLICE = 32  # rows whose oversampled profiles are held at once
+
+
+def link_keys(cfr: DataFrame) -> list[str]:
+    """What a range is estimated for: the link, per snapshot if the table has snapshots."""
+    return [*(c for c in ("snapshot",) if c in cfr.columns), *LINK]
+
+
+def pair_keys(cfr: DataFrame) -> list[str]:
+    """What identifies one response: the link and its antennas."""
+    return [*link_keys(cfr), "rx_ant", *(c for c in ("tx_ant",) if c in cfr.columns)]
 
 
 @dataclass(frozen=True)
@@ -67,18 +79,19 @@ def delay_power(options: PdpOptions) -> Callable[[Column, Column], Column]:
         if not len(re):
             return pd.Series([], dtype=object)
         h = (np.stack(re.to_numpy()) + 1j * np.stack(im.to_numpy())) * weights
-        profile = np.fft.ifft(h, n=n_fft, axis=1)[:, :bins]
-        return pd.Series(list(np.abs(profile) ** 2))
+        parts = [np.abs(np.fft.ifft(h[s : s + ROW_SLICE], n=n_fft, axis=1)[:, :bins]) ** 2
+                 for s in range(0, len(h), ROW_SLICE)]
+        return pd.Series(list(np.concatenate(parts)))
 
     return power
 
 
-def power_delay_profile(cfr: DataFrame, options: PdpOptions, link: Sequence[str] = LINK
-                        ) -> DataFrame:
+def power_delay_profile(cfr: DataFrame, options: PdpOptions) -> DataFrame:
     """Power per delay bin, averaged over the antenna pairs of each link.
 
     A pair with non-finite samples has no profile (NULLs), and then its link has none either.
     """
+    link = link_keys(cfr)
     by_link = cfr.select(*link, "h").repartition(*link)
     power = delay_power(options)(F.col("h.re"), F.col("h.im"))
     complete = F.count("p") == F.count(F.lit(1))
@@ -93,9 +106,10 @@ def pdp_peak_ranging(cfr: DataFrame, options: PdpOptions, truth: DataFrame) -> D
 
     Links without a truth delay, without power or below the peak SNR fail: NULLs and bin -1.
     """
+    link = link_keys(cfr)
     profile = power_delay_profile(cfr, options)
-    whole = W.partitionBy(*LINK)
-    near = Q.with_neighbours(profile, LINK).withColumns({
+    whole = W.partitionBy(*link)
+    near = Q.with_neighbours(profile, link).withColumns({
         "strongest": F.max("power").over(whole), "floor": F.median("power").over(whole),
     }).withColumn(
         "strongest_bin", F.min(F.when(F.col("power") == F.col("strongest"), F.col("bin"))).over(whole)
@@ -108,7 +122,7 @@ def pdp_peak_ranging(cfr: DataFrame, options: PdpOptions, truth: DataFrame) -> D
         & (F.col("bin") <= F.col("strongest_bin"))
     )
     picked = Q.first_peak_cluster(
-        candidates, LINK, max(1, options.oversampling), ["left", "right", "strongest", "floor"]
+        candidates, link, max(1, options.oversampling), ["left", "right", "strongest", "floor"]
     )
     snr = 10 * F.log10(F.greatest(
         F.col("strongest") / F.greatest(F.col("floor"), F.lit(Q.TINY)), F.lit(Q.TINY)))
@@ -118,10 +132,10 @@ def pdp_peak_ranging(cfr: DataFrame, options: PdpOptions, truth: DataFrame) -> D
     detected = picked.withColumn("peak_snr_db", snr).where(
         F.col("peak_snr_db") >= options.min_peak_snr_db
     ).select(
-        *LINK, F.col("bin").alias("delay_bin"), F.col("power").alias("peak_power"), "peak_snr_db",
+        *link, F.col("bin").alias("delay_bin"), F.col("power").alias("peak_power"), "peak_snr_db",
         ((F.col("bin") + offset) * options.delay_step_s).alias("toa_s"),
     )
-    return _with_truth(truth, detected).withColumn(
+    return _with_truth(cfr, truth, detected).withColumn(
         "delay_bin", F.coalesce("delay_bin", F.lit(-1))
     )
 
@@ -131,8 +145,8 @@ def phase_slope_ranging(
     unwrap: bool = True, min_mean_power: float = 1e-12,
 ) -> DataFrame:
     """Delay from the phase slope of every antenna pair, combined by power-weighted medians."""
-    pair = [*LINK, "rx_ant"]
-    samples = cfr.repartition(*LINK).select(*pair, F.posexplode("h").alias("k", "s"))
+    link, pair = link_keys(cfr), pair_keys(cfr)
+    samples = cfr.repartition(*link).select(*pair, F.posexplode("h").alias("k", "s"))
     re, im = F.col("s.re"), F.col("s.im")
     centred = (F.col("k") - (subcarriers - 1) / 2) * spacing_hz
     rows = samples.select(
@@ -148,8 +162,9 @@ def phase_slope_ranging(
     slope, intercept = Q.line_from_sums({n: F.col(n) for n in sums})
     rows = rows.withColumns({"slope": slope, "intercept": intercept})
     misfit = F.col(phase) - (F.col("slope") * F.col("f") + F.col("intercept"))
+    once = F.when(F.count(F.lit(1)) > subcarriers, F.raise_error(F.lit("an antenna pair occurs twice")))
     pairs = rows.groupBy(*pair).agg(
-        F.avg("w").alias("mean_power"), F.bool_and("finite").alias("finite"),
+        F.coalesce(once.cast("double"), F.avg("w")).alias("mean_power"), F.bool_and("finite").alias("finite"),
         F.first("slope").alias("slope"),
         F.sqrt(F.try_divide(F.sum(F.col("w") * misfit * misfit), F.sum("w"))).alias("residual"),
     ).withColumn("toa_s", -F.col("slope") / Q.TWO_PI)
@@ -157,18 +172,22 @@ def phase_slope_ranging(
         F.col("finite") & (F.col("mean_power") >= min_mean_power) & (F.col("toa_s") >= 0)
     )
     medians = {"toa_s": "toa_s", "residual": "residual_rad"}
-    return _with_truth(truth, Q.weighted_medians(usable, LINK, medians, "mean_power"))
+    return _with_truth(cfr, truth, Q.weighted_medians(usable, link, medians, "mean_power"))
 
 
-def _with_truth(truth: DataFrame, detected: DataFrame) -> DataFrame:
+def _with_truth(cfr: DataFrame, truth: DataFrame, detected: DataFrame) -> DataFrame:
     """Every link of ``truth`` with derived range, round trip, error and success.
 
-    A link without a finite truth delay matches no detection and therefore fails.
+    A link without a finite truth delay matches no detection and therefore fails. A truth without
+    snapshots holds for every snapshot of its link.
     """
     c = PW.SPEED_OF_LIGHT_MPS
+    link = link_keys(cfr)
+    if any(k not in truth.columns for k in link):
+        truth = truth.join(cfr.select(*link).distinct(), LINK)
     known = truth.withColumn("_known", C.is_finite(F.col("truth_delay_s")))
     found = detected.withColumn("_known", F.lit(True))
-    return known.join(found, [*LINK, "_known"], "left").withColumns({
+    return known.join(found, [*link, "_known"], "left").withColumns({
         "range_m": F.col("toa_s") * c,
         "rtt_s": F.col("toa_s") * 2,
         "error_m": (F.col("toa_s") - F.col("truth_delay_s")) * c,
@@ -196,7 +215,7 @@ def run_ranging(
     common = ["toa_s", "range_m", "rtt_s", "error_m", "success"]
     tables = [
         ESTIMATORS[name](cfr, truth, spacing_hz, subcarriers).select(
-            F.lit(name).alias("estimator"), *LINK, *common, F.lit(name == default).alias("is_default")
+            F.lit(name).alias("estimator"), *link_keys(cfr), *common, F.lit(name == default).alias("is_default")
         )
         for name in estimators
     ]

@@ -15,6 +15,9 @@ from channelspark.functions import complex as C
 from channelspark.functions import grid
 
 
+LINK_SLICE = 64  # links whose products with the steering matrix are held at once
+
+
 @dataclass(frozen=True)
 class ArrayLayout:
     """Planar receive array: element a = column * rows + row, spacing in wavelengths."""
@@ -52,14 +55,18 @@ class AngleGrid:
 
 
 def rx_covariance(cfr: DataFrame, link: Sequence[str]) -> DataFrame:
-    """R[i, j] = mean of x_i * conj(x_j) over samples; links without any power are left out.
+    """R[i, j] = mean of x_i * conj(x_j) over subcarriers and, where there are any, transmit antennas.
 
-    The array rows of a link meet on the link key (antennas squared pairs per link, the size of
-    the result) and are unnested after the join.
+    Receive antennas meet at the same transmit antenna of a link (antennas squared pairs, the size
+    of the result) and are unnested after the join. Links without any power are left out. Snapshots
+    are never mixed: if the table has them, ``link`` must name them.
     """
-    left = cfr.select(*link, F.col("rx_ant").alias("i"), F.col("h").alias("hi"))
-    right = cfr.select(*link, F.col("rx_ant").alias("j"), F.col("h").alias("hj"))
-    samples = left.join(right, list(link)).select(
+    if "snapshot" in cfr.columns and "snapshot" not in link:
+        raise ValueError("link must contain snapshot")
+    meet = [*link, *(c for c in ("tx_ant",) if c in cfr.columns and c not in link)]
+    left = cfr.select(*meet, F.col("rx_ant").alias("i"), F.col("h").alias("hi"))
+    right = cfr.select(*meet, F.col("rx_ant").alias("j"), F.col("h").alias("hj"))
+    samples = left.join(right, meet).select(
         *link, "i", "j", F.inline(F.arrays_zip("hi", "hj"))
     )
     parts = [C.nan_to_zero(F.col(c)) for c in ("hi.re", "hi.im", "hj.re", "hj.im")]
@@ -109,10 +116,11 @@ def bartlett_spectrum(
             rows = np.all(all_turns == turned, axis=1)
             placed = positions @ _rotation(turned).T
             steering = np.exp(2j * np.pi * directions @ placed.T) / np.sqrt(size)
-            power = np.einsum("ga,lab,gb->lg", steering.conj(), cov[rows], steering).real
-            power = np.maximum(power, 0.0)
-            peak = power.max(axis=1, keepdims=True)
-            out[rows] = np.divide(power, peak, out=np.zeros_like(power), where=peak > 0)
+            for part in np.array_split(np.flatnonzero(rows), -(-rows.sum() // LINK_SLICE)):
+                seen = steering.conj() @ cov[part]  # [link, direction, element]
+                power = np.maximum((seen * steering).sum(axis=2).real, 0.0)
+                peak = power.max(axis=1, keepdims=True)
+                out[part] = np.divide(power, peak, out=np.zeros_like(power), where=peak > 0)
         return pd.Series(list(out))
 
     return packed.select(

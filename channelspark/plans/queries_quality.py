@@ -140,7 +140,8 @@ def q10(spark, sf):
         "scene_id", "frame", "slot", (F.col("tx") >= 0).alias("active"),
         F.when(F.col("tx") % 50 == 7, F.lit(-5)).otherwise(F.col("tx")).alias("tx"),
     )
-    return QA.multiuser_slots(slots, ["scene_id"], F.lit(2**40))
+    top = users(spark, sf).groupBy("scene_id").agg((F.max("ue") + 1).alias("tx_count"))
+    return QA.multiuser_slots(slots.join(top, "scene_id"), ["scene_id"], F.col("tx_count"))
 
 
 @query("q10_collision_mask", """WITH u AS (SELECT scene_id, idx AS tx, ROW_NUMBER() OVER (PARTITION BY scene_id ORDER BY idx) - 1 AS n
@@ -196,7 +197,8 @@ def q13(spark, sf):
     cov = SP.rx_covariance(B.cfr(spark, sf), LINK)
     rows = SP.spectrum_rows(SP.bartlett_spectrum(cov, LINK, LAYOUT, ANGLES), LINK, ANGLES)
     cut = rows.where((F.col("rx") != 1) | (F.col("zenith_idx") != 8))
-    return QA.rows_per_key(cut, "array", LINK, ANGLES.zenith[2] * ANGLES.azimuth[2], "Q13")
+    return QA.rows_per_key(cut, "array", LINK, ANGLES.zenith[2] * ANGLES.azimuth[2], "Q13",
+                           B.cfr(spark, sf).select(*LINK))
 
 
 @query("q14_link_table", f"WITH {LINKS}, n AS (SELECT scene_id, COUNT(*) AS n, COUNT(*) FILTER (tx % 100 = 3 AND rx % 7 = 2) AS d FROM lk GROUP BY scene_id) "
@@ -214,4 +216,4 @@ def q14(spark, sf):
 def q15(spark, sf):
     rows = B.samples(B.cfr_est(spark, sf).select("vec_id", "tx", "rx", "h"))
     cut = rows.where(~((F.col("vec_id") % 50 == 9) & (F.col("k") > 20)))
-    return QA.rows_per_key(cut, "cfr", ["tx", "rx"], 4 * B.SUBCARRIERS)
+    return QA.rows_per_key(cut, "cfr", ["tx", "rx"], 4 * B.SUBCARRIERS, axis=B.cfr_est(spark, sf))
