@@ -40,8 +40,9 @@ def nearest_bin(value: Column, lo: float, hi: float, count: int) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(count - 1)).cast("bigint")
 
 
-def histogram_bin(value: Column, lo: float, hi: float, count: int) -> Column:
+def histogram_bin(value: Column, lo: float | Column, hi: float | Column, count: int) -> Column:
     """Fixed-width bin 0..count-1; the last bin is closed; outside values give NULL."""
+    lo, hi = (b if isinstance(b, Column) else F.lit(b) for b in (lo, hi))
     position = F.floor((value - lo) / (hi - lo) * count)
     return F.when(value.between(lo, hi), F.least(position, F.lit(count - 1))).cast("bigint")
 

@@ -10,30 +10,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf, udtf
-
-# Type objects, not DDL text: importing this module must not need a session.
-FREQUENCIES = T.StructType([T.StructField("k", T.LongType()), T.StructField("f_hz", T.DoubleType())])
-ELEMENTS = T.StructType([T.StructField("symbol", T.LongType()), T.StructField("k", T.LongType())])
-
-
-@udtf(returnType=FREQUENCIES)
-class FrequencyGrid:
-    """``SELECT * FROM frequency_grid(3.5e9, 20e6, 64)``."""
-
-    def eval(self, center_hz: float, bandwidth_hz: float, count: int):
-        for k in range(count):
-            yield k, center_hz + (k - (count - 1) / 2) * (bandwidth_hz / count)
-
-
-@udtf(returnType=ELEMENTS)
-class SrsReGrid:
-    """Resource elements: ``srs_re_grid(symbols, start_prb, prb_count, comb, offset, total)``."""
-
-    def eval(self, symbols: int, start_prb: int, prb_count: int, comb: int, offset: int, total: int):
-        for symbol in range(symbols):
-            for k in range(start_prb * 12 + offset, min((start_prb + prb_count) * 12, total), comb):
-                yield symbol, k
+from pyspark.sql.functions import pandas_udf
+
+#: SQL table functions: name -> (parameters, columns, body). They are expanded into the calling query.
+TABLE_FUNCTIONS = {
+    # SELECT * FROM frequency_grid(3.5e9D, 20e6D, 64)
+    "frequency_grid": (
+        "center_hz DOUBLE, bandwidth_hz DOUBLE, points BIGINT", "k BIGINT, f_hz DOUBLE",
+        "SELECT k, center_hz + (k - (points - 1) / 2) * (bandwidth_hz / points)"
+        " FROM explode(CASE WHEN points > 0 THEN sequence(0L, points - 1) END) AS t(k)",
+    ),
+    # resource elements of every symbol
+    "srs_re_grid": (
+        "symbols BIGINT, start_prb BIGINT, prb_count BIGINT, comb BIGINT, shift BIGINT, total BIGINT",
+        "symbol BIGINT, k BIGINT",
+        "SELECT e.symbol, e.k FROM inline(flatten(transform("
+        "CASE WHEN symbols > 0 THEN sequence(0L, symbols - 1) ELSE array() END, s -> transform("
+        "CASE WHEN start_prb * 12 + shift < least((start_prb + prb_count) * 12, total)"
+        " THEN sequence(start_prb * 12 + shift, least((start_prb + prb_count) * 12, total) - 1, comb)"
+        " ELSE array() END, e -> struct(s AS symbol, e AS k))))) AS e",
+    ),
+}
 
 
 @pandas_udf(T.DoubleType())
@@ -47,6 +44,6 @@ def weighted_median(value: pd.Series, weight: pd.Series) -> float:
 
 
 def register_functions(spark: SparkSession) -> None:
-    spark.udtf.register("frequency_grid", FrequencyGrid)
-    spark.udtf.register("srs_re_grid", SrsReGrid)
+    for name, (parameters, columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({columns}) RETURN {body}")
     spark.udf.register("weighted_median", weighted_median)

@@ -143,7 +143,9 @@ def nlos_paths(paths: DataFrame) -> DataFrame:
 
 
 def first_paths(paths: DataFrame, n: int) -> DataFrame:
-    """First n paths of each antenna pair; the rank limit runs before the shuffle too."""
+    """First n paths of each antenna pair, at most 1000; the rank limit runs before the shuffle too."""
+    if n > 1000:
+        raise ValueError("n is a report size of at most 1000 paths")
     order = W.partitionBy(*PAIR).orderBy("path")
     return (
         paths.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
@@ -151,33 +153,23 @@ def first_paths(paths: DataFrame, n: int) -> DataFrame:
     )
 
 
-def cir_to_cfr(paths: DataFrame, grid_hz: Column, hot_pair_paths: int = 1_000_000) -> DataFrame:
+def cir_to_cfr(paths: DataFrame, grid_hz: Column, part_paths: int = 65_536) -> DataFrame:
     """H(f) = sum of a*exp(-j*2*pi*f*tau) per antenna pair.
 
     ``grid_hz`` is an array expression such as :func:`functions.grid.frequency_grid`, so every
     path row carries its own grid and nothing is joined. A pair usually has far fewer paths than
-    subcarriers, so the compact path rows are shuffled by pair and unnested afterwards. One count
-    when the query is built finds pairs with very many paths; those are summed in salted parts.
+    subcarriers, so the compact path rows are shuffled and unnested afterwards. Parts of
+    ``part_paths`` consecutive paths are summed by themselves, then the parts of a pair.
     """
     phase = -2 * F.pi() * F.col("f_hz") * F.col("tau_s")
     re, im = C.rotate(F.col("a_re"), F.col("a_im"), phase)
-    sums = [F.sum(re).alias("re"), F.sum(im).alias("im")]
-    rows = paths.select(*PAIR, "path", "a_re", "a_im", "tau_s")
-
-    def summed(part: DataFrame, keys: list[str]) -> DataFrame:
-        placed = part.select(*keys, "a_re", "a_im", "tau_s").repartition(*keys)
-        unnested = placed.select(
-            *keys, "a_re", "a_im", "tau_s", F.posexplode(grid_hz).alias("k", "f_hz")
-        )
-        return unnested.groupBy(*keys, "k").agg(*sums)
-
-    hot = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_pair_paths)
-    if hot.isEmpty():
-        return summed(rows, PAIR)
-    salt = F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / hot_pair_paths))
-    parts = summed(rows.join(hot, PAIR).withColumn("_salt", salt), [*PAIR, "_salt"])
-    whole = parts.groupBy(*PAIR, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    return summed(rows.join(hot, PAIR, "left_anti"), PAIR).unionByName(whole)
+    keys = [*PAIR, "_part"]
+    placed = paths.select(
+        *PAIR, F.floor(F.col("path") / part_paths).alias("_part"), "a_re", "a_im", "tau_s"
+    ).repartition(*keys)
+    unnested = placed.select(*keys, "a_re", "a_im", "tau_s", F.posexplode(grid_hz).alias("k", "f_hz"))
+    parts = unnested.groupBy(*keys, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    return parts.groupBy(*PAIR, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def path_scatter(paths: DataFrame, links: DataFrame) -> DataFrame:
@@ -187,3 +179,18 @@ def path_scatter(paths: DataFrame, links: DataFrame) -> DataFrame:
         *PAIR, "path", "tau_s", "doppler_hz",
         PW.path_gain_db(F.col("a_re"), F.col("a_im")).alias("gain_db"),
     )
+
+
+def link_overview(summary: DataFrame, links: DataFrame) -> DataFrame:
+    """Valid, line-of-sight, other-paths and path-count cells of every requested link.
+
+    ``links`` lists tx and rx; a link without paths is invalid with count 0.
+    """
+    def there(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    count = F.coalesce("path_count", F.lit(0))
+    return links.select("tx", "rx").distinct().join(summary, ["tx", "rx"], "left").select(
+        "tx", "rx", (count > 0).alias("valid"), there("los_exists").alias("los"),
+        there("nlos_exists").alias("nlos"), count.cast("bigint").alias("path_count"),
+    )

@@ -1,10 +1,9 @@
 """Exact quantiles of groups of any size.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one task, so it is used
-only after a count has shown that every group is small. Larger groups are narrowed down in two
-counting passes: a monotone coarse bucket, then a linear split of the few buckets that hold the
-wanted ranks. Only small count tables and the values of one fine bucket are ever ranked together,
-and equal values are merged before that.
+The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here groups are
+narrowed down in two counting passes: a monotone coarse bucket, then a linear split of the few
+buckets that hold the wanted ranks. Only small count tables and the values of one fine bucket are
+ever ranked together, and equal values are merged before that. Every size takes this way.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 
 from channelspark.session import stored
 
-SMALL_GROUP_ROWS = 1_000_000
 COARSE_PER_E_FOLD = 64
 COARSE_UNIT = 1e-12
 FINE_SPLIT = 4096
@@ -34,24 +32,16 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    small_group_rows: int = SMALL_GROUP_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, plus ``n``, the number of non-NULL values.
 
-    ``probabilities`` maps output column names to probabilities. Groups without values are absent.
-    The choice of method costs one counting job when the query is built.
+    ``probabilities`` maps output column names to probabilities. Groups without values are absent;
+    NULL is a key like any other. The narrow tables of wanted ranks are written when the query is built.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest <= small_group_rows:
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.percentile("_v", F.lit(float(p))).alias(q) for q, p in probabilities.items()],
-        ).where("n > 0")
-    if not keys:
-        return _narrowed(rows.withColumn("_all", F.lit(1)), ["_all"], probabilities).drop("_all")
-    return _narrowed(rows, list(keys), probabilities)
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
+    rows = df.select(key.alias("_key"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    found = _narrowed(rows, ["_key"], probabilities)
+    return found.select(*[F.col("_key")[k].alias(k) for k in keys], "n", *probabilities)
 
 
 def _narrowed(rows: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:

@@ -22,8 +22,13 @@ def measured(rss: DataFrame) -> Column:
 
 
 def radio_map(rss: DataFrame, station: Column, stations: Sequence[int]) -> DataFrame:
-    """One row per user, one column per station slot; invalid links are NULL."""
-    rows = rss.select("ue", station.alias("slot"), measured(rss).alias("v"))
+    """One row per user, one column per station slot; invalid links are NULL.
+
+    A station that is not in ``stations`` is an error, not a lost column.
+    """
+    stray = F.raise_error(F.concat(F.lit("station not listed: "), F.coalesce(station.cast("string"), F.lit("NULL"))))
+    slot = F.when(station.isin(list(stations)), station).otherwise(stray.cast("bigint"))
+    rows = rss.select("ue", slot.alias("slot"), measured(rss).alias("v"))
     return rows.groupBy("ue").pivot("slot", list(stations)).agg(F.first("v", ignorenulls=True))
 
 

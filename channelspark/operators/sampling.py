@@ -40,44 +40,43 @@ def largest_remainder_allocation(scenes: DataFrame, stratum: str, total: int) ->
     )
 
 
-PRUNED_RANK = 1000  # largest rank limit the optimizer applies before the shuffle
-
-
-def stratified_sample(
-    rows: DataFrame, stratum: str, keys: Sequence[str], quotas: DataFrame, seed: int,
-    pruned_rank: int = PRUNED_RANK,
+def ranked_within(
+    rows: DataFrame, group: Sequence[str], ranges: dict[str, Column], order: Sequence[Column],
+    limits: DataFrame,
 ) -> DataFrame:
-    """Quota rows per stratum in seeded order, with their rank in the stratum.
+    """The first ``quota`` rows (``limits``: group, quota) of each group with their rank from 1.
 
-    Small quotas: the rank limit runs before the shuffle, so a huge stratum sends few rows. Large
-    quotas: the seeded hash splits each stratum into 4096 even ranges; whole ranges beyond the
-    quota are dropped by their counts and only single ranges are ever sorted together.
+    ``ranges`` are leading parts of the order. Rows are counted per range; ranges beyond the quota are
+    dropped by those counts, and only the rows of one range are ever sorted together.
     """
-    order = seeded_order(keys, seed)
-    limits = quotas.select(stratum, "quota")
-    widest = quotas.agg(F.max("quota")).first()[0] or 0
-    if widest <= pruned_rank:
-        ranked = rows.withColumn(
-            "rank", F.row_number().over(W.partitionBy(stratum).orderBy(order)).cast("bigint")
-        ).where(F.col("rank") <= int(widest))
-        return ranked.join(limits, stratum).where(F.col("rank") <= F.col("quota")).drop("quota")
-    hashed = rows.withColumn("_hash", order).withColumn("_range", F.substring("_hash", 1, 3))
-    before = W.partitionBy(stratum).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    keys = [*group, *ranges]
+    ranged = rows.withColumns(ranges)
+    before = W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in ranges]).rowsBetween(
+        W.unboundedPreceding, -1)
     starts = (
-        hashed.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(limits, stratum).where(F.col("_start") < F.col("quota"))
-        .select(stratum, "_range", "_start", "quota")
+        .join(limits.select(*group, "quota"), list(group)).where(F.col("_start") < F.col("quota"))
+        .select(*keys, "_start", "quota")
     )
-    inside = F.row_number().over(W.partitionBy(stratum, "_range").orderBy("_hash"))
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (
-        hashed.join(starts, [stratum, "_range"])
-        .withColumn("rank", (F.col("_start") + inside).cast("bigint"))
-        .where(F.col("rank") <= F.col("quota"))
-        .drop("_hash", "_range", "_start", "quota")
+        ranged.join(starts, keys).withColumn("rank", (F.col("_start") + inside).cast("bigint"))
+        .where(F.col("rank") <= F.col("quota")).drop(*ranges, "_start", "quota")
     )
 
 
+def stratified_sample(
+    rows: DataFrame, stratum: str, keys: Sequence[str], quotas: DataFrame, seed: int
+) -> DataFrame:
+    """Quota rows per stratum in seeded order, with their rank in the stratum.
+
+    The seeded hash splits each stratum into 4096 even ranges.
+    """
+    order = seeded_order(keys, seed)
+    return ranked_within(rows, [stratum], {"_range": F.substring(order, 1, 3)}, [order], quotas)
+
+
 def interleave_positions(quotas: DataFrame, stratum: str) -> DataFrame:
     """Position of the j-th row of every stratum in the interleaved order.
 
@@ -170,25 +169,24 @@ def sample_links(
     spatially_spread_valid_links.
     """
     shuffled = seeded_order(["ue"], seed)
+    ranges = {"_range": F.substring(shuffled, 1, 3)}
+    order, rows = [shuffled], users
     if policy == "first":
-        order = [F.col("ue")]
-        rows = users
-    elif policy == "random":
-        order = [shuffled]
-        rows = users
+        ranges, order = {"_range": F.floor(F.col("ue") / (1 << 20))}, [F.col("ue")]
     elif policy in ("valid_links_first", "spatially_spread_valid_links"):
         rows = users.join(any_valid(rss), "ue", "left").withColumn(
             "any_valid", F.coalesce("any_valid", F.lit(False))
         )
-        order = [F.col("any_valid").desc(), shuffled]
+        first = (~F.col("any_valid")).cast("int")
         if policy == "spatially_spread_valid_links":
             spread = farthest_point_sample(rows.where("any_valid"), scene, "ue", count)
             rows = rows.join(spread, [scene, "ue"], "left")
-            order = [F.col("pick").asc_nulls_last(), shuffled]
-    else:
+            first = F.coalesce("pick", F.lit(count))
+        ranges = {"_first": first, **ranges}
+    elif policy != "random":
         raise ValueError(f"unknown sampling policy {policy}")
-    rank = F.row_number().over(W.partitionBy(scene).orderBy(*order))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= count).select(scene, "ue", "rank")
+    limits = users.select(scene).distinct().withColumn("quota", F.lit(count))
+    return ranked_within(rows, [scene], ranges, order, limits).select(scene, "ue", F.col("rank").cast("int").alias("rank"))
 
 
 def slice_index(entries: DataFrame, start: int, limit: int | None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from channelspark.operators.skew import with_rank
+from channelspark.session import stored
 
 
 def assign_by_index(users: DataFrame, size: int) -> DataFrame:
@@ -74,9 +75,9 @@ def training_batches(fragments: DataFrame, run: str, max_fragments: int | None,
                      ) -> DataFrame:
     """Greedy consecutive batches; a new one starts when either cap would be exceeded.
 
-    With the fragment cap alone this is arithmetic on the fragment rank. The user cap makes it
-    sequential, so each run is walked in one task over three narrow columns: a row stands for a
-    whole shard file, and 100 TB in 128 MB files are under a million rows.
+    With the fragment cap alone this is arithmetic on the fragment rank. With a user cap, each
+    fragment gets the one that would start the next batch after it; doubling those jumps finds
+    every start in a logarithmic number of joins, so no run is walked in one task.
     """
     if max_fragments is not None and max_fragments < 1:
         max_fragments = None
@@ -86,27 +87,52 @@ def training_batches(fragments: DataFrame, run: str, max_fragments: int | None,
         ranked = with_rank(fragments, [run], "fragment", "_rank")
         size = F.lit(max_fragments or 2**62)
         return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
-
-    def walk(run_rows):
-        import numpy as np
-
-        rows = run_rows.sort_values("fragment")
-        batch, held, users = 0, 0, 0
-        numbers = np.empty(len(rows), dtype="int64")
-        for at, ue in enumerate(rows["ue_count"].to_numpy()):
-            full = max_fragments is not None and held >= max_fragments
-            if held and (full or users + ue > max_ue):
-                batch, held, users = batch + 1, 0, 0
-            held, users = held + 1, users + ue
-            numbers[at] = batch
-        return rows[[run, "fragment"]].assign(batch=numbers)
-
-    narrow = fragments.select(run, "fragment", "ue_count")
-    types = dict(narrow.dtypes)
-    placed = narrow.groupBy(run).applyInPandas(
-        walk, f"{run} {types[run]}, fragment {types['fragment']}, batch bigint"
-    )
-    return fragments.join(placed, [run, "fragment"])
+    jumps = stored(_next_starts(fragments.select(run, "fragment", "ue_count"), run, max_fragments, max_ue), "batch-jumps")
+    starts = stored(jumps.where("at = 0").select(run, "at"), "batch-starts")
+    jump, found = jumps, starts.count()
+    while True:
+        reached = starts.join(jump, [run, "at"]).select(run, F.col("next").alias("at"))
+        starts = stored(starts.union(reached).distinct(), "batch-starts")
+        now = starts.count()
+        if now == found:
+            break
+        found = now
+        further = jump.select(run, F.col("at").alias("next"), F.col("next").alias("further"))
+        jump = stored(jump.join(further, [run, "next"]).select(run, "at", F.col("further").alias("next")), "batch-jumps")
+    spans = with_rank(starts.join(jumps, [run, "at"]), [run], "at", "batch")
+    placed = spans.select(run, "batch", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at"))
+    ranked = with_rank(fragments, [run], "fragment", "at")
+    return ranked.join(placed, [run, "at"]).drop("at")
+
+
+def _next_starts(rows: DataFrame, run: str, max_fragments: int | None, max_ue: int, span: int = 1024) -> DataFrame:
+    """(run, at, next): a batch that starts at rank ``at`` ends before ``next``.
+
+    Users before each fragment come from counts per range of ranks. Fragments meet the one that ends
+    their batch in stretches of ``span`` caps of users, each with the beginning of the next stretch.
+    """
+    ranked = with_rank(rows, [run], "fragment", "at").withColumn("_range", F.floor(F.col("at") / (1 << 16)))
+    whole = W.partitionBy(run).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = ranked.groupBy(run, "_range").agg(F.sum("ue_count").alias("_n")).select(
+        run, "_range", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(run, "_range").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = ranked.join(before, [run, "_range"]).select(
+        run, "at", "ue_count", (F.col("_before") + F.sum("ue_count").over(inside)).alias("upto"))
+    start = F.col("upto") - F.col("ue_count")
+    stretch = F.floor(start / (span * max_ue))
+    both = summed.select(
+        run, "at", start.alias("start"), "upto",
+        F.explode(F.array_distinct(F.array(stretch, F.greatest(F.floor((start - max_ue) / (span * max_ue)), F.lit(0))))).alias("in"),
+        stretch.alias("own"))
+    # the last fragment whose users, with those since the start, stay within the cap
+    ahead = W.partitionBy(run, "in").orderBy("mark").rangeBetween(0, max_ue)
+    marks = both.select(run, "in", F.col("upto").alias("mark"), F.lit(None).cast("bigint").alias("of"), F.col("at").alias("last")).union(
+        both.where(F.col("in") == F.col("own")).select(run, "in", F.col("start").alias("mark"), F.col("at").alias("of"), F.lit(None).cast("bigint")))
+    reach = marks.withColumn("reach", F.max("last").over(ahead)).where("of IS NOT NULL")
+    most = F.greatest(F.col("reach"), F.col("of")) + 1
+    if max_fragments is not None:
+        most = F.least(most, F.col("of") + max_fragments)
+    return reach.select(run, F.col("of").alias("at"), most.alias("next"))
 
 
 def concat_batches(rows: DataFrame, keys: Sequence[str], shared: Sequence[str]) -> DataFrame:

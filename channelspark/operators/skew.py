@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 
 def salted_join(
-    many: DataFrame, few: DataFrame, keys: Sequence[str], spread: str, salts: int = 8
+    many: DataFrame, few: DataFrame, keys: Sequence[str], spread: str, salts: int | None = None
 ) -> DataFrame:
-    """Inner equi-join whose hot keys are split ``salts`` ways.
+    """Inner equi-join whose hot keys are split ``salts`` ways, by default a quarter of the shuffle partitions.
 
     ``many`` rows get a salt from a hash of ``spread``; every ``few`` row is repeated once per
     salt. Both sides then shuffle on (keys, salt), so one hot key fills ``salts`` partitions.
     """
+    if salts is None:
+        salts = max(2, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"]).drop("_salt")

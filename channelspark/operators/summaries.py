@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from channelspark.functions import complex as C
 from channelspark.functions import geometry as G
+from channelspark.functions.grid import histogram_bin
 from channelspark.operators.quantiles import exact_quantiles
 from channelspark.session import stored
 
@@ -207,3 +208,19 @@ def block_error_rate(rows: DataFrame, keys: Sequence[str], errors: str, total: s
         F.sum(errors).alias("errors"), F.sum(total).alias("total"),
         F.try_divide(F.sum(errors), F.sum(total)).alias("rate"),
     )
+
+
+def histogram(rows: DataFrame, keys: Sequence[str], value: str, count: int) -> DataFrame:
+    """Counts per bin over the range of each key's own finite values, so that none is outside.
+
+    Columns: keys, bin, lo and hi (the range), n. Equal values all fall into bin 0.
+    """
+    finite = rows.where(C.is_finite(F.col(value))).select(*keys, F.col(value).alias("_v"))
+    ends = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    if keys:
+        placed = finite.join(finite.groupBy(*keys).agg(ends.alias("_e")), list(keys))
+    else:
+        placed = finite.withColumn("_e", finite.agg(ends.alias("_e")).scalar())
+    lo, hi = F.col("_e.lo"), F.col("_e.hi")
+    bin_ = F.when(hi > lo, histogram_bin(F.col("_v"), lo, hi, count)).otherwise(F.lit(0).cast("bigint"))
+    return placed.groupBy(*keys, bin_.alias("bin"), lo.alias("lo"), hi.alias("hi")).agg(F.count(F.lit(1)).alias("n"))

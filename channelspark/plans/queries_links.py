@@ -389,16 +389,15 @@ def d40_histogram(spark, sf):
     )
 
 
-@query("d41_link_overview", """WITH p AS (SELECT tx, rx, COUNT(DISTINCT path) AS n, BOOL_OR(flag = 'A') AS los
-  FROM fx_paths GROUP BY tx, rx)
-  SELECT tx, MAX(n) FILTER (rx = 0) AS "0_path_count", BOOL_OR(los) FILTER (rx = 0) AS "0_los",
-  MAX(n) FILTER (rx = 1) AS "1_path_count", BOOL_OR(los) FILTER (rx = 1) AS "1_los",
-  MAX(n) FILTER (rx = 2) AS "2_path_count", BOOL_OR(los) FILTER (rx = 2) AS "2_los" FROM p GROUP BY tx""", ("fx_paths",))
+@query("d41_link_overview", """WITH p AS (SELECT tx, rx, COUNT(DISTINCT path) AS n, BOOL_OR(flag = 'A') AS los,
+  BOOL_OR(flag <> 'A') AS nlos FROM fx_paths WHERE flag <> 'R' OR rx_ant = 0 GROUP BY tx, rx),
+  l AS (SELECT DISTINCT tx, rx FROM fx_paths)
+  SELECT tx, rx, n IS NOT NULL AS valid, COALESCE(los, FALSE) AS los, COALESCE(nlos, FALSE) AS nlos,
+  COALESCE(n, 0) AS path_count FROM l LEFT JOIN p USING (tx, rx)""", ("fx_paths",))
 def d41(spark, sf):
-    summary = PO.link_summary(B.paths(spark, sf), 2, 2)
-    return summary.groupBy("tx").pivot("rx", [0, 1, 2]).agg(
-        F.first("path_count").alias("path_count"), F.first("los_exists").alias("los")
-    )
+    paths = B.paths(spark, sf)
+    kept = paths.where((P.path_type(F.col("interactions")) != "mixed") | (F.col("rx_ant") == 0))
+    return PO.link_overview(PO.link_summary(kept, 2, 2), paths)
 
 
 @query("f3_topn_paths", """SELECT tx, rx, rx_ant, tx_ant, path FROM (SELECT *, ROW_NUMBER() OVER

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from channelspark.functions import complex as C
-from channelspark.functions.grid import histogram_bin
 from channelspark.operators import cfr as K
 from channelspark.operators import summaries as S
 from channelspark.plans import bindings as B
@@ -157,15 +156,13 @@ def d39(spark, sf):
     )
 
 
-@query("b27_histogram_bin", """WITH e AS (SELECT estimator, range_m - truth_m AS e FROM fx_ranging WHERE success)
-  SELECT estimator, CAST(LEAST(FLOOR((e - 0) / 4.0 * 50), 49) AS BIGINT) AS bin, COUNT(*) AS n
-  FROM e WHERE e BETWEEN 0 AND 4 GROUP BY 1, 2""", ("fx_ranging",))
+@query("b27_histogram_bin", f"""WITH e AS (SELECT estimator, range_m - truth_m AS e FROM fx_ranging WHERE success),
+  x AS (SELECT estimator, MIN(e) AS lo, MAX(e) AS hi FROM e GROUP BY estimator)
+  SELECT estimator, CASE WHEN hi > lo THEN CAST(LEAST(FLOOR((e - lo) / (hi - lo) * 50), 49) AS BIGINT) ELSE 0 END AS bin,
+  {sr('lo')} AS lo, {sr('hi')} AS hi, COUNT(*) AS n FROM e JOIN x USING (estimator) GROUP BY ALL""", ("fx_ranging",))
 def b27(spark, sf):
-    bin_ = histogram_bin(F.col("error_m"), 0.0, 4.0, 50).alias("bin")
-    rows = S.estimator_vs_truth(B.ranging(spark, sf)).select("estimator", bin_)
-    return rows.where("bin IS NOT NULL").groupBy("estimator", "bin").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    rows = S.estimator_vs_truth(B.ranging(spark, sf))
+    return S.histogram(rows, ["estimator"], "error_m", 50).withColumns({n: r(F.col(n)) for n in ("lo", "hi")})
 
 
 @query("d12_diagnostics_report", f"""WITH {EVAL_SQL}, w AS (SELECT tx, rx, nmse_db FROM ev ORDER BY nmse_db DESC, tx, rx LIMIT 1)
@@ -278,12 +275,13 @@ def d42(spark, sf):
     )
 
 
-@query("d42_nmse_histogram", f"""WITH {EVAL_SQL} SELECT CAST(LEAST(FLOOR((nmse_db + 25) / 25 * 40), 39) AS BIGINT) AS bin,
-  COUNT(*) AS n FROM ev WHERE nmse_db BETWEEN -25 AND 0 GROUP BY 1""", ("fx_est",))
+@query("d42_nmse_histogram", f"""WITH {EVAL_SQL}, v AS (SELECT nmse_db FROM ev WHERE nmse_db IS NOT NULL AND snr_db IS NOT NULL),
+  x AS (SELECT MIN(nmse_db) AS lo, MAX(nmse_db) AS hi FROM v)
+  SELECT CASE WHEN hi > lo THEN CAST(LEAST(FLOOR((nmse_db - lo) / (hi - lo) * 40), 39) AS BIGINT) ELSE 0 END AS bin,
+  {sr('lo')} AS lo, {sr('hi')} AS hi, COUNT(*) AS n FROM v, x GROUP BY ALL""", ("fx_est",))
 def d42_histogram(spark, sf):
-    bin_ = histogram_bin(F.col("nmse_db"), -25.0, 0.0, 40).alias("bin")
-    rows = S.nmse_vs_snr(evaluation(spark, sf), []).select(bin_).where("bin IS NOT NULL")
-    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    rows = S.nmse_vs_snr(evaluation(spark, sf), [])
+    return S.histogram(rows, [], "nmse_db", 40).withColumns({n: r(F.col(n)) for n in ("lo", "hi")})
 
 
 @query("f5_worst_link", f"""WITH {EVAL_SQL} SELECT tx, rx, {sr('nmse_db')} AS nmse_db FROM ev

@@ -227,16 +227,13 @@ def a11(spark, sf):
 
 
 @query("a12_compact_shards", f"""SELECT ue // {B.UE_PER_SCENE} AS run_id, ue // 16 AS shard_index, ue, bs,
-  ROW_NUMBER() OVER (PARTITION BY ue // {B.UE_PER_SCENE}, ue // 16 ORDER BY ue * 1000000 + bs) - 1 AS fragment_offset FROM fx_rss""",
+  ROW_NUMBER() OVER (PARTITION BY ue // {B.UE_PER_SCENE}, ue // 16 ORDER BY ue, bs) - 1 AS fragment_offset FROM fx_rss""",
        ("fx_rss",))
 def a12(spark, sf):
     target = work_path(spark, "packed")
-    rows = spark.read.schema(SHARD_SCHEMA).parquet(shard_table(spark, sf)).withColumn(
-        "row_key", F.col("ue") * 1000000 + F.col("bs"))
-    keyed = work_path(spark, "keyed")
-    rows.write.parquet(keyed)
-    RU.compact_shards(spark, keyed, target, rows.schema, 2, ["run_id", "shard_index"], "row_key")
-    packed = T.StructType([*rows.schema.fields, T.StructField("fragment_offset", T.LongType())])
+    RU.compact_shards(spark, shard_table(spark, sf), target, SHARD_SCHEMA, ["run_id", "shard_index"],
+                      ["ue", "bs"])
+    packed = T.StructType([*SHARD_SCHEMA.fields, T.StructField("fragment_offset", T.LongType())])
     return spark.read.schema(packed).parquet(target).select(
         "run_id", "shard_index", "ue", "bs", "fragment_offset")
 

@@ -8,19 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "channelspark", cpus: str | int = "*", **conf: str) -> SparkSession:
-    """Local session for tests and benches; a cluster submits with its own settings."""
+def get_session(app: str = "channelspark", cpus: str | int | None = None, **conf: str) -> SparkSession:
+    """The submitted session; with ``cpus`` (a number or ``*``) a local one for tests and benches.
+
+    Master, memory and the number of shuffle partitions are only set for a local session.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
     )
+    if cpus is not None:
+        builder = (
+            builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8")
+            .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

@@ -81,15 +81,20 @@ def write_long_table(rows: DataFrame, path: str, partition_by: Sequence[str], or
 
 
 def compact_shards(
-    spark: SparkSession, source: str, target: str, schema: T.StructType, files: int,
-    fragment: Sequence[str], order: str,
+    spark: SparkSession, source: str, target: str, schema: T.StructType,
+    fragment: Sequence[str], order: Sequence[str], file_bytes: int = 256 << 20,
 ) -> None:
-    """Pack many small files into ``files`` large ones; every row keeps fragment id and offset."""
+    """Pack small files into ones of about ``file_bytes``; every row keeps fragment id and offset.
+
+    ``order`` must identify a row inside its fragment. A fragment is one small source file.
+    """
     rows = spark.read.schema(schema).parquet(source)
-    offset = F.row_number().over(W.partitionBy(*fragment).orderBy(order)) - 1
+    sizes = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+    files = max(1, -(-int(sizes.agg(F.sum("file_size")).first()[0] or 0) // file_bytes))
+    offset = F.row_number().over(W.partitionBy(*fragment).orderBy(*order)) - 1
     packed = rows.withColumn("fragment_offset", offset.cast("bigint"))
-    packed.repartitionByRange(files, *fragment, order).sortWithinPartitions(
-        *fragment, order
+    packed.repartitionByRange(files, *fragment, *order).sortWithinPartitions(
+        *fragment, *order
     ).write.parquet(target)
 
 

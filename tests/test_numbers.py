@@ -25,18 +25,20 @@ def cfr_rows(spark, vectors):
         rows, "tx bigint, rx bigint, rx_ant bigint, h array<struct<re:double,im:double>>")
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles_match_numpy(spark, limit):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"g": rng.choice([1, 2, 3], 3000, p=[.8, .15, .05]),
                         "v": np.round(rng.normal(0, 10, 3000) ** 3, 2)})
     pdf.loc[pdf.index[:900], "v"] = 3.25  # one value holds a third of all rows
     probs = {"a": 0.0, "b": 0.5, "c": 0.8, "d": 0.95, "e": 1.0}
-    out = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, limit).toPandas()
+    out = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).toPandas()
     for row in out.itertuples():
         expected = np.quantile(pdf.v[pdf.g == row.g], list(probs.values()))
         assert np.allclose([row.a, row.b, row.c, row.d, row.e], expected, rtol=1e-12)
         assert row.n == (pdf.g == row.g).sum()
+    odd = spark.createDataFrame([(None, 1.0), (None, 2.0), (7, None)], "g int, v double")
+    assert [tuple(r) for r in exact_quantiles(odd, ["g"], "v", {"m": 0.5}).collect()] == [(None, 2, 1.5)]
+    assert exact_quantiles(odd, [], "v", {"m": 0.5}).first().m == 1.5
 
 
 def test_unwrap_matches_numpy(spark):

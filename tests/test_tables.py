@@ -39,7 +39,7 @@ def test_path_labels_pick_each_their_own_angles(spark):
     assert summary.power_db == pytest.approx(10 * np.log10((0.04 + 0.02 + 100) / 4))
 
 
-def test_cir_to_cfr_hot_pair_equals_plain(spark):
+def test_cir_to_cfr_in_parts_equals_plain(spark):
     rng = np.random.default_rng(2)
     rows = [(0, 0, 0, 0, p, float(rng.uniform(0, 1e-7)), float(rng.normal()), float(rng.normal()),
              0., 0., 0., 0., []) for p in range(90)]
@@ -48,7 +48,7 @@ def test_cir_to_cfr_hot_pair_equals_plain(spark):
     freqs = grid.frequency_grid(F.lit(1e9), F.lit(1e7), F.lit(4))
     keys = ["tx", "k"]
     plain = PO.cir_to_cfr(df, freqs).toPandas().sort_values(keys)
-    hot = PO.cir_to_cfr(df, freqs, hot_pair_paths=10).toPandas().sort_values(keys)
+    hot = PO.cir_to_cfr(df, freqs, part_paths=10).toPandas().sort_values(keys)
     assert len(plain) == len(hot) == 8
     assert np.allclose(plain[["re", "im"]], hot[["re", "im"]], atol=1e-9)
     f = 1e9 + (np.arange(4) - 1.5) * 1e7 / 4
@@ -135,14 +135,14 @@ def test_allocation_and_interleave(spark):
         SA.largest_remainder_allocation(scenes, "c", 20).collect()
 
 
-def test_large_quota_sampling_equals_small(spark):
+def test_sampling_takes_the_first_by_hash(spark):
     rows = spark.range(600).select(F.when(F.col("id") < 400, "hot").otherwise("cold").alias("c"), "id")
     quotas = spark.createDataFrame([("hot", 150), ("cold", 20)], "c string, quota bigint")
-    small = SA.stratified_sample(rows, "c", ["id"], quotas, 3).toPandas()
-    large = SA.stratified_sample(rows, "c", ["id"], quotas, 3, pruned_rank=10).toPandas()
-    assert len(small) == 170
-    key = ["c", "rank", "id"]
-    assert small[key].sort_values(key).values.tolist() == large[key].sort_values(key).values.tolist()
+    got = SA.stratified_sample(rows, "c", ["id"], quotas, 3).toPandas()
+    hashed = rows.withColumn("h", SA.seeded_order(["id"], 3)).toPandas().sort_values("h")
+    for c, n in (("hot", 150), ("cold", 20)):
+        assert got[got.c == c].sort_values("rank").id.tolist() == hashed[hashed.c == c].id.head(n).tolist()
+        assert sorted(got[got.c == c]["rank"]) == list(range(1, n + 1))
 
 
 def test_batches_respect_both_caps(spark):
@@ -150,6 +150,16 @@ def test_batches_respect_both_caps(spark):
                                  "run string, fragment bigint, ue_count bigint")
     got = SH.training_batches(rows, "run", 3, 12).orderBy("fragment").collect()
     assert [r.batch for r in got] == [0, 0, 1, 2, 3, 3, 3, 4]
+    many = [(f"r{run}", 10 * i, 1 + (7 * i * i + run) % 9) for run in range(4) for i in range(1, 150)]
+    got = SH.training_batches(spark.createDataFrame(many, rows.schema), "run", 7, 30).collect()
+    want, state = {}, {}
+    for run, fragment, ue in many:
+        batch, held, total = state.get(run, (0, 0, 0))
+        if held and (held >= 7 or total + ue > 30):
+            batch, held, total = batch + 1, 0, 0
+        state[run] = batch, held + 1, total + ue
+        want[run, fragment] = batch
+    assert {(r.run, r.fragment): r.batch for r in got} == want
     free = SH.training_batches(rows, "run", None, None).select("batch").distinct().collect()
     assert [r.batch for r in free] == [0]
 
