@@ -119,17 +119,6 @@ def position_tolerance(
     )
 
 
-def station_set_mismatch(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Station sets must agree per key whatever their order; one row per (key, bs) found once."""
-    tagged = left.select(*keys, "bs", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(*keys, "bs", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    return (
-        tagged.groupBy(*keys, "bs").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
-        .where(F.col("in_left") + F.col("in_right") < 2)
-    )
-
-
 def align_stations(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: number of stations on each side, shared ones, and whether the sets are equal."""
     tagged = left.select(*keys, "bs", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(

@@ -61,11 +61,15 @@ def worst_link(evaluation: DataFrame, link: Sequence[str]) -> Column:
     )
 
 
-def diagnostics_report(evaluation: DataFrame, link: Sequence[str]) -> DataFrame:
-    """Run report: medians over valid links, rates, failures and the worst link of all."""
+def diagnostics_report(evaluation: DataFrame, link: Sequence[str], success: str = "valid") -> DataFrame:
+    """Run report: medians over valid links, rates, failures and the worst link of all.
+
+    A link failed if its estimation did not succeed, which ``success`` tells; validity is the
+    default where the table keeps no estimation outcome.
+    """
     valid = F.col("valid")
     report = evaluation.agg(
-        F.count(F.lit(1)).alias("num_links"), F.count_if(~valid).alias("num_failed_links"),
+        F.count(F.lit(1)).alias("num_links"), F.count_if(~F.col(success)).alias("num_failed_links"),
         F.avg(valid.cast("double")).alias("detection_rate"),
         worst_link(evaluation, link).alias("w"),
     )
@@ -94,7 +98,7 @@ def diagnostics_report(evaluation: DataFrame, link: Sequence[str]) -> DataFrame:
 def run_compare_summary(links: DataFrame) -> DataFrame:
     """Per run over files: link-weighted valid rate, median of file medians, p95 of file p95s.
 
-    ``links`` has run, file, standard, nmse_db, valid.
+    ``links`` has run, file, standard, spectrum, nmse_db, valid.
     """
     rows = links.withColumn("nmse_db", C.nan_to_null(F.col("nmse_db")))
     files = rows.groupBy("run", "file").agg(
@@ -103,7 +107,8 @@ def run_compare_summary(links: DataFrame) -> DataFrame:
     tails = exact_quantiles(rows, ["run", "file"], "nmse_db", {"med": 0.5, "p95": 0.95}).drop("n")
     tails = stored(tails, "file-tails")  # one row per file, summarised twice below
     standards = rows.groupBy("run").agg(
-        F.array_sort(F.collect_set("standard")).alias("standards")
+        F.array_sort(F.collect_set("standard")).alias("standards"),
+        F.array_sort(F.collect_set("spectrum")).alias("spectra"),
     )
     totals = files.groupBy("run").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("links").alias("link_count"),

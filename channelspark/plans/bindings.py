@@ -146,10 +146,16 @@ def samples(cfr_rows: DataFrame, column: str = "h") -> DataFrame:
     )
 
 
+def previous(h: DataFrame) -> Column:
+    """Identifier of the vector before each one; the first vector follows the last."""
+    count = h.agg(F.max("vec_id") + 1).scalar()
+    return F.pmod(F.col("vec_id") - 1, count)
+
+
 def cfr_est(spark: SparkSession, sf: str) -> DataFrame:
-    """Truth and estimate side by side: est = h + 0.1 * h(next vector)."""
+    """Truth and estimate side by side: est = h + 0.1 * h(next vector); the first follows the last."""
     h = cfr(spark, sf)
-    noise = h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("n"))
+    noise = h.select(previous(h).alias("vec_id"), F.col("h").alias("n"))
     est = F.zip_with(
         "h", "n",
         lambda a, b: F.struct((a["re"] + F.lit(0.1) * b["re"]).alias("re"),
@@ -195,7 +201,7 @@ VIEWS: dict[str, str] = {
   CAST(embedding[2 * k + 1] AS DOUBLE) AS re, CAST(embedding[2 * k + 2] AS DOUBLE) AS im
   FROM embeddings, (SELECT UNNEST(RANGE(32)) AS k) ks""",
     "fx_est": """SELECT a.vec_id, a.label, a.tx, a.rx, a.rx_ant, a.k, a.re, a.im, a.re + 0.1::DOUBLE * b.re AS ere,
-  a.im + 0.1::DOUBLE * b.im AS eim FROM fx_cfr a JOIN fx_cfr b ON b.vec_id = a.vec_id + 1 AND b.k = a.k""",
+  a.im + 0.1::DOUBLE * b.im AS eim FROM fx_cfr a JOIN fx_cfr b ON b.vec_id = (a.vec_id + 1) % (SELECT MAX(vec_id) + 1 FROM embeddings) AND b.k = a.k""",
 }
 _DEPENDS = {"fx_est": ("fx_cfr",)}
 

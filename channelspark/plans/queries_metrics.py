@@ -21,7 +21,7 @@ EVAL_SQL = """sums AS (SELECT tx, rx, SUM(re * re + im * im) AS s, SUM(ere * ere
   CASE WHEN valid THEN SQRT(cr * cr + ci * ci) / GREATEST(SQRT(s) * SQRT(e), 1e-30::DOUBLE) ELSE 0 END AS corr,
   CASE WHEN d > 0 THEN 10 * LOG10(s / d) END AS snr_db FROM sums)"""
 PAIR_SQL = """pr AS (SELECT a.tx, a.rx, a.rx_ant, a.k, a.re AS lre, a.im AS lim, b.re AS rre, b.im AS rim FROM fx_cfr a
-  JOIN fx_cfr b ON b.vec_id = a.vec_id + 1 AND a.k = b.k)"""
+  JOIN fx_cfr b ON b.vec_id = (a.vec_id + 1) % (SELECT MAX(vec_id) + 1 FROM embeddings) AND a.k = b.k)"""
 
 
 def sim_sql(source: str, keys: str) -> str:
@@ -55,7 +55,7 @@ def evaluation(spark, sf):
 
 def run_pairs(spark, sf):
     left = B.cfr(spark, sf)
-    right = left.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("r"))
+    right = left.select(B.previous(left).alias("vec_id"), F.col("h").alias("r"))
     return left.join(right, "vec_id")
 
 
@@ -184,7 +184,8 @@ def d12(spark, sf):
   COUNT(*) AS links, COUNT(*) FILTER (valid) AS ok, MEDIAN(nmse_db) AS med, QUANTILE_CONT(nmse_db, 0.95) AS p95
   FROM ev GROUP BY 1, 2)
   SELECT run, COUNT(*) AS file_count, SUM(links)::BIGINT AS link_count,
-  CASE WHEN run % 2 = 0 THEN 'std_a,std_b' ELSE 'std_c' END AS standards, {sr('SUM(ok)::DOUBLE / SUM(links)')} AS valid_rate,
+  CASE WHEN run % 2 = 0 THEN 'std_a,std_b' ELSE 'std_c' END AS standards,
+  CASE WHEN run % 2 = 0 THEN 'full,none' ELSE 'none' END AS spectra, {sr('SUM(ok)::DOUBLE / SUM(links)')} AS valid_rate,
   {sr('MEDIAN(med)')} AS median_nmse_db, {sr('QUANTILE_CONT(p95, 0.95)')} AS p95_nmse_db FROM f GROUP BY run""",
        ("fx_est",))
 def d13(spark, sf):
@@ -192,10 +193,12 @@ def d13(spark, sf):
         "std_b")
     rows = evaluation(spark, sf).select(
         F.col("rx").alias("run"), (F.col("tx") % 5).alias("file"), standard.alias("standard"),
+        F.when((F.col("rx") % 2 == 0) & (F.col("tx") % 2 == 1), "full").otherwise("none").alias("spectrum"),
         "nmse_db", "valid",
     )
     return S.run_compare_summary(rows).select(
         "run", "file_count", "link_count", F.concat_ws(",", "standards").alias("standards"),
+        F.concat_ws(",", "spectra").alias("spectra"),
         *[r(F.col(n)).alias(n) for n in ("valid_rate", "median_nmse_db", "p95_nmse_db")],
     )
 

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from channelspark.session import work_path
+from channelspark.session import remove, work_path
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -71,13 +72,30 @@ def run_available(stream: DataFrame, mode: str, path: str | None = None,
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
-    (
+    query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+        .trigger(availableNow=True).foreachBatch(sink).start()
     )
+    query.awaitTermination()
+    _count_late(stream.sparkSession, query, path)
     return path
 
 
+def _count_late(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    """Keep how many rows each batch of a run dropped behind the watermark."""
+    rows = [
+        (p.batchId, operator.numRowsDroppedByWatermark)
+        for p in query.recentProgress for operator in p.stateOperators
+    ]
+    spark.createDataFrame(rows, "batch bigint, dropped bigint").coalesce(1).write.mode("append").json(f"{path}/late")
+
+
+def dropped_late(spark: SparkSession, path: str) -> DataFrame:
+    """Rows dropped behind the watermark, per batch of the runs into ``path``."""
+    return spark.read.schema("batch bigint, dropped bigint").json(f"{path}/late").groupBy("batch").agg(
+        F.sum("dropped").alias("dropped"))
+
+
 def batch_outputs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batch outputs with their batch number."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
@@ -97,18 +115,23 @@ def newest_per_key(outputs: DataFrame, keys: Sequence[str], order: Column | None
 def latest_status(log: DataFrame, late: str = "1 hour", name: str = "latest") -> DataFrame:
     """Latest status per entity, ignoring replays.
 
-    Each batch is reduced to one row per entity before it is stored; the stored rows merge by
-    (ts, seq), so the order of batches does not matter.
+    Each batch is reduced to one row per entity and merged by (ts, seq) into the generation before,
+    so the order of batches does not matter. A batch writes one generation, replacing it on replay,
+    and removes the one before the last: two tables of one row per entity are all that is kept.
     """
     fresh = first_deliveries(log, ["entity", "seq"], late)
     path = work_path(log.sparkSession, name)
     newest = F.max_by(F.struct("ts", "seq", "status"), F.struct("ts", "seq"))
 
     def sink(batch: DataFrame, number: int) -> None:
-        reduced = batch.groupBy("entity").agg(newest.alias("m")).select(
+        spark = batch.sparkSession
+        rows = batch.select("entity", "ts", "seq", "status")
+        if number:
+            rows = rows.union(spark.read.schema(rows.schema).parquet(f"{path}/data/batch={number - 1}"))
+        rows.groupBy("entity").agg(newest.alias("m")).select(
             "entity", "m.ts", "m.seq", "m.status"
-        )
-        reduced.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        ).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        remove(spark, f"{path}/data/batch={number - 2}")
 
     (
         fresh.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")

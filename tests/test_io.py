@@ -113,6 +113,16 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     ST.run_available(windows, "append", path)
     rows = ST.batch_outputs(spark, path, windows.schema).orderBy("start").collect()
     assert [(r.start.hour, r.events) for r in rows] == [(0, 2), (1, 1), (6, 2)]
+    assert ST.dropped_late(spark, path).agg({"dropped": "sum"}).first()[0] == 1
+
+
+def test_latest_status_keeps_two_generations(spark):
+    source = work_path(spark, "queue")
+    t = datetime(2024, 1, 1)
+    for i in range(5):
+        spark.createDataFrame([(i % 2, i, t + timedelta(minutes=i), f"s{i}")], schemas.QUEUE_LOG).coalesce(1).write.mode("append").parquet(source)
+    log = ST.file_stream(spark, source, schemas.QUEUE_LOG, max_files=1)
+    assert {r.entity: r.status for r in ST.latest_status(log).collect()} == {0: "s4", 1: "s3"}
 
 
 def test_ingest_reads_each_file_once(spark):

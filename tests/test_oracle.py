@@ -6,7 +6,11 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 import verify
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from channelspark.plans import load_all
+from channelspark.plans.registry import ORACLES, QUERIES
+
+load_all()
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -15,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 @pytest.fixture(scope="module")
 def outcomes(spark):
     """All comparisons, a few at a time: the jobs are small and share one session."""
-    fns, sql = queries(), oracle_sql()
+    fns, sql = QUERIES, ORACLES
 
     def run(name):
         plan = []
@@ -39,7 +43,7 @@ def outcomes(spark):
 MAY_BE_EMPTY = {"c14_require_subset", "q5_label_values", "e17_contiguity_check"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(outcomes, name):
     ok, note, _ = outcomes[name]
     assert ok or (name in MAY_BE_EMPTY and note == "0 rows"), note
