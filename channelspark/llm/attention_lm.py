@@ -53,7 +53,8 @@ LAGS = (1, 2, 3)  # the table of the last distance serves all beyond it
 FAR = (3, 5, 9)  # distances that are counted for it
 PRIOR = 5.0
 TRIPLES, DISCOUNT = 1_000_000, 0.75
-PIECE = 1 << 22
+PIECE = 1 << 20
+ROWS = 1000
 HEAD, HEAD_BYTES = 65_536, 64
 MEMO_WORDS = 300_000
 BATCH = 256
@@ -219,15 +220,25 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint16) for b in batch.column("ids").to_pylist()]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole sequences of about ``size`` ids together, with the number of each id's sequence."""
+    held, length = [], 0
+    for sequence in chain((s for batch in batches for s in _sequences(batch)), [None]):
+        if held and (sequence is None or length + len(sequence) > size):
+            yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            held, length = [], 0
+        if sequence is not None:
+            held.append(sequence)
+            length += len(sequence)
+
+
 def _tally(tokens: DataFrame, size: int, keys_of) -> np.ndarray:
     """Counts over all sequences of the integer keys below ``size`` that ``keys_of`` draws from one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                ids = _sequences(batch)
-                total += np.bincount(keys_of(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])), minlength=size)
+        for flat, own in _pieces(batches):
+            total += np.bincount(keys_of(flat, own), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "n"])
 
@@ -241,18 +252,10 @@ def _frequent_triples(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the at most ``TRIPLES`` most frequent triples, cut where counts are about equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in chain(batches, [None]):
-            for ids in _sequences(batch) if batch is not None else [None]:
-                if held and (ids is None or size + len(ids) > PIECE):
-                    own = np.repeat(np.arange(len(held)), [len(h) for h in held])
-                    inner = np.append(False, own[1:] == own[:-1])
-                    keys, n = np.unique(triple_keys(np.concatenate(held), own, inner), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-                    held, size = [], 0
-                if ids is not None:
-                    held.append(ids)
-                    size += len(ids)
+        for flat, own in _pieces(batches, 4 * PIECE):
+            inner = np.append(False, own[1:] == own[:-1])
+            keys, n = np.unique(triple_keys(flat, own, inner), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
     counted = tokens.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     level = F.floor(64 * F.log2("n")).cast("int")  # a few thousand levels at most
@@ -388,7 +391,7 @@ def score_documents(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = subwords(path)
         edge = np.array([END], np.uint16).tobytes()
-        for batch in batches:
+        for batch in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             out = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -398,7 +401,7 @@ def score_documents(
                 tf = [times[w] for w in rare]
                 known = len(words) - sum(tf) + (ends > 0)
                 out.append((len(words) + 1, known, base, rare, tf, edge + own.ids(words) + edge))
-            tokens, known, base, rare, tf, ids = zip(*out) if out else [()] * 6
+            tokens, known, base, rare, tf, ids = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
                  pa.array(rare, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64())), pa.array(ids, pa.binary())],
