@@ -143,6 +143,39 @@ def concat_batches(rows: DataFrame, keys: Sequence[str], shared: Sequence[str])
     )
 
 
+def concat_rows(
+    data: DataFrame, batches: DataFrame, run: str, shared: Sequence[str], row: str = "row"
+) -> DataFrame:
+    """Data rows of a batch's fragments one after another: ``batch`` and ``position`` are added.
+
+    ``batches`` has run, fragment, batch, ue_count and the ``shared`` columns (axis roles, grids,
+    stations); a batch whose fragments differ in one of them is an error. ``row`` numbers the data
+    rows of a fragment from 0. Windows run over one row per fragment, and a batch is capped.
+    """
+    whole = W.partitionBy(run, "batch")
+    before = whole.orderBy("fragment").rowsBetween(W.unboundedPreceding, -1)
+    ok = F.lit(True)
+    for name in shared:
+        ok = ok & F.min(name).over(whole).eqNullSafe(F.max(name).over(whole)) & (
+            F.count(name).over(whole).isin(0) | (F.count(name).over(whole) == F.count(F.lit(1)).over(whole)))
+    error = F.raise_error(F.concat(F.lit("fragments differ in a shared value in batch "), F.col("batch").cast("string")))
+    placed = batches.select(
+        run, "fragment", "batch", F.coalesce(F.sum("ue_count").over(before), F.lit(0)).alias("_offset"),
+        ok.alias("_same"),
+    ).where(F.when(F.col("_same"), F.lit(True)).otherwise(error.cast("boolean"))).drop("_same")
+    return data.join(placed, [run, "fragment"]).withColumn(
+        "position", (F.col("_offset") + F.col(row)).cast("bigint")
+    ).drop("_offset")
+
+
+def batch_indices(batches: DataFrame, run: str, lists: Sequence[str]) -> DataFrame:
+    """Per batch its fragments in order and each index list concatenated in that order."""
+    parts = F.sort_array(F.collect_list(F.struct("fragment", *lists)))
+    grouped = batches.groupBy(run, "batch").agg(parts.alias("_p"))
+    return grouped.select(run, "batch", F.col("_p.fragment").alias("fragments"),
+                          *[F.flatten(F.col(f"_p.{name}")).alias(name) for name in lists])
+
+
 def union_shards(parts: Sequence[DataFrame], key: str, station: str) -> DataFrame:
     """Concatenate shard tables; differing station lists are an error raised by the result."""
     merged = parts[0].withColumn("shard", F.lit(0))

@@ -391,6 +391,21 @@ def e12(spark, sf):
     return SH.concat_batches(batches, ["scene_class", "batch"], ["bs_count"])
 
 
+@query("e12_concat_rows", """WITH n AS (SELECT scene_class, source_scene_index AS fragment, ue_count, (ROW_NUMBER() OVER
+  (PARTITION BY scene_class ORDER BY source_scene_index) - 1) // 8 AS batch FROM fx_scenes),
+  o AS (SELECT *, COALESCE(SUM(ue_count) OVER (PARTITION BY scene_class, batch ORDER BY fragment
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n)
+  SELECT scene_class, batch, fragment, i AS "row", CAST(off + i AS BIGINT) AS position
+  FROM (SELECT *, UNNEST(RANGE(ue_count)) AS i FROM o) t""", ("fx_scenes",))
+def e12_rows(spark, sf):
+    rows = B.scenes(spark, sf).withColumnRenamed("source_scene_index", "fragment")
+    batches = SH.training_batches(rows, "scene_class", 8, None)
+    data = rows.where("ue_count > 0").select(
+        "scene_class", "fragment", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ue_count") - 1)).alias("row"))
+    return SH.concat_rows(data, batches, "scene_class", ["scene_class"]).select(
+        "scene_class", "batch", "fragment", "row", "position")
+
+
 @query("f1_order_by_ue", f"SELECT ue, bs, {sr('rssi_dbm')} AS rssi_dbm FROM fx_rss ORDER BY ue, bs", ("fx_rss",))
 def f1(spark, sf):
     return B.rss(spark, sf).select("ue", "bs", r(F.col("rssi_dbm")).alias("rssi_dbm")).orderBy(

@@ -205,3 +205,18 @@ def test_scan_reads_only_needed_columns(spark, sf):
     plan = PO.link_summary(B.paths(spark, sf), 2, 2)._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema:")[1].split("\n")[0]
     assert "l_quantity" not in schema and "l_shipdate" not in schema
+
+
+def test_concatenation_of_batches(spark):
+    batches = spark.createDataFrame(
+        [("r", 4, 0, 2, "up", [7, 8]), ("r", 9, 0, 1, "up", [3]), ("r", 12, 1, 2, "down", [1, 2])],
+        "run string, fragment bigint, batch bigint, ue_count bigint, role string, ue_indices array<bigint>")
+    data = spark.createDataFrame([("r", f, i) for f, n in ((4, 2), (9, 1), (12, 2)) for i in range(n)],
+                                 "run string, fragment bigint, row bigint")
+    got = SH.concat_rows(data, batches, "run", ["role"]).orderBy("batch", "position").collect()
+    assert [(r.batch, r.position, r.fragment) for r in got] == [(0, 0, 4), (0, 1, 4), (0, 2, 9), (1, 0, 12), (1, 1, 12)]
+    lists = SH.batch_indices(batches, "run", ["ue_indices"]).orderBy("batch").collect()
+    assert [(r.fragments, r.ue_indices) for r in lists] == [([4, 9], [7, 8, 3]), ([12], [1, 2])]
+    mixed = batches.withColumn("batch", F.lit(0))
+    with pytest.raises(Exception, match="shared value"):
+        SH.concat_rows(data, mixed, "run", ["role"]).collect()
