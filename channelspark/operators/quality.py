@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from channelspark import schemas
 from channelspark.functions import complex as C
 from channelspark.operators.shards import contiguity_violations
+from channelspark.sources.runs import resolve_products
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,14 @@ def columns(df: DataFrame, table: str, required: Sequence[str], forbidden: Seque
     )
 
 
+def product_columns(df: DataFrame, table: str, products: Sequence[str]) -> DataFrame:
+    """Q1 by product: the chosen products' columns are there, and no column of another product is."""
+    chosen = resolve_products(products)
+    required = {c for p in chosen for c in schemas.PRODUCT_COLUMNS.get(p, ())}
+    foreign = {c for p, names in schemas.PRODUCT_COLUMNS.items() if p not in chosen for c in names} - required
+    return columns(df, table, sorted(required), sorted(foreign))
+
+
 def increasing(df: DataFrame, table: str, keys: Sequence[str], grid: str) -> DataFrame:
     """Q2: an array column is finite and strictly increasing; checked inside the row."""
     later, earlier = F.slice(grid, 2, F.size(grid)), F.slice(grid, 1, F.size(grid) - 1)

@@ -31,6 +31,15 @@ def q1(spark, sf):
                       ["truth_m"])
 
 
+@query("q1_product_columns", "WITH n AS (SELECT COUNT(*) FILTER (range_m IS NULL) AS c FROM fx_ranging) "
+       + " UNION ALL ".join(_v("Q1", "ranging", f"'{c}'", "'missing'", "n") for c in ("toa_s", "rtt_s", "error_m"))
+       + " UNION ALL " + _v("Q1", "ranging", "'spectrum'", "'forbidden'", "n") + " UNION ALL "
+       + _v("Q1", "ranging", "'range_m'", "'null rows: ' || c", "n"), ("fx_ranging",))
+def q1_products(spark, sf):
+    rows = B.ranging(spark, sf).withColumn("spectrum", F.lit(0.0))
+    return QA.product_columns(rows, "ranging", ["ranging"])
+
+
 @query("q2_increasing_frequency", """WITH l AS (SELECT vec_id, re <= LAG(re) OVER (PARTITION BY vec_id ORDER BY k) AS bad FROM fx_cfr),
   c AS (SELECT vec_id, COUNT(*) FILTER (bad) AS n FROM l GROUP BY vec_id) """
        + _v("Q2", "frequency", "vec_id", "n", "c WHERE n > 0"), ("fx_cfr",))
