@@ -318,6 +318,24 @@ def b28(spark, sf):
     )
 
 
+@query("b28_symbol_hopping", """SELECT source_scene_index, symbol, UNNEST(RANGE((2 + hop) * 12 + ue_count // 10 % 2, (2 + hop + n) * 12, 4)) AS k
+  FROM fx_scenes, (VALUES (0, 0, 6), (1, 9, 3), (2, 4, 14), (3, 0, 1)) AS h(symbol, hop, n)""", ("fx_scenes",))
+def b28_hopping(spark, sf):
+    """Four symbols, each with its own first resource block and width."""
+    hops = grid.symbol_prbs(4, 240, 2, None, [0, 9, 4, 0], [6, 3, 14, 1])
+    allocations = F.array(*[
+        F.struct(F.lit(symbol).alias("symbol"), F.lit(start).alias("start_prb"), F.lit(count).alias("prb_count"))
+        for symbol, (start, count) in enumerate(hops)
+    ])
+    config = B.scenes(spark, sf).select(
+        "source_scene_index", F.inline(allocations), F.lit(4).alias("comb_size"),
+        F.expr("ue_count div 10 % 2").alias("comb_offset"), F.lit(240).alias("total"),
+    )
+    return RS.srs_re_grid(config, ["source_scene_index"]).withColumns(
+        {"symbol": F.col("symbol").cast("int"), "k": F.col("k").cast("bigint")}
+    )
+
+
 @query("b29_is_scheduled", """SELECT source_scene_index, CASE WHEN bs_count = 3 THEN ue_count // 10 = bs_count
   ELSE ue_count // 10 >= bs_count AND (ue_count // 10 - bs_count) % (link_count % 7 + 1) = 0 END AS scheduled
   FROM fx_scenes""", ("fx_scenes",))
