@@ -26,8 +26,9 @@ from channelspark.llm.common import TOKENIZERS, packed
 
 #: Unicode white space, as the pattern's own engine reads it (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-TABLE_ENTRIES = 2_000_000
-WORD_ENTRIES = 400_000
+TABLE_ENTRIES = 400_000
+WORD_ENTRIES = 300_000
+ROWS = 256
 
 
 class Automaton:
@@ -40,7 +41,7 @@ class Automaton:
         self.merged: dict[tuple[int, int], int] = {}
         for time, (u, v) in enumerate(merges, 1):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if self.born[w] or w in (u, v):
@@ -50,7 +51,7 @@ class Automaton:
 
     def arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow ``state``."""
-        key = (state, token)
+        key = state << 32 | token
         if key not in self.table:
             if len(self.table) >= TABLE_ENTRIES:
                 self.table.clear()
@@ -163,7 +164,8 @@ def encode_documents(
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
         for batch in texts:
-            ids = [own.encode(t) if t else b"" for t in batch]
-            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(i) for i in ids]})
+            for first in range(0, len(batch), ROWS):  # decoded texts are large
+                ids = [own.encode(t) if t else b"" for t in batch[first : first + ROWS]]
+                yield pd.DataFrame({"ids": ids, "decoded": [own.decode(i) for i in ids]})
 
     return source.select("row", run("text").alias("out")).select("row", "out.ids", "out.decoded")
