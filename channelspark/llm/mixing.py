@@ -110,6 +110,8 @@ def mix_sources(
         (_order(seed, last, F.col("block")) < F.col("cut_block"))
         | ((_order(seed, last, F.col("block")) == F.col("cut_block")) & (place <= F.col("cut"))), F.lit(False))
     copies = F.col("whole") + in_last.cast("bigint")
+    # written, so that Spark knows its size (one row per source) when it decides whether texts must be shuffled
+    plan = stored(plan, "mix-plan")
     joined = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     return (
         joined.select("row", "tokens", "block", "key", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("bigint"), copies))).alias("epoch"))
