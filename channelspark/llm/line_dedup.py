@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channelspark.llm.common import packed, text_of
+from channelspark.session import stored
 
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,10 +46,12 @@ def drop_repeated_lines(
         .select("id", "part", "pos", F.xxhash64("key").alias("h1"),
                 F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
-    repeated = (
+    # written, so that the join below is one of two plain tables: small enough to broadcast, or split when skewed
+    repeated = stored(
         keyed.where(F.col("id").isNotNull())
         .groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
+        .where(F.col("n") >= min_docs),
+        "repeated-lines",
     )
     drops = (
         keyed.join(repeated, ["h1", "h2"])
