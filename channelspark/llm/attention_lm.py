@@ -24,10 +24,11 @@ bounded table); only the others are joined.
 
 from __future__ import annotations
 
+import base64
 import math
-import os
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import chain
@@ -35,9 +36,9 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from channelspark.llm.common import TOKENIZERS, text_of, written
 from channelspark.session import stored
@@ -56,8 +57,10 @@ TRIPLES, DISCOUNT = 1_000_000, 0.75
 PIECE = 1 << 20
 ROWS = 1000
 HEAD, HEAD_BYTES = 65_536, 64
-MEMO_WORDS = 300_000
-BATCH = 256
+MEMO_WORDS = 500_000
+BATCH = 512
+#: How the vocabulary splits a text before it merges bytes (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,20 +71,20 @@ class Subwords:
     """Byte-level BPE ids of words, each with the space before it."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode = Tokenizer.from_file(path)
-        self.encode.encode_special_tokens = True
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+        self.encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.memo: dict[bytes, bytes] = {}
 
-    def ids(self, words: list[bytes]) -> bytes:
+    def ids(self, words: list[bytes], distinct: Iterable[bytes]) -> bytes:
         """Ids as unsigned 16-bit integers."""
-        new = [w for w in set(words) if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(set(words))
-        found = self.encode.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.memo.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(new, found))
-        return b"".join(map(self.memo.__getitem__, words))
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for word in distinct:
+            if word not in memo:
+                memo[word] = array("H", self.encode(" " + word.decode("utf-8", "replace"))).tobytes()
+        return b"".join(map(memo.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
@@ -118,20 +121,22 @@ class Model:
         rows = np.arange(first - 1, WINDOW - 1)
         cols = np.arange(WINDOW - 1)
         apart = rows[:, None] - cols[None, :]
-        logits = self.query[windows[:, rows]] @ self.key[windows[:, cols]].transpose(0, 2, 1)
+        logits = self.query.take(windows[:, first - 1 : -1], axis=0) @ self.key.take(windows[:, :-1], axis=0).transpose(0, 2, 1)
         logits += np.where(apart >= 0, self.bias[np.maximum(apart, 0)], np.float32(-1e9))
         logits -= logits.max(2, keepdims=True)
         weight = np.exp(logits, out=logits)
         weight /= weight.sum(2, keepdims=True)
-        near = np.clip(apart, 0, len(LAGS) - 1) * (CLASSES * CLASSES)
-        at = near[None] + windows[:, None, cols] * CLASSES + windows[:, rows + 1][:, :, None]
-        return weight, self.table.ravel()[at], apart
+        near = (np.clip(apart, 0, len(LAGS) - 1) * CLASSES).astype(windows.dtype)
+        at = near + windows[:, None, : WINDOW - 1]
+        at *= CLASSES
+        at += windows[:, first:, None]
+        return weight, self.table.ravel().take(at), apart
 
     def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 probability of id sequences that begin and end with END."""
         length = np.array([len(i) for i in ids])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.uint16)])
-        kinds = self.kind[flat]
+        kinds = self.kind[flat].astype(np.int32)
         begin = np.cumsum(length) - length
         places = np.zeros(len(flat))
         hops = np.maximum(-(-(length - WINDOW) // HOP), 0)
@@ -370,7 +375,7 @@ def _words(total: Counter[bytes]) -> pa.RecordBatch:
 
 
 def score_documents(
-    docs: DataFrame, held_out: Column, path: str = f"{TOKENIZERS}/byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, held_out: Column, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Scores of all rows under counts and a model learnt from the rows that are not ``held_out``.
 
@@ -400,7 +405,7 @@ def score_documents(
                 base = math.fsum(k * logs[w] for w, k in times.items() if w in logs) + end
                 tf = [times[w] for w in rare]
                 known = len(words) - sum(tf) + (ends > 0)
-                out.append((len(words) + 1, known, base, rare, tf, edge + own.ids(words) + edge))
+                out.append((len(words) + 1, known, base, rare, tf, edge + own.ids(words, times) + edge))
             tokens, known, base, rare, tf, ids = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
