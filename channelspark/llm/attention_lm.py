@@ -8,11 +8,14 @@ documents. A mixture of distributions is a distribution, so no softmax over the
 
     A(id | before) = sum_j attention(last, j) * T[distance, class_j, class(id)] * P(id | class(id))
 
-Where the last two ids begin one of the ``TRIPLES`` most frequent id triples of the corpus, the triples'
-counts, less a discount, come first, and the attention's answer shares what the discount frees:
+Where the last two ids begin an id triple of the training texts, the triples' counts, less a discount,
+come first, and the attention's answer shares what the discount frees:
 
     P(id | a, b, ...) = (max(n(a, b, id) - D, 0) + D * kinds(a, b) * A(id | before)) / n(a, b)
 
+The counts of all triples stay with Spark. Pieces of the corpus send their distinct triples to shards by the
+first two ids, and each shard sends back the counts of what a piece asked for, so a task holds a piece or a shard.
+
 Queries, keys and a bias per distance are trained in numpy by Adam: each task takes one window of every
 document it holds, and the tasks' parameters are averaged by Spark after each round. Windows of
 2 * HOP tokens overlap by HOP, so that each token is scored once, with HOP to 2 * HOP - 1 tokens before it
@@ -31,16 +34,15 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channelspark.llm.common import TOKENIZERS, text_of, written
+from channelspark.llm.common import TOKENIZERS, by_key, text_of, written
 from channelspark.session import stored
 
 IDS = 50_257
@@ -53,7 +55,7 @@ DEPTH = 8
 LAGS = (1, 2, 3)  # the table of the last distance serves all beyond it
 FAR = (3, 5, 9)  # distances that are counted for it
 PRIOR = 5.0
-TRIPLES, DISCOUNT = 1_000_000, 0.75
+DISCOUNT = 0.75
 PIECE = 1 << 20
 ROWS = 1000
 HEAD, HEAD_BYTES = 65_536, 64
@@ -94,7 +96,7 @@ def subwords(path: str) -> Subwords:
 
 @dataclass
 class Model:
-    """Class of each id, P(id | class), class tables, attention parameters and frequent triples."""
+    """Class of each id, P(id | class), class tables, attention parameters and the triples at hand."""
 
     kind: np.ndarray
     inside: np.ndarray
@@ -102,7 +104,7 @@ class Model:
     query: np.ndarray
     key: np.ndarray
     bias: np.ndarray  # by distance - 1
-    triples: np.ndarray  # sorted keys of frequent id triples
+    triples: np.ndarray  # sorted keys of id triples
     times: np.ndarray
     pairs: np.ndarray  # sorted keys of the first two ids
     total: np.ndarray
@@ -155,7 +157,7 @@ class Model:
         return np.bincount(own[inner], np.log10(self.recalled(flat[: len(own)], own, inner, chance)), minlength=len(ids))
 
     def recalled(self, flat: np.ndarray, own: np.ndarray, inner: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """The attention's chances of the inner places, under the counts of frequent triples."""
+        """The attention's chances of the inner places, under the counts of triples."""
         if not len(self.triples):
             return chance
         keys = triple_keys(flat, own, inner)
@@ -253,27 +255,120 @@ def _tally(tokens: DataFrame, size: int, keys_of) -> np.ndarray:
     return out
 
 
-def _frequent_triples(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the at most ``TRIPLES`` most frequent triples, cut where counts are about equal."""
+def _shards(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each pair of ids."""
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Integers below 256 ** width by byte, which compresses well."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where the first two ids of neighbouring triples change."""
+    return np.flatnonzero(np.append(True, np.diff(keys >> 16) != 0)) if len(keys) else np.empty(0, np.int64)
+
+
+def _triples_of(ids: list[np.ndarray], train: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples of sequences by shard, their counts where ``train``, and the ends of the shards."""
+    own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    inner = np.append(False, own[1:] == own[:-1])
+    both = (triple_keys(np.concatenate(ids), own, inner) << 1) + train[own[inner]]
+    both.sort()
+    start = np.flatnonzero(np.append(True, np.diff(both >> 1) != 0))
+    keys, n = both[start] >> 1, np.add.reduceat(both & 1, start)
+    shard = _shards(keys >> 16, shards)
+    order = np.argsort(shard, kind="stable")
+    return keys[order], n[order], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))
+
+
+def triple_counts(tokens: DataFrame, shards: int) -> DataFrame:
+    """What the training rows of all ``tokens`` say on the triples of each piece.
+
+    One row per shard and run (``first`` to ``last`` row) of a piece, in the order of ``_triples_of``: ``n`` of each triple,
+    ``total`` and ``kinds`` of each first two ids.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches):
+            rows, train = held["row"].to_numpy(), ~held["held_out"].to_numpy()
+            cuts = np.flatnonzero(np.diff(rows) != 1) + 1  # a scan may begin or end inside a piece
+            ids = [np.frombuffer(b, np.uint16) for b in held["ids"].to_pylist()]
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+                keys, n, ends = _triples_of(ids[s:e], train[s:e], shards)
+                starts = np.append(0, ends[:-1])
+                some = np.flatnonzero(ends > starts)
+                bounds = list(zip(starts[some].tolist(), ends[some].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), *(pa.array(np.full(len(some), x, np.int64)) for x in (held["key"][0].as_py(), rows[s], rows[e - 1])),
+                     pa.array([_planes(np.diff(keys[i:j], prepend=0), 6) for i, j in bounds], pa.binary()), pa.array([_planes(n[i:j], 4) for i, j in bounds], pa.binary())],
+                    ["key", "piece", "first", "last", "triples", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches):
+            asked = [np.cumsum(_values(b, 6)) for b in held["triples"].to_pylist()]
+            keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+            times = np.bincount(at, np.concatenate([_values(b, 4) for b in held["n"].to_pylist()]), minlength=len(keys)).astype(np.int64)
+            heads = _heads(keys)
+            total, kinds = np.add.reduceat(times, heads), np.add.reduceat((times > 0).astype(np.int64), heads)
+            of = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
+            ends = np.cumsum([len(a) for a in asked])
+            for i, (a, end) in enumerate(zip(asked, ends.tolist())):
+                mine = at[end - len(a) : end]
+                pairs = of[mine[_heads(a)]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(held[c].slice(i, 1).combine_chunks() for c in ("piece", "first", "last", "key")),
+                     pa.array([_planes(times[mine], 5)], pa.binary()), pa.array([_planes(total[pairs], 5)], pa.binary()), pa.array([_planes(kinds[pairs], 2)], pa.binary())],
+                    ["key", "row", "last", "shard", "n", "total", "kinds"])
+
+    asked = tokens.select(F.col("piece").alias("key"), "row", "held_out", "ids").mapInArrow(
+        ask, "key bigint, piece bigint, first bigint, last bigint, triples binary, n binary")
+    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(
+        answer, "key bigint, row bigint, last bigint, shard bigint, n binary, total binary, kinds binary")
+
+
+def scored(tokens: DataFrame, model: Model, shards: int) -> DataFrame:
+    """``tokens`` (``piece``, ``row``, ``held_out``, ``ids`` and more) with their ``score`` instead of ``ids`` and ``piece``."""
+    kept = [c for c in tokens.columns if c not in ("piece", "ids")]
+    texts = tokens.withColumnRenamed("piece", "key").withColumn("text", F.lit(True))
+    both = triple_counts(tokens, shards).withColumn("text", F.lit(False)).unionByName(texts, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat, own in _pieces(batches, 4 * PIECE):
-            inner = np.append(False, own[1:] == own[:-1])
-            keys, n = np.unique(triple_keys(flat, own, inner), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    counted = tokens.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    level = F.floor(64 * F.log2("n")).cast("int")  # a few thousand levels at most
-    counted = stored(counted.withColumn("level", level), "triples")
-    rows = counted.groupBy("level").count().orderBy(F.desc("level")).collect()
-    sizes = np.cumsum([r["count"] for r in rows])
-    fit = int((sizes <= TRIPLES).sum())
-    if not fit:
-        return np.empty(0, np.int64), np.empty(0)
-    found = counted.where(F.col("level") >= rows[fit - 1].level).select("key", "n").toArrow()
-    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order].astype(np.float64)
+        for held in by_key(batches):
+            is_text = held["text"].to_numpy()
+            texts, counts = held.filter(pa.array(is_text)), held.filter(pa.array(~is_text)).select(["row", "last", "n", "total", "kinds"]).to_pylist()
+            rows, ids = texts["row"].to_numpy(), [np.frombuffer(b, np.uint16) for b in texts["ids"].to_pylist()]
+            scores = np.full(len(rows), np.nan)
+            for (first, last), found in groupby(counts, lambda c: (c["row"], c["last"])):
+                s, e = np.searchsorted(rows, [first, last + 1]).tolist()
+                local = _recalling(model, ids[s:e], list(found), shards)
+                for i in range(s, e, 64):
+                    scores[i : min(i + 64, e)] = local.log10(ids[i : min(i + 64, e)])
+            yield from texts.select(kept).append_column("score", pa.array(scores)).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in kept)
+    return both.repartition("key").sortWithinPartitions("key", "text", "row", "shard").mapInArrow(run, f"{schema}, score double")
+
+
+def _recalling(model: Model, ids: list[np.ndarray], counts: list[dict], shards: int) -> Model:
+    """The model with the triples of ``ids``, whose ``counts`` come by shard."""
+    keys, _, _ = _triples_of(ids, np.zeros(len(ids), np.int64), shards)
+    n, total, kinds = (np.concatenate([_values(c[name], width) for c in counts]) for name, width in (("n", 5), ("total", 5), ("kinds", 2)))
+    pairs = keys[_heads(keys)] >> 16
+    if len(n) != len(keys) or len(total) != len(pairs):
+        raise RuntimeError("the counts of a piece do not fit its triples")
+    keys, n = keys[n > 0], n[n > 0]
+    pairs, total, kinds = pairs[total > 0], total[total > 0], kinds[total > 0]
+    order, by_pair = np.argsort(keys), np.argsort(pairs)
+    return replace(model, triples=keys[order], times=n[order].astype(np.float64), pairs=pairs[by_pair],
+                   total=total[by_pair].astype(np.float64), freed=DISCOUNT * kinds[by_pair])
 
 
 def _clusters(signs: np.ndarray, count: int) -> np.ndarray:
@@ -290,7 +385,7 @@ def _clusters(signs: np.ndarray, count: int) -> np.ndarray:
 
 
 def fit(tokens: DataFrame, rounds: int = 2) -> Model:
-    """Learn from ``tokens`` (``ids``), all rows of it. Without rows, every id is equally likely in its class."""
+    """Learn all but the triples from ``tokens`` (``ids``), all rows of it. Without rows, every id is equally likely in its class."""
     tokens = tokens.select("ids")
     counts = _tally(tokens, IDS, lambda flat, doc: flat)
     order = np.argsort(-counts, kind="stable")
@@ -326,11 +421,10 @@ def fit(tokens: DataFrame, rounds: int = 2) -> Model:
     table = (pairs + PRIOR * share) / (pairs.sum(2, keepdims=True) + PRIOR)
     random = np.random.default_rng(3)
     start = random.normal(0, 0.1, (2, CLASSES, DEPTH)).astype(np.float32)
-    triples, times = _frequent_triples(tokens)
-    pairs, at = np.unique(triples >> 16, return_inverse=True)
+    none = np.empty(0)
     model = Model(
         kind, inside, table.astype(np.float32), start[0], start[1], -np.log(np.arange(1, WINDOW)).astype(np.float32),
-        triples, times, pairs, np.bincount(at, times, minlength=len(pairs)), DISCOUNT * np.bincount(at, minlength=len(pairs)))
+        none.astype(np.int64), none, none.astype(np.int64), none, none)
     for turn in range(rounds):
         model = model.replaced(_averaged(tokens, model, turn))
     return model
@@ -338,8 +432,7 @@ def fit(tokens: DataFrame, rounds: int = 2) -> Model:
 
 def _averaged(tokens: DataFrame, model: Model, turn: int) -> np.ndarray:
     """Parameters of the tasks' models, averaged by their number of windows."""
-    none = np.empty(0)
-    small = replace(model, inside=none, triples=none, times=none, pairs=none, total=none, freed=none)
+    small = replace(model, inside=np.empty(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, n = train_here(small, (s for batch in batches for s in _sequences(batch)), turn)
@@ -396,6 +489,7 @@ def score_documents(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = subwords(path)
         edge = np.array([END], np.uint16).tobytes()
+        part = size = 0
         for batch in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             out = []
             for text in batch.column("text").to_pylist():
@@ -405,32 +499,31 @@ def score_documents(
                 base = math.fsum(k * logs[w] for w, k in times.items() if w in logs) + end
                 tf = [times[w] for w in rare]
                 known = len(words) - sum(tf) + (ends > 0)
-                out.append((len(words) + 1, known, base, rare, tf, edge + own.ids(words, times) + edge))
-            tokens, known, base, rare, tf, ids = zip(*out)
+                ids = edge + own.ids(words, times) + edge
+                if size > 4 * PIECE:  # bytes
+                    part, size = part + 1, 0
+                size += len(ids)
+                out.append((len(words) + 1, known, base, rare, tf, ids, part))
+            tokens, known, base, rare, tf, ids, parts = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(rare, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64())), pa.array(ids, pa.binary())],
-                ["id", "held_out", "n_tokens", "known", "base", "rare", "tf", "ids"])
+                 pa.array(rare, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64())), pa.array(ids, pa.binary()), pa.array(parts, pa.int64())],
+                ["id", "held_out", "n_tokens", "known", "base", "rare", "tf", "ids", "part"])
 
     kind = source.schema["id"].dataType.simpleString()
     tokens = written(
-        source.mapInArrow(tokenise, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, rare array<binary>, tf array<bigint>, ids binary")
-        .withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+        source.mapInArrow(tokenise, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, rare array<binary>, tf array<bigint>, ids binary, part bigint")
+        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("piece", F.shiftleft(F.spark_partition_id().cast("bigint"), 32) + F.col("part")).drop("part"), "lm-tokens")
+    size = tokens.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
     model = fit(tokens.where(~F.col("held_out")))
-
-    @F.pandas_udf("double")
-    def score(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in column:
-            ids = [np.frombuffer(b, np.uint16) for b in batch]
-            parts = [model.log10(ids[s : s + 64]) for s in range(0, len(ids), 64)]
-            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
-
     chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / floor)
     rare = (
         tokens.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.tf").alias("tf"))
         .join(counts, "word", "left").groupBy("row")
         .agg(F.sum(F.col("tf") * chance).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
     )
-    return tokens.select("row", "id", "held_out", "n_tokens", "known", "base", score("ids").alias("score")).join(rare, "row", "left").select(
+    scores = scored(tokens.select("piece", "row", "id", "held_out", "n_tokens", "known", "base", "ids"), model, max(1, math.ceil(size / (2 * PIECE))))
+    return scores.join(rare, "row", "left").select(
         "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

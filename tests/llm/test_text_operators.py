@@ -254,6 +254,31 @@ def test_lm_windows_by_hand_and_sum_to_one():
     assert (10**every).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_counts_all_triples(spark, docs_of, words, monkeypatch):
+    """Singletons and rare continuations count; pieces and shards do not change the scores."""
+    from pyspark.sql import functions as F
+
+    kept, scored = {}, attention_lm.scored
+    monkeypatch.setattr(attention_lm, "PIECE", 300)
+    monkeypatch.setattr(attention_lm, "scored", lambda tokens, model, shards: kept.update(tokens=tokens, model=model, shards=shards) or scored(tokens, model, shards))
+    random.seed(14)
+    rows = [(i, " ".join(random.choices(words[:30], k=random.randint(0, 60)))) for i in range(80)]
+    got = {r.id: r.score for r in attention_lm.score_documents(docs_of(rows), F.col("doc_id") % 5 == 1).collect()}
+    tokens = [(r.id, r.held_out, np.frombuffer(r.ids, np.uint16)) for r in kept["tokens"].collect()]
+    assert kept["shards"] > 3 and kept["tokens"].select("piece").distinct().count() > 3
+    n, end = Counter(), attention_lm.END
+    for _, held_out, seq in tokens:
+        for a, b, c in zip([end, *seq.tolist()], seq.tolist(), seq[1:].tolist()):
+            n[(a << 32) + (b << 16) + c] += not held_out
+    keys = np.array(sorted(k for k in n if n[k]))
+    times = np.array([n[k] for k in keys.tolist()], float)
+    pairs, at = np.unique(keys >> 16, return_inverse=True)
+    assert (times == 1).any()
+    m = attention_lm.replace(kept["model"], triples=keys, times=times, pairs=pairs, total=np.bincount(at, times), freed=attention_lm.DISCOUNT * np.bincount(at))
+    want = dict(zip([i for i, *_ in tokens], m.log10([seq for *_, seq in tokens])))
+    assert len(got) == 80 and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
 def test_lm_gradient():
     m, r = tiny_model(), np.random.default_rng(2)
     windows, real = m.kind[r.integers(0, 60, (4, attention_lm.WINDOW))], np.ones((4, attention_lm.WINDOW), np.float32)
