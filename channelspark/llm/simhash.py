@@ -6,6 +6,10 @@ by the shared block instead of to every executor, because all trees together gro
 A shard with more than ``SHARD`` fingerprints is split anew on its other bits, up to three times, and
 what is still larger is cut into slices whose trees are met by every other slice. A shard emits a
 chain through each of its classes rather than its pairs, which grows no faster than its size.
+
+``near_copies`` links texts by the true Jaccard similarity of their word shingles. At 0.8 fingerprints differ in
+about 10 bits, too many for blocks of bits, so its shards are bands of min-hashes; their trees' links only
+say which texts meet, and each link that counts is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -21,13 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelspark.llm.common import in_slices, packed, text_of
+from channelspark.llm.common import by_key, in_slices, packed, text_of
 from channelspark.llm.components import connected_components
 from channelspark.session import stored
 
 RADIUS = 3
 SHARD = 2048
 PIECE = 65_536
+#: A pair of similarity 0.8 shares no band of 5 min-hashes of 20 with a chance of 0.0004, and exceeds 24 bits more rarely.
+BANDS, BAND, WIDE = 20, 5, 24
+MEET = 512
+FACTORS = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -89,7 +97,7 @@ class BKTree:
         return out
 
 
-def shard_links(trees: list[int], queries: list[int] | None = None) -> Iterator[tuple[int, int]]:
+def shard_links(trees: list[int], queries: list[int] | None = None, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Chains through the classes of a shard, or of one slice's tree and the queries of another."""
     parent: dict[int, int] = {}
 
@@ -99,7 +107,7 @@ def shard_links(trees: list[int], queries: list[int] | None = None) -> Iterator[
         return x
 
     def join(code: int) -> None:
-        for other in tree.within(code, RADIUS):
+        for other in tree.within(code, radius):
             parent[root(code)] = root(other)
 
     tree = BKTree()
@@ -116,15 +124,15 @@ def shard_links(trees: list[int], queries: list[int] | None = None) -> Iterator[
         yield from zip(members, members[1:])
 
 
-def _match(rows: DataFrame) -> DataFrame:
+def _match(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links of shards: rows (key, tree, fp) with one key's rows next to each other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(key: tuple, fps: np.ndarray, trees: np.ndarray) -> Iterator[tuple[int, int]]:
         codes = fps.view(np.uint64)
         if trees.all():
-            return shard_links(codes.tolist())
-        return shard_links(codes[trees].tolist(), codes[~trees].tolist())
+            return shard_links(codes.tolist(), None, radius)
+        return shard_links(codes[trees].tolist(), codes[~trees].tolist(), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
@@ -194,13 +202,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "part", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted XXH64 hashes of the distinct word shingles; all words are one shingle if there are fewer than ``size``."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    size = min(size, len(words))
+    parts = []
+    for first in range(0, len(words) - size + 1, PIECE):
+        part = words[first : first + PIECE + size - 1]
+        line, ends = b" ".join(part), np.cumsum([len(w) + 1 for w in part]) - 1
+        starts = np.append(0, ends[:-1] + 1)[: len(part) - size + 1].tolist()
+        parts.append(np.array([xxhash.xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, ends[size - 1 :].tolist())], np.uint64))
+    return np.unique(np.concatenate(parts))
+
+
+def sketch(found: np.ndarray) -> tuple[int, int, list[int]]:
+    """A digest, the majority fingerprint and the keys of the bands of min-hashes of a set of shingles."""
+    ones, least = np.zeros(64, np.int64), np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for first in range(0, len(found), 2048):
+        h = found[first : first + 2048]
+        at = h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        ones += (np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ BITS).ravel()
+        least = np.minimum(least, (h[:, None] * FACTORS[0] + FACTORS[1]).min(0))
+    fp = int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+    bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND))]
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 1)).view(np.int64)), fp, np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches ``similarity``."""
+    few, many = sorted((len(a), len(b)))
+    if few < similarity * many - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def verified_links(keys: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of alike sets that join every class; sets that are joined already are not compared."""
+    classes: list[list[int]] = []
+    for i, own in enumerate(sets):
+        mine, others = [i], []
+        for members in classes:
+            if (j := next((j for j in members if alike(own, sets[j], similarity)), None)) is None:
+                others.append(members)
+            else:
+                yield keys[i], keys[j]
+                mine = members + mine
+        classes = [mine, *others]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id``, ``part`` and ``component`` as in ``near_duplicates``, over links of texts whose sets of ``size``-word
+    shingles have a Jaccard similarity of at least ``similarity`` (not below 0.8, for which the bands are sized).
+    """
+    text = text_of(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, fp, bands = zip(*(sketch(shingles(t, size)) for t in batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("part"), pa.array(digest, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "part", "node", "fp", "bands"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    rows = stored(source.mapInArrow(run, f"id {kind}, part bigint, node bigint, fp bigint, bands array<bigint>"), "sketches")
+    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("part").alias("part"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sets")
+    shards = in_slices(nodes.select(F.explode("bands").alias("key"), "fp").distinct(), F.col("fp"), SHARD)
+    coarse = connected_components(_match(shards.repartition("key").sortWithinPartitions("key"), WIDE))
+    group = nodes.join(coarse.withColumnRenamed("node", "fp"), "fp", "left").select("node", "part", F.coalesce("root", "fp").alias("key"))
+    meet = stored(group.join(group.groupBy("key").count().where("count > 1"), "key").select("key", "node", "part"), "meet")
+    texts = source.join(meet, "part").groupBy("part", "node", "key").agg(F.first("text").alias("text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches):
+            links = list(verified_links(held["node"].to_pylist(), [shingles(t, size) for t in held["text"].to_pylist()], similarity))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    met = in_slices(texts.select("key", "node", "text"), F.col("node"), MEET).select("key", "node", "text")
+    member = connected_components(met.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint"))
+    labelled = nodes.join(member, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component"))
+    named = labelled.select("node", "root").join(least, "root").select("node", "component")
+    return rows.join(named, "node").select("id", "part", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies=near_duplicates) -> DataFrame:
     """The input rows with the smallest id of each component; one of several rows with that id and text.
 
     A component without ids keeps one row of each text.
     """
     kept = (
-        near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component")))
+        copies(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component")))
         .select(F.col("id").alias("kept_id"), F.col("part").alias("kept_part")).distinct()
     )
     rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("part"))

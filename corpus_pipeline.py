@@ -31,8 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document, the smallest id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    return simhash.one_of_each(docs, copies=simhash.near_copies)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

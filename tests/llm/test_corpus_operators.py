@@ -116,6 +116,31 @@ def test_near_duplicates(docs_of, words):
     assert simhash.near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [6, 2000])
+def test_stage_finds_edited_copies(spark, docs_of, words, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SHARD", limit)
+    monkeypatch.setattr(simhash, "MEET", limit)
+    random.seed(15)
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows = []
+    for b in range(12):
+        base = random.choices(words, k=300)
+        rows.append((100 * b, " ".join(base)))
+        for i, edits in enumerate([1, 2, 3, 4, 5, 6, 6, 7, 9, 14]):
+            text = list(base)
+            for n in range(edits):
+                text[10 + 20 * n] = f"edit{b}x{i}x{n}"
+            rows.append((100 * b + i + 1, " ".join(text)))
+    rows += [(5000, rows[0][1].upper()), (5001, "a b"), (5002, "A  b"), (5003, "a c")]
+    sets = [grams(t.lower()) or {tuple(t.lower().split())} for _, t in rows]
+    alike = [[j for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    assert any(0.8 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.83 for i in range(len(rows)) for j in alike[i])
+    root = groups(len(rows), lambda i: alike[i])
+    root = [root[root[w]] for w in root]
+    kept = corpus_pipeline.dedup_near(spark, docs_of(rows), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({rows[w][0] for w in root}) and 12 < len(kept) < 60
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, label int, x string, node int")
 
