@@ -10,6 +10,7 @@ computing its distance, when the triangle inequality puts it beyond the k-th bes
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import count
@@ -26,7 +27,7 @@ from channelspark.session import stored
 PAGE, FANOUT = 64, 16
 SHARD = 8192
 BLOCK = 2048
-LARGEST = 2.0**24
+LARGEST = 2.0**63
 SLACK = 1e-3
 
 
@@ -41,13 +42,13 @@ class Node:
 
 
 class MTree:
-    """Bulk-loaded tree over integer vectors."""
+    """Bulk-loaded tree over integer vectors (int64 while inner products fit, else Python integers)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         norms = (vectors * vectors).sum(1)
         self.bound = int(norms.max(initial=0))
-        self.points = np.column_stack([vectors, np.sqrt(self.bound - norms)])
+        self.points = np.column_stack([vectors.astype(np.float64), np.sqrt((self.bound - norms).astype(np.float64))])
         self.random = np.random.default_rng(11)
         self.root = self._page(np.arange(len(ids)), np.zeros(vectors.shape[1] + 1))
         self.computed = 0
@@ -71,20 +72,21 @@ class MTree:
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) by score, then smaller id, without the id ``own``."""
         norm = int(query @ query)
-        target = np.append(query, 0.0)
+        target = np.append(query.astype(np.float64), 0.0)
+        slack = max(SLACK, 2.0**-50 * (len(target) + 4) * (math.sqrt(norm) + math.sqrt(self.bound)))  # rounding of distances
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         far, order = np.inf, count()
         todo = [(0.0, next(order), self.root, float(np.sqrt((target**2).sum())))]
-        while todo and todo[0][0] <= far + SLACK:
+        while todo and todo[0][0] <= far + slack:
             _, _, node, d = heapq.heappop(todo)
             reach = node.radius if node.children else 0.0
-            near = np.flatnonzero(np.abs(d - node.to_parent) - reach <= far + SLACK)
+            near = np.flatnonzero(np.abs(d - node.to_parent) - reach <= far + slack)
             self.computed += len(near)
             if node.children:
                 apart = self._distance(node.rows[near], target)
                 for i, a in zip(near.tolist(), apart.tolist()):
                     low = max(a - node.radius[i], 0.0)
-                    if low <= far + SLACK:
+                    if low <= far + slack:
                         heapq.heappush(todo, (low, next(order), node.children[i], a))
                 continue
             rows = node.rows[near]
@@ -97,14 +99,19 @@ class MTree:
                 elif (score, -key) > best[0]:
                     heapq.heapreplace(best, (score, -key))
             if len(best) == k:
-                far = float(np.sqrt(max(norm + self.bound - 2 * best[0][0], 0)))
+                far = math.sqrt(max(norm + self.bound - 2 * best[0][0], 0))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+def fitting(score: int) -> tuple[int, int]:
+    """A score as a 64-bit integer and 0, or 0 and the side on which it exceeds one."""
+    return (score, 0) if -(2**63) <= score < 2**63 else (0, 1 if score > 0 else -1)
+
+
 def scaled(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``id`` and ``v``, the vector's components as floor(scale * x); unusable rows are left out."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    usable = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= F.lit(LARGEST / scale)))
+    usable = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(LARGEST / scale)))
     return (
         df.select(F.col(id_col).cast("bigint").alias("id"), x.alias("x"))
         .where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(usable)
@@ -119,8 +126,9 @@ def exact_top_k(
 
     Queries are the rows whose id is divisible by ``every`` (rows that share an id ask together); every row
     with another id is a candidate, all of them if there are fewer than k. Equal scores go to the smaller id, and repeated rows count
-    as often as they occur. Rows without an id, without a vector, or with a null, non-finite or
-    huge component (over 2^24 once scaled) take no part. Shorter vectors count as padded with zeros.
+    as often as they occur. Rows without an id, without a vector, or with a null or non-finite component, or one
+    that is no 64-bit integer once scaled, take no part. Shorter vectors count as padded with zeros. A score
+    among the best that is no 64-bit integer is an error.
     """
     rows = stored(scaled(vectors, id_col, vector_col, scale), "vectors")
     size, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -142,14 +150,18 @@ def exact_top_k(
             matrix[np.arange(matrix.shape[1]) < sizes[:, None]] = rows["v"].combine_chunks().flatten().to_numpy()
             if asks.all() or not asks.any():
                 continue
+            largest = max(-int(matrix.min(initial=0)), int(matrix.max(initial=0)))
+            if matrix.shape[1] * largest**2 >= 2**63:
+                matrix = matrix.astype(object)
             tree = MTree(ids[~asks], matrix[~asks])
-            found = [(ids[i], other, score) for i in np.flatnonzero(asks)
+            found = [(ids[i], other, *fitting(score)) for i in np.flatnonzero(asks)
                      for score, other in tree.search(matrix[i], ids[i], k)]
-            columns = np.array(found, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+            columns = np.array(found, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "beyond"])
 
     found = both.repartition("key").sortWithinPartitions("key", "query").mapInArrow(
-        search, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        search, "query_id bigint, vec_id bigint, score bigint, beyond bigint")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id"))
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score exceeds 64 bits")).cast("bigint"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", score.alias("score"))

@@ -164,6 +164,25 @@ def test_top_k(spark, monkeypatch):
     assert top_k.exact_top_k(vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [20_000.0, 1e6])
+def test_top_k_of_large_components(spark, size):
+    """Components over 16,384, with integers that fit 64 bits and (for parts of the products) do not."""
+    r = np.random.default_rng(16)
+    rows = [(i, (r.normal(size=8) * (size if i % 3 == 0 else 1)).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(301, [-3e9] + [0.0] * 7), (302, [float(2**40)] + [0.0] * 7)] if size > 1e5 else []
+    rows = [(i, [0.0] + v[1:] if i % 100 == 0 else v) for i, v in rows]
+    ints = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for query, a in ints:
+        if query % 100 == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in ints if j != query)[:10]
+            want += [(query, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    assert sorted(map(tuple, top_k.exact_top_k(vectors(spark, rows)).collect())) == want
+    assert {j % 3 for _, _, j, _ in want} & {0}
+    with pytest.raises(Exception, match="64 bits"):
+        top_k.exact_top_k(vectors(spark, [(100, [1e12]), (1, [1e12])])).collect()
+
+
 def test_m_tree_leaves_distances_out():
     r = np.random.default_rng(7)
     points = (1000 * (r.normal(size=(20, 1, 6)) + r.normal(scale=0.02, size=(20, 200, 6)))).reshape(-1, 6).astype(np.int64)
