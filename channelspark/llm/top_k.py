@@ -134,8 +134,11 @@ def exact_top_k(
     size, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     asked = stored(rows.where(F.col("id") % every == 0).distinct().withColumn("n", F.monotonically_increasing_id()), "queries")
     shards, blocks = max(1, -(-size // SHARD)), max(1, -(-asked.count() // BLOCK))
-    # of equal vectors only the k + 1 smallest ids can be among a query's k best
-    few = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    # of equal vectors only the k + 1 smallest ids (one may be the query's own) can be among a query's k best, each at most k times
+    few = (
+        rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(W.partitionBy("v").orderBy("id")))
+        .where(F.col("place") <= k + 1).select("id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("r"))
+    )
     points = few.select(F.pmod(F.xxhash64("id", "v", "r"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
                         F.lit(False).alias("query"), "id", "v")
     queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block"),

@@ -164,6 +164,17 @@ def test_top_k(spark, monkeypatch):
     assert top_k.exact_top_k(vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [2, 12])
+def test_top_k_of_a_repeated_query(spark, repeats):
+    """The query's own rows take no places from the ids that hold the same vector."""
+    rows = [(100, [2.0, 1.0])] * repeats + [(i, [2.0, 1.0]) for i in range(101, 115)] + [(1, [1.0, 1.0]), (2, [0.0, 1.0])]
+    got = sorted((r["rank"], r.vec_id) for r in top_k.exact_top_k(vectors(spark, rows)).collect())
+    assert got == [(n + 1, 101 + n) for n in range(10)]
+    many = [(100, [2.0, 1.0]), *[(101, [2.0, 1.0])] * 4, *[(102, [2.0, 1.0])] * 20, (103, [2.0, 1.0])]
+    got = sorted((r["rank"], r.vec_id) for r in top_k.exact_top_k(vectors(spark, many)).collect())
+    assert got == [(n + 1, 101 if n < 4 else 102) for n in range(10)]
+
+
 @pytest.mark.parametrize("size", [20_000.0, 1e6])
 def test_top_k_of_large_components(spark, size):
     """Components over 16,384, with integers that fit 64 bits and (for parts of the products) do not."""
