@@ -16,7 +16,7 @@ come first, and the attention's answer shares what the discount frees:
 The counts of all triples stay with Spark. Pieces of the corpus send their distinct triples to shards by the
 first two ids, and each shard sends back the counts of what a piece asked for, so a task holds a piece or a shard.
 
-Queries, keys and a bias per distance are trained in numpy by Adam: each task takes one window of every
+Queries, keys and a bias per distance are trained in numpy by Adam: each task takes all windows of every
 document it holds, and the tasks' parameters are averaged by Spark after each round. Windows of
 2 * HOP tokens overlap by HOP, so that each token is scored once, with HOP to 2 * HOP - 1 tokens before it
 (fewer at the start of a text).
@@ -34,7 +34,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -195,31 +195,27 @@ def triple_keys(flat: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndar
 
 
 def train_here(model: Model, ids: Iterator[np.ndarray], seed: int) -> tuple[np.ndarray, int]:
-    """Parameters after Adam over one window of every sequence, and the number of windows."""
+    """Parameters after Adam over all windows of all sequences, each place once, and the number of windows."""
     random = np.random.default_rng(seed)
     flat = model.parameters().astype(np.float64)
     m, v, t, total = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    held: list[np.ndarray] = []
-
-    def update() -> None:
-        nonlocal flat, m, v, t, total
-        windows, real = np.zeros((len(held), WINDOW), np.int64), np.zeros((len(held), WINDOW), np.float32)
-        for i, h in enumerate(held):
-            windows[i, : len(h)], real[i, : len(h)] = model.kind[h], 1
-        _, g = model.replaced(flat).step(windows, real)
-        t += 1
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat = flat - 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        total += len(held)
-        held.clear()
-
-    for sequence in ids:
-        start = int(random.integers(0, max(1, len(sequence) - WINDOW + 1)))
-        held.append(sequence[start : start + WINDOW])
-        if len(held) == 64:
-            update()
-    if held:
-        update()
+    for held in _gathered(ids, PIECE // 16):
+        length = np.array([len(h) for h in held])
+        kinds = np.concatenate([model.kind[np.concatenate(held)], np.zeros(WINDOW, np.int64)])
+        end = np.cumsum(length)
+        hops = np.maximum(-(-(length - WINDOW) // HOP), 0) + 1
+        of = np.repeat(np.arange(len(held)), hops)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(hops) - hops, hops)
+        order = random.permutation(len(of))
+        for some in (order[i : i + 64] for i in range(0, len(order), 64)):
+            at = (end - length)[of[some], None] + nth[some, None] * HOP + np.arange(WINDOW)
+            real = (at < end[of[some], None]) & ((nth[some, None] == 0) | (np.arange(WINDOW) >= HOP))
+            windows = np.where(at < end[of[some], None], kinds[np.minimum(at, len(kinds) - 1)], 0)
+            _, g = model.replaced(flat).step(windows, real.astype(np.float32))
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            flat = flat - 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        total += len(order)
     return flat, total
 
 
@@ -227,16 +223,23 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint16) for b in batch.column("ids").to_pylist()]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole sequences of about ``size`` ids together, with the number of each id's sequence."""
+def _gathered(ids: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
+    """Whole sequences of about ``size`` ids together."""
     held, length = [], 0
-    for sequence in chain((s for batch in batches for s in _sequences(batch)), [None]):
-        if held and (sequence is None or length + len(sequence) > size):
-            yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+    for sequence in ids:
+        if held and length + len(sequence) > size:
+            yield held
             held, length = [], 0
-        if sequence is not None:
-            held.append(sequence)
-            length += len(sequence)
+        held.append(sequence)
+        length += len(sequence)
+    if held:
+        yield held
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of about ``PIECE`` ids together, with the number of each id's sequence."""
+    for held in _gathered((s for batch in batches for s in _sequences(batch)), PIECE):
+        yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
 
 
 def _tally(tokens: DataFrame, size: int, keys_of) -> np.ndarray:

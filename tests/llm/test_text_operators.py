@@ -279,6 +279,18 @@ def test_lm_counts_all_triples(spark, docs_of, words, monkeypatch):
     assert len(got) == 80 and all(got[i] == pytest.approx(want[i]) for i in got)
 
 
+def test_lm_trains_on_every_place(monkeypatch):
+    m, r = tiny_model(), np.random.default_rng(3)
+    seqs = [r.integers(0, 60, n).astype(np.uint16) for n in (2, 15, 16, 17, 24, 25, 900)]
+    seen, step = [], attention_lm.Model.step
+    monkeypatch.setattr(attention_lm, "PIECE", 16 * 60)
+    monkeypatch.setattr(attention_lm.Model, "step", lambda self, windows, real: seen.append((windows[:, 1:][real[:, 1:] > 0], len(windows))) or step(self, windows, real))
+    flat, n = attention_lm.train_here(m, iter(seqs), 0)
+    assert n == sum(k for _, k in seen) == sum(1 + max(0, -(-(len(s) - 16) // 8)) for s in seqs) and np.isfinite(flat).all()
+    want = np.bincount(np.concatenate([m.kind[s[1:]] for s in seqs]), minlength=attention_lm.CLASSES)
+    assert np.array_equal(np.bincount(np.concatenate([k for k, _ in seen]), minlength=attention_lm.CLASSES), want)
+
+
 def test_lm_gradient():
     m, r = tiny_model(), np.random.default_rng(2)
     windows, real = m.kind[r.integers(0, 60, (4, attention_lm.WINDOW))], np.ones((4, attention_lm.WINDOW), np.float32)
