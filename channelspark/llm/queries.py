@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelspark.llm import attention_lm, bpe, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup
+from channelspark.llm import (
+    attention_lm, bpe, conversation_repair, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup,
+)
 from channelspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +169,63 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return attention_lm.score_documents(docs, remainder(F.col("doc_id"), 5) == 1).withColumnRenamed("id", "doc_id")
+
+
+# CRC-32 bit by bit. Insert never is part of a cheapest repair: without the inserted row and the other one of its pair
+# (at most 2 to delete) the rest still fits and costs less; so the recursion over rows needs Delete, Keep and Rerole only.
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0,0,0,0,0,0,0,0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed
+), ordered AS (
+  SELECT *, left(role, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN t = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair
+  FROM ordered
+), measures AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM marked GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS pos, '' AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM measures
+  UNION ALL
+  SELECT conv_id, pos, state, cost, audit, lines FROM (
+    SELECT p.conv_id, m.pos, e.edit, p.audit || e.edit AS audit,
+           CASE e.edit WHEN 'D' THEN p.state WHEN 'K' THEN m.i WHEN 'R' THEN CASE WHEN p.state = 'u' THEN 'a' ELSE 'u' END END AS state,
+           p.cost + CASE e.edit WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN e.edit <> 'D' AND m.fault = 't' THEN 5 ELSE 0 END AS cost,
+           CASE e.edit WHEN 'D' THEN p.lines WHEN 'K' THEN list_append(p.lines, m.role || ':' || m.text)
+             ELSE list_append(p.lines, CASE WHEN p.state = 'u' THEN 'assistant:' ELSE 'user:' END || m.text) END AS lines
+    FROM paths p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.pos = p.pos + 1
+    JOIN (VALUES ('D'), ('K'), ('R')) e(edit) ON e.edit = 'D' OR (m.fault NOT IN ('b', 'd') AND (e.edit = 'R'
+      OR (m.i = 's' AND p.state = '') OR (m.i = 'u' AND p.state IN ('', 's', 'a')) OR (m.i = 'a' AND p.state = 'u')))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), best AS (
+  SELECT p.* FROM paths p JOIN measures m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.n = p.pos
+  WHERE p.state IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost, p.audit) = 1
+)
+SELECT c.conv_id, coalesce(m.gaps, 0) AS gaps, coalesce(m.blank, 0) AS blank, coalesce(m.duplicate, 0) AS duplicate,
+       coalesce(m.truncated, 0) AS truncated, coalesce(m.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost,
+       coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN measures m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
