@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelspark.llm import (
-    attention_lm, bpe, conversation_repair, language, line_dedup, mixing, simhash, token_counts, top_k, toxicity, vector_dedup,
+    attention_lm, bpe, conversation_repair, language, line_dedup, mixing, simhash, token_alignment, token_counts, top_k,
+    toxicity, vector_dedup,
 )
 from channelspark.llm.common import remainder, table
 
@@ -229,3 +230,10 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf, "documents"), groups="sha256").select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
