@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from channelspark.llm import (
     attention_lm, bpe, conversation_repair, language, line_dedup, mixing, simhash, token_alignment, token_counts, top_k,
-    toxicity, vector_dedup,
+    toxicity, vector_dedup, wrappers,
 )
 from channelspark.llm.common import remainder, table
 
@@ -237,3 +237,23 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     return token_alignment.align(table(spark, sf, "documents"), groups="sha256").select(
         F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
     )
+
+
+# Every given page has one plain article element; the references in them are those of the replacements.
+PAGES_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?(p|h1)>') AS parts
+  FROM pages
+), clean AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(
+    regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))) AS blocks
+  FROM cut
+), joined AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM clean)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
+
+@query("op12_html_extraction", PAGES_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return wrappers.extract(pages, wrappers.infer(pages)).select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
