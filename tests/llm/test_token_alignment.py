@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -75,6 +76,25 @@ def test_against_loops(spark, docs_of, words, libraries, monkeypatch):
     assert all(hashed[i][-1] == (hashlib.sha256(g[-1].encode()).hexdigest() if g[-1] else "") for i, g in want.items())
 
 
+def test_ranks_are_the_same_vocabulary(libraries):
+    """Every code point of the first planes in a few surroundings, a stride of the rest."""
+    ranks, whole = ta.Ranks(public_tokenizers.path(ta.BYTE_RANKS)), ta.ByteLevel(public_tokenizers.path(ta.BYTE_BPE))
+    points = [c for c in [*range(0x3400), *range(0xE000, 0x20000, 5), *range(0x20000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b1{chr(c)} {chr(c)}'s" for c in points]
+    assert ranks.encode(texts) == whole.encode(texts)
+    assert ranks.pieces.to_pylist() == whole.pieces.to_pylist()[: len(ranks.pieces)]
+
+
+@pytest.mark.parametrize("name", [ta.BYTE_RANKS, ta.BYTE_BPE, ta.PIECE_BPE])
+def test_words_stand_for_texts(words, name):
+    """No token goes on after a space that a word follows."""
+    side = ta.sides(name, name)[0]
+    some = [*words, "don't", "a\n", "b\u3000", "\U0001f600", "x" * 300, "1,234.5\n\ny", "é\t", "<0x41>", "<|endoftext|>"] * 3
+    flat = side.encode_words(pa.array(some, pa.large_string()))
+    assert sum(flat.to_pylist(), []) == side.encode([" ".join(some)])[0]
+    assert flat.to_pylist() == side.encode(some)
+
+
 def test_small_slices_and_pieces_give_the_same(spark, docs_of, words, libraries):
     """Pieces of a few documents: partial counts meet in Spark."""
     texts = [" ".join(words[(k * 7 + i) % 400] for i in range(k % 30)) for k in range(120)]
@@ -85,8 +105,8 @@ def test_small_slices_and_pieces_give_the_same(spark, docs_of, words, libraries)
 def test_pieces_within_a_task(words, libraries):
     """A task that fills several pieces numbers their pairs anew."""
     texts = [" ".join(words[k : k + 9]) for k in range(40)] + ["", None]
-    a, b = ta.sides(ta.BYTE_BPE, ta.PIECE_BPE)
-    aligned = ta.Aligned(*ta.tokens_of(texts, a, b))
+    a, b = ta.sides(ta.BYTE_RANKS, ta.PIECE_BPE)
+    aligned = ta.Aligned(*ta.tokens_of(pa.array(texts), a, b))
     want = brute([t or "" for t in texts], libraries)
     assert aligned.texts().to_pylist() == [w[6] for w in want]
     assert aligned.groups.tolist() == [w[2] for w in want]
