@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from channelspark.functions import complex as C
 from channelspark.operators.quantiles import exact_quantiles
 from channelspark.operators.skew import salted_join
-from channelspark.session import stored
-
-EXACT_HIT_M = 1e-9
 
 
 def measured(rss: DataFrame) -> Column:
@@ -145,81 +142,3 @@ def floorplan_extent(meta: DataFrame) -> DataFrame:
         "xmin": F.col("origin_x"), "xmax": F.col("origin_x") + width,
         "ymin": F.col("origin_y"), "ymax": F.col("origin_y") + height,
     })
-
-
-def knn_idw(
-    targets: DataFrame, samples: DataFrame, *, scene: str, target: Sequence[str], k: int,
-    power: float, tile_m: float, salts: int = 8,
-) -> DataFrame:
-    """Inverse-distance mean of the k nearest samples of the same scene, exact.
-
-    Targets meet samples on tile keys of their 3 x 3 neighbourhood. A target is settled once k
-    samples lie strictly nearer than the border of that neighbourhood; the rest repeat with tiles
-    of three times the size until the neighbourhood covers its scene. Of samples at one position only
-    the k lowest ids can matter, which is pruned before any pairing.
-    """
-    same_spot = W.partitionBy(scene, "x", "y").orderBy("id")
-    kept = (
-        samples.where(C.is_finite(F.col("value")))
-        .withColumn("_n", F.row_number().over(same_spot)).where(F.col("_n") <= k).drop("_n")
-    )
-    box = kept.groupBy(scene).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
-        F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"),
-    )
-    pending = stored(targets.join(box, scene), "idw-targets")
-    kept = stored(kept, "idw-samples")
-    ids = [scene, *target]
-    settled: list[DataFrame] = []
-    size = tile_m
-    while not pending.isEmpty():
-        tx, ty = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        near = pending.select("*", around.alias("_dx")).select("*", around.alias("_dy"))
-        near = near.withColumns({
-            "tile_x": tx + F.col("_dx"), "tile_y": ty + F.col("_dy"),
-            # one shuffle key per target row keeps a busy tile in several partitions
-            "_salt": F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"),
-        })
-        placed = kept.select(
-            scene, tx.alias("tile_x"), ty.alias("tile_y"), "id", "value",
-            F.col("x").alias("sx"), F.col("y").alias("sy"),
-        ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = near.join(placed, [scene, "tile_x", "tile_y", "_salt"])
-        dx, dy = F.col("sx") - F.col("x"), F.col("sy") - F.col("y")
-        pairs = pairs.withColumn("d", F.sqrt(dx * dx + dy * dy))
-        nearest = W.partitionBy(*ids).orderBy("d", "id")
-        ranked = pairs.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= k)
-        weight = 1 / F.pow(F.greatest(F.col("d"), F.lit(EXACT_HIT_M)), F.lit(power))
-        found = ranked.groupBy(*ids).agg(
-            F.count(F.lit(1)).alias("_found"), F.max("d").alias("_reach"), F.min("d").alias("_near"),
-            F.min_by("value", F.struct("d", "id")).alias("_hit"),
-            (F.sum(weight * F.col("value")) / F.sum(weight)).alias("_mean"),
-        )
-        # Distance to each side of the neighbourhood beyond which samples may still exist.
-        open_sides = [
-            F.when(F.col("x0") < (tx - 1) * size, F.col("x") - (tx - 1) * size),
-            F.when(F.col("x1") >= (tx + 2) * size, (tx + 2) * size - F.col("x")),
-            F.when(F.col("y0") < (ty - 1) * size, F.col("y") - (ty - 1) * size),
-            F.when(F.col("y1") >= (ty + 2) * size, (ty + 2) * size - F.col("y")),
-        ]
-        margin = F.least(*open_sides)  # NULL when the whole scene has been searched
-        enough = (F.coalesce(F.col("_found"), F.lit(0)) >= k) & (F.col("_reach") < margin)
-        done = margin.isNull() | enough
-        tested = stored(
-            pending.join(found, ids, "left").withColumn("_done", F.coalesce(done, F.lit(False))),
-            "idw-level",
-        )
-        settled.append(tested.where("_done").select(
-            *ids, "x", "y",
-            F.when(F.col("_near") <= EXACT_HIT_M, F.col("_hit")).otherwise(F.col("_mean"))
-            .alias("value"),
-        ))
-        pending = tested.where("NOT _done").select(*pending.columns)
-        size *= 3  # the next tile is as wide as the neighbourhood just searched
-    if not settled:
-        return targets.select(*ids, "x", "y", F.lit(None).cast("double").alias("value")).limit(0)
-    result = settled[0]
-    for level in settled[1:]:
-        result = result.unionByName(level)
-    return result

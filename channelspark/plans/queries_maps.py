@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from channelspark.functions import text as TX
 from channelspark.operators import links as L
+from channelspark.operators import nearest as NE
 from channelspark.operators import radiomap as RM
 from channelspark.operators import sampling as SA
 from channelspark.operators import shards as SH
@@ -104,8 +105,7 @@ def c9(spark, sf):
         "scene_id", "i", steps("by").alias("j")
     ).withColumns({"x": F.col("i") * F.lit(0.4), "y": F.col("j") * F.lit(0.4)})
     samples = user_values(spark, sf).withColumnRenamed("ue", "id")
-    out = RM.knn_idw(targets, samples, scene="scene_id", target=["i", "j"], k=6, power=2.0,
-                     tile_m=1.0)
+    out = NE.knn_idw(targets, samples, scene="scene_id", target=["i", "j"], k=6, power=2.0)
     return out.select("scene_id", "i", "j", r(F.col("value")).alias("value"))
 
 

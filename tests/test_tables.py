@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from channelspark.functions import grid
 from channelspark.operators import links as L
+from channelspark.operators import nearest as NE
 from channelspark.operators import paths as PO
 from channelspark.operators import quality as QA
 from channelspark.operators import radiomap as RM
@@ -109,7 +110,7 @@ def test_knn_against_brute_force(spark):
     grid_xy = [(i, j, i * 4.0 + 3.25, j * 4.0 + 3.25) for i in range(10) for j in range(10)]
     targets = spark.createDataFrame([(0, *t) for t in grid_xy],
                                     "s bigint, i bigint, j bigint, x double, y double")
-    out = RM.knn_idw(targets, samples, scene="s", target=["i", "j"], k=5, power=2.0, tile_m=2.0)
+    out = NE.knn_idw(targets, samples, scene="s", target=["i", "j"], k=5, power=2.0)
     got = {(r.i, r.j): r.value for r in out.collect()}
     assert len(got) == 100
     for i, j, x, y in grid_xy:
@@ -118,8 +119,7 @@ def test_knn_against_brute_force(spark):
         w = 1 / np.maximum(d[near], 1e-9) ** 2
         expected = value[near[0]] if d[near[0]] <= 1e-9 else (w * value[near]).sum() / w.sum()
         assert got[i, j] == pytest.approx(expected, rel=1e-9), (i, j)
-    few = RM.knn_idw(targets, samples.where("id < 3"), scene="s", target=["i", "j"], k=5,
-                     power=2.0, tile_m=20.0)
+    few = NE.knn_idw(targets, samples.where("id < 3"), scene="s", target=["i", "j"], k=5, power=2.0)
     assert few.count() == 100  # fewer samples than neighbours
 
 
