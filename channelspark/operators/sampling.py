@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from channelspark.operators.radiomap import any_valid
-from channelspark.operators.skew import salted_join
 from channelspark.session import stored
 
 
@@ -116,48 +115,73 @@ def interleave_strata(sample: DataFrame, quotas: DataFrame, stratum: str) -> Dat
     return sample.join(interleave_positions(quotas, stratum), [stratum, "rank"])
 
 
+#: Candidates that one cell row holds on average at most, and cells per side of a scene.
+CELL_ROWS, CELLS = 1024, 32
+
+
+def _cells(candidates: DataFrame, scene: str, item: str) -> DataFrame:
+    """Candidates packed by place: ``points`` with their squared distance ``d`` to the nearest chosen one so far."""
+    box = candidates.groupBy(scene).agg(
+        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"),
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("_n"))
+    at = [F.coalesce(F.floor(F.try_divide(F.col(a) - F.col(f"_{a}0"), F.col("_side")) * CELLS), F.lit(0)) for a in "xy"]
+    deal = F.pmod(F.xxhash64(item), F.greatest(F.ceil(F.col("_n") / CELL_ROWS), F.lit(1)))  # crowded cells hold several rows
+    placed = candidates.select(scene, item, "x", "y").join(box, scene).withColumns({"_i": at[0], "_j": at[1]})
+    sizes = placed.groupBy(scene, "_i", "_j").agg(F.count(F.lit(1)).alias("_in"))
+    placed = placed.drop("_n").join(sizes.withColumnRenamed("_in", "_n"), [scene, "_i", "_j"])
+    point = F.struct(F.col(item).alias("item"), "x", "y", _squared(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("d"))
+    return placed.groupBy(scene, "_i", "_j", deal.alias("_deal")).agg(
+        F.collect_list(point).alias("points"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+    ).drop("_i", "_j", "_deal").withColumn("top", _top())
+
+
+def _squared(ax, ay, bx, by) -> Column:
+    return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
+
+
+def _top() -> Column:
+    """A cell's farthest candidate, the lowest item of equally far ones; chosen ones have a negative distance."""
+    return F.array_max(F.transform("points", lambda p: F.struct(
+        p["d"].alias("d"), (-p["item"]).alias("neg"), p["item"].alias("item"), p["x"].alias("x"), p["y"].alias("y"))))
+
+
+def _after(cells: DataFrame, chosen: DataFrame, scene: str, first: bool) -> DataFrame:
+    """Cells after one more choice. A cell whose box is no nearer to it than its farthest candidate's distance stays as it is."""
+    met = cells.join(chosen.select(scene, F.col("best").alias("c")), scene)
+    gap = [F.greatest(F.col(f"{a}0") - F.col(f"c.{a}"), F.col(f"c.{a}") - F.col(f"{a}1"), F.lit(0.0)) for a in "xy"]
+    reached = F.lit(True) if first else gap[0] * gap[0] + gap[1] * gap[1] <= F.col("top.d")
+
+    def nearer(p: Column) -> Column:
+        d = _squared(p["x"], p["y"], F.col("c.x"), F.col("c.y"))
+        known = d if first else F.least(p["d"], d)
+        return p.withField("d", F.when(p["item"] == F.col("c.item"), F.lit(-1.0)).otherwise(known))
+
+    changed = met.withColumn("_reached", reached)
+    changed = changed.withColumn("points", F.when(F.col("_reached"), F.transform("points", nearer)).otherwise(F.col("points")))
+    return changed.withColumn("top", F.when(F.col("_reached"), _top()).otherwise(F.col("top"))).drop("c", "_reached")
+
+
 def farthest_point_sample(
     candidates: DataFrame, scene: str, item: str, count: int
 ) -> DataFrame:
-    """Spread ``count`` items per scene: farthest from the centroid, then farthest from all chosen.
+    """Spread ``count`` items per scene: farthest from the centroid, then farthest from all chosen; the lowest item wins a tie.
 
-    Every round is one distributed aggregate over all scenes; only the chosen items (at most
-    ``count`` per scene) are carried between rounds. The lowest item wins a tie.
+    Candidates are packed into cells once. Every candidate keeps its distance to the nearest chosen item, so a round
+    computes one distance for each, and none in cells that the new choice cannot change (their box is farther away than
+    any of their distances). A round is one aggregate over the cells' farthest candidates and one rewrite of the cells.
     """
-    def squared(ax, ay, bx, by) -> Column:
-        return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
-
-    def farthest(rows: DataFrame, distance: Column) -> DataFrame:
-        best = F.max_by(
-            F.struct(F.col(item).alias("item"), "x", "y"),
-            F.struct(distance.alias("d"), (-F.col(item)).alias("neg")),
-        )
-        return rows.groupBy(scene).agg(best.alias("best"))
-
-    centres = candidates.groupBy(scene).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    first = farthest(
-        salted_join(candidates, centres, [scene], item),
-        squared(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")),
-    )
-    chosen = stored(first.select(scene, F.array("best").alias("chosen")), "spread")
-    for _ in range(count - 1):
-        rows = salted_join(candidates, chosen, [scene], item).where(
-            ~F.exists("chosen", lambda c: c["item"] == F.col(item))
-        )
-        gap = F.array_min(F.transform(
-            "chosen", lambda c: squared(F.col("x"), F.col("y"), c["x"], c["y"])
-        ))
-        added = farthest(rows, gap)
-        chosen = stored(
-            chosen.join(added, scene, "left").select(
-                scene,
-                F.when(F.col("best").isNull(), F.col("chosen"))
-                .otherwise(F.concat("chosen", F.array("best"))).alias("chosen"),
-            ), "spread",
-        )
-    return chosen.select(scene, F.posexplode("chosen").alias("pick", "c")).select(
-        scene, "pick", F.col("c.item").alias(item)
-    )
+    cells = stored(_cells(candidates, scene, item), "spread-cells")
+    picks: list[DataFrame] = []
+    for pick in range(count):
+        best = cells.where("top.d >= 0").groupBy(scene).agg(F.max("top").alias("best"))
+        best = stored(best, "spread-pick")
+        picks.append(best.select(scene, F.lit(pick).alias("pick"), F.col("best.item").alias(item)))
+        if pick + 1 < count:
+            cells = stored(_after(cells, best, scene, pick == 0), "spread-cells")
+    result = picks[0]
+    for more in picks[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def sample_links(

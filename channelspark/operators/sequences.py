@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from channelspark.session import stored
+
 TWO_PI = 6.283185307179586
 # Denominators below this are flat, powers are floored at the smallest double.
 FLAT_CURVATURE = 1e-12
 TINY = 2.2250738585072014e-308
+#: Values nearer to zero than this share the middle buckets.
+TINY_STEP = 1e-12
 
 
 def unwrap_phase(samples: DataFrame, keys: Sequence[str], phase: str, order: str = "k",
@@ -113,10 +117,11 @@ def linear_interpolate(points: DataFrame, keys: Sequence[str], values: Sequence[
 
 def weighted_medians(rows: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str
                      ) -> DataFrame:
-    """First sorted value whose cumulative weight reaches half of the total, for several columns.
+    """First sorted value whose cumulative weight reaches half of the total, for several columns of one link.
 
     ``values`` maps value columns to output names. All columns are handled in one pass: their
-    windows share the partitioning and only re-sort.
+    windows share the partitioning and only re-sort. A group is one link's samples, a tensor of bounded size; for
+    groups of any size there is ``weighted_median``.
     """
     whole = W.partitionBy(*keys)
     reached = {
@@ -131,9 +136,50 @@ def weighted_medians(rows: DataFrame, keys: Sequence[str], values: dict[str, str
     return ranked.groupBy(*keys).agg(*[F.min(v).alias(name) for v, name in values.items()])
 
 
+#: Buckets per factor of e on each side of zero, and equal parts into which the hit bucket is split.
+WEIGHT_BUCKETS, WEIGHT_SPLIT = 64, 4096
+
+
 def weighted_median(rows: DataFrame, keys: Sequence[str], value: str, weight: str,
                     name: str = "median") -> DataFrame:
-    return weighted_medians(rows, keys, {value: name}, weight)
+    """First sorted value whose cumulative weight reaches half of the total, for groups of any size.
+
+    Weights are added up per bucket of values in every task; only buckets, not rows, are put in order. The bucket in which
+    the running weight passes one half is split evenly and searched again, and so is the part that is hit; of that part's rows
+    equal values are merged before they are put in order. Rows without a value or weight do not count; a group
+    without such rows gets NULL. Keys are not NULL.
+    """
+    by = list(keys)
+    narrow = stored(rows.select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")), "weighted-values")
+    groups = narrow.select(*by).distinct()
+    known = narrow.where("_v IS NOT NULL AND _w IS NOT NULL")
+    size = F.log1p(F.abs("_v") / TINY_STEP) * WEIGHT_BUCKETS
+    bucketed = known.withColumn("_b", F.floor(F.signum("_v") * size))
+    total = known.groupBy(*by).agg((F.sum("_w") / 2).alias("_half"))
+    first = _passing(
+        bucketed.groupBy(*by, "_b").agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .join(total, by).withColumn("_before", F.lit(0.0)), by, "_b")
+    width = F.col("_hi") - F.col("_lo")
+    part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * WEIGHT_SPLIT), F.lit(WEIGHT_SPLIT - 1))).otherwise(F.lit(0))
+    inside = bucketed.join(first.select(*by, "_b", "_lo", "_hi", "_before", "_half"), [*by, "_b"]).withColumn("_part", part.cast("int"))
+    second = _passing(
+        inside.groupBy(*by, "_part").agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_half").alias("_half")), by, "_part")
+    last = inside.drop("_before", "_half").join(second.select(*by, "_part", "_before", "_half"), [*by, "_part"])
+    found = _passing(
+        last.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_half").alias("_half")), by, "_v")
+    return groups.join(found.select(*by, F.col("_v").alias(name)), by, "left")
+
+
+def _passing(parts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Per group the first part at which ``_before`` and the weights so far reach ``_half``; ``_before`` then counts up to it.
+
+    Sums are rounded, so if no part of a bucket that should pass does, its last one is taken.
+    """
+    whole = W.partitionBy(*by)
+    upto = whole.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = parts.withColumn("_upto", F.col("_before") + F.sum("_w").over(upto))
+    hit = F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_half"), F.col(order))).over(whole), F.max(order).over(whole))
+    return run.withColumn("_hit", hit).where(F.col(order) == F.col("_hit")).withColumn("_before", F.col("_upto") - F.col("_w")).drop("_upto", "_hit", "_w")
 
 
 def line_fit_sums(x: Column, y: Column, w: Column) -> dict[str, Column]:

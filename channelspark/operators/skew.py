@@ -9,18 +9,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def hot_keys(many: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Keys that hold more than an even partition's share of the rows, with the number of parts (``_salts``) to cut them into.
+
+    There are fewer of them than shuffle partitions, whatever the input.
+    """
+    if partitions is None:
+        partitions = max(2, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.col("_rows") * partitions / counts.select(F.sum("_rows")).scalar()
+    return counts.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_salts"))
+
+
 def salted_join(
     many: DataFrame, few: DataFrame, keys: Sequence[str], spread: str, salts: int | None = None
 ) -> DataFrame:
-    """Inner equi-join whose hot keys are split ``salts`` ways, by default a quarter of the shuffle partitions.
+    """Inner equi-join that splits hot keys, and only those.
 
-    ``many`` rows get a salt from a hash of ``spread``; every ``few`` row is repeated once per
-    salt. Both sides then shuffle on (keys, salt), so one hot key fills ``salts`` partitions.
+    The rows of a key are counted first. ``many`` rows of a hot key get a salt from a hash of ``spread`` and its
+    ``few`` rows are repeated once per salt; all other rows are joined as they are. ``salts`` sets the number of
+    partitions that a key's share is measured against.
     """
-    if salts is None:
-        salts = max(2, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(hot_keys(many, keys, salts))  # fewer rows than shuffle partitions
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.join(hot, list(keys), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    left = marked(many).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")).drop("_salts")
+    right = marked(few).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 

@@ -54,26 +54,56 @@ class AngleGrid:
         return np.stack([x, y, z], axis=-1).reshape(-1, 3)
 
 
+GRAM_TYPE = "array<struct<i: bigint, j: bigint, re: double, im: double, n: bigint>>"
+
+
+def _gram(ants: np.ndarray, lengths: np.ndarray, x: np.ndarray) -> list[dict]:
+    """Upper half of X X^H: sums over samples for every two antenna rows, with the samples that both have."""
+    sums = x @ x.conj().T
+    upper = [(a, b) for a in range(len(ants)) for b in range(len(ants)) if (ants[a], a) <= (ants[b], b)]
+    return [{"i": int(ants[a]), "j": int(ants[b]), "re": float(sums[a, b].real), "im": float(sums[a, b].imag),
+             "n": int(min(lengths[a], lengths[b]))} for a, b in upper]
+
+
+def _finite(values: Sequence[float | None]) -> np.ndarray:
+    """Missing and non-finite samples count as zero."""
+    own = np.array(values, float)
+    return np.where(np.isfinite(own), own, 0.0)
+
+
+def _gram_blocks(rows: pd.Series) -> pd.Series:
+    """One block per row; the row holds the antennas that share a transmit antenna."""
+    out = []
+    for ants in rows:
+        lengths = np.array([0 if a["re"] is None else len(a["re"]) for a in ants])
+        x = np.zeros((len(ants), lengths.max(initial=0)), complex)
+        for at, (own, n) in enumerate(zip(ants, lengths)):
+            if n:
+                x[at, :n] = _finite(own["re"]) + 1j * _finite(own["im"])
+        out.append(_gram(np.array([a["ant"] for a in ants]), lengths, x))
+    return pd.Series(out, dtype=object)
+
+
 def rx_covariance(cfr: DataFrame, link: Sequence[str]) -> DataFrame:
     """R[i, j] = mean of x_i * conj(x_j) over subcarriers and, where there are any, transmit antennas.
 
-    Receive antennas meet at the same transmit antenna of a link (antennas squared pairs, the size
-    of the result) and are unnested after the join. Links without any power are left out. Snapshots
-    are never mixed: if the table has them, ``link`` must name them.
+    The receive antennas of a link that share a transmit antenna form one block, whose Gram matrix is one product in
+    the task; only the upper half of each block is summed over transmit antennas, and mirrored at the end. Links without any power are left
+    out. Snapshots are never mixed: if the table has them, ``link`` must name them.
     """
     if "snapshot" in cfr.columns and "snapshot" not in link:
         raise ValueError("link must contain snapshot")
     meet = [*link, *(c for c in ("tx_ant",) if c in cfr.columns and c not in link)]
-    left = cfr.select(*meet, F.col("rx_ant").alias("i"), F.col("h").alias("hi"))
-    right = cfr.select(*meet, F.col("rx_ant").alias("j"), F.col("h").alias("hj"))
-    samples = left.join(right, meet).select(
-        *link, "i", "j", F.inline(F.arrays_zip("hi", "hj"))
-    )
-    parts = [C.nan_to_zero(F.col(c)) for c in ("hi.re", "hi.im", "hj.re", "hj.im")]
-    re, im = C.conj_product(*parts)
-    cov = samples.groupBy(*link, "i", "j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
-    active = cov.where((F.col("i") == F.col("j")) & (F.col("re") > 0)).select(*link).distinct()
-    return cov.join(active, list(link), "left_semi")
+    rows = cfr.groupBy(*meet).agg(F.collect_list(F.struct(
+        F.col("rx_ant").cast("bigint").alias("ant"), F.col("h.re").alias("re"), F.col("h.im").alias("im"))).alias("rows"))
+    half = rows.select(*link, F.inline(pandas_udf(_gram_blocks, GRAM_TYPE)("rows")))
+    summed = half.groupBy(*link, "i", "j").agg(
+        F.try_divide(F.sum("re"), F.sum("n")).alias("re"), F.try_divide(F.sum("im"), F.sum("n")).alias("im"))
+    active = summed.where((F.col("i") == F.col("j")) & (F.col("re") > 0)).select(*link).distinct()
+    ij = F.struct("i", "j", "re", "im")
+    ji = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "re", (-F.col("im")).alias("im"))
+    both = F.when(F.col("i") == F.col("j"), F.array(ij)).otherwise(F.array(ij, ji))
+    return summed.join(active, list(link), "left_semi").select(*link, F.inline(both))
 
 
 def _rotation(angles: np.ndarray) -> np.ndarray:
