@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from channelspark.operators.skew import with_rank
 from channelspark.session import stored
 
+#: Ranks whose jumps are followed in one task.
+BLOCK = 1 << 16
+
 
 def assign_by_index(users: DataFrame, size: int) -> DataFrame:
     """Contiguous shards when user indices already run 0..n-1: plain arithmetic, no shuffle."""
@@ -71,13 +76,14 @@ def coverage_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str],
     return wanted.join(observed, [*keys, "ue"], "left_anti")
 
 
-def training_batches(fragments: DataFrame, run: str, max_fragments: int | None, max_ue: int | None
-                     ) -> DataFrame:
+def training_batches(fragments: DataFrame, run: str, max_fragments: int | None, max_ue: int | None,
+                     block_ranks: int = BLOCK) -> DataFrame:
     """Greedy consecutive batches; a new one starts when either cap would be exceeded.
 
-    With the fragment cap alone this is arithmetic on the fragment rank. With a user cap, each
-    fragment gets the one that would start the next batch after it; doubling those jumps finds
-    every start in a logarithmic number of joins, so no run is walked in one task.
+    With the fragment cap alone this is arithmetic on the fragment rank. With a user cap, each fragment gets the one that
+    would start the next batch after it. Those jumps are followed to the end of each block of ranks, all blocks
+    at once; only the few places where blocks can be entered are then chained from the start of the run, and each
+    block numbers its own batches from its true entry.
     """
     if max_fragments is not None and max_fragments < 1:
         max_fragments = None
@@ -87,22 +93,60 @@ def training_batches(fragments: DataFrame, run: str, max_fragments: int | None,
         ranked = with_rank(fragments, [run], "fragment", "_rank")
         size = F.lit(max_fragments or 2**62)
         return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
-    jumps = stored(_next_starts(fragments.select(run, "fragment", "ue_count"), run, max_fragments, max_ue), "batch-jumps")
-    starts = stored(jumps.where("at = 0").select(run, "at"), "batch-starts")
-    jump, found = jumps, starts.count()
-    while True:
-        reached = starts.join(jump, [run, "at"]).select(run, F.col("next").alias("at"))
-        starts = stored(starts.union(reached).distinct(), "batch-starts")
-        now = starts.count()
-        if now == found:
-            break
-        found = now
-        further = jump.select(run, F.col("at").alias("next"), F.col("next").alias("further"))
-        jump = stored(jump.join(further, [run, "next"]).select(run, "at", F.col("further").alias("next")), "batch-jumps")
-    spans = with_rank(starts.join(jumps, [run, "at"]), [run], "at", "batch")
-    placed = spans.select(run, "batch", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at"))
+    kind = fragments.schema[run].dataType.simpleString()
+    block = F.floor(F.col("at") / block_ranks).alias("block")
+    jumps = _next_starts(fragments.select(run, "fragment", "ue_count"), run, max_fragments, max_ue)
+    paths = stored(jumps.select(F.col(run).alias("run"), "at", "next", block).groupBy("run", "block").applyInPandas(
+        _to_block_end, f"run {kind}, block bigint, at bigint, next bigint, leave bigint, batches bigint"), "batch-paths")
+    doors = paths.select("run", F.col("leave").alias("at")).union(paths.where("at = 0").select("run", "at")).distinct()
+    entered = paths.join(doors, ["run", "at"]).select("run", "block", "at", "leave", "batches").groupBy("run").applyInPandas(
+        lambda doors: _chain(doors, block_ranks), f"run {kind}, block bigint, entry bigint, before bigint")
+    placed = paths.select("run", "block", "at", "next").join(entered, ["run", "block"]).groupBy("run", "block").applyInPandas(
+        _number, f"run {kind}, at bigint, batch bigint")
     ranked = with_rank(fragments, [run], "fragment", "at")
-    return ranked.join(placed, [run, "at"]).drop("at")
+    return ranked.join(placed.withColumnRenamed("run", run), [run, "at"]).drop("at")
+
+
+def _to_block_end(rows: pd.DataFrame) -> pd.DataFrame:
+    """Where the batches that begin at each rank leave the block, and how many there are until then."""
+    rows = rows.sort_values("at", ignore_index=True)
+    first, n = int(rows["at"].iloc[0]), len(rows)
+    following = (rows["next"] - first).tolist()
+    leave, batches = [0] * n, [1] * n
+    for i in range(n - 1, -1, -1):
+        to = following[i]
+        leave[i] = first + to if to >= n else leave[to]
+        batches[i] = 1 if to >= n else batches[to] + 1
+    return rows.assign(leave=leave, batches=batches)[["run", "block", "at", "next", "leave", "batches"]]
+
+
+def _chain(doors: pd.DataFrame, size: int) -> pd.DataFrame:
+    """The doors that the run's batches pass: one row per block, also for blocks within one long batch (no entry)."""
+    known = {at: (leave, count) for at, leave, count in zip(doors["at"], doors["leave"], doors["batches"])}
+    out, at, before = [], 0, 0
+    while at in known:
+        leave, count = known[at]
+        out.append((at // size, at, before))
+        before += count
+        out += [(skipped, None, before) for skipped in range(at // size + 1, leave // size + (leave not in known))]
+        at = leave
+    found = pd.DataFrame(out, columns=["block", "entry", "before"]).astype({"entry": "Int64"})
+    found.insert(0, "run", doors["run"].iloc[0])
+    return found
+
+
+def _number(rows: pd.DataFrame) -> pd.DataFrame:
+    """Batch numbers inside a block; ranks before its entry belong to the batch before."""
+    rows = rows.sort_values("at", ignore_index=True)
+    first, n, before = int(rows["at"].iloc[0]), len(rows), int(rows["before"].iloc[0])
+    batch = np.full(n, before - 1)
+    entry = rows["entry"].iloc[0]
+    at = n if pd.isna(entry) else int(entry) - first
+    following = rows["next"].to_numpy() - first
+    while at < n:
+        batch[at : following[at]] = before
+        at, before = int(following[at]), before + 1
+    return pd.DataFrame({"run": rows["run"], "at": rows["at"], "batch": batch})
 
 
 def _next_starts(rows: DataFrame, run: str, max_fragments: int | None, max_ue: int, span: int = 1024) -> DataFrame:

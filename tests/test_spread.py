@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from channelspark.operators import sampling as SA
 from channelspark.operators import sequences as Q
+from channelspark.operators import shards as SH
 from channelspark.operators import skew as SK
 from channelspark.operators import spectrum as SP
 
@@ -91,3 +92,26 @@ def test_covariance_blocks_of_uneven_rows(spark):
     assert got[0, 0, 0] == pytest.approx((abs(a) ** 2).mean()) and got[0, 1, 1] == pytest.approx((abs(b) ** 2).mean())
     cross = (a[0] * b[0].conj() + a[2] * b[1].conj()) / 2
     assert got[0, 0, 1] == pytest.approx(cross) and got[0, 1, 0] == pytest.approx(cross.conj()) and len(got) == 4
+
+
+def greedy(sizes, most, cap):
+    out, held, total, batch = [], 0, 0, 0
+    for n in sizes:
+        if held and (held >= most or total + n > cap):
+            batch, held, total = batch + 1, 0, 0
+        out.append(batch)
+        held, total = held + 1, total + n
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_batches_cross_blocks(spark, block):
+    """Many small blocks, batches that begin anywhere in them, and batches longer than a block."""
+    rng = np.random.default_rng(block)
+    runs = {"a": rng.integers(0, 9, 150).tolist(), "b": [0] * 40 + [50] + [1] * 30, "c": [99], "d": [3] * 41}
+    rows = [(r, 7 * i, int(n)) for r, sizes in runs.items() for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "run string, fragment bigint, ue_count bigint").repartition(5)
+    got = SH.training_batches(df, "run", 11, 20, block).orderBy("run", "fragment").collect()
+    assert {r: [g.batch for g in got if g.run == r] for r in runs} == {r: greedy(s, 11, 20) for r, s in runs.items()}
+    free = SH.training_batches(df, "run", None, 20, block).orderBy("run", "fragment").collect()
+    assert {r: [g.batch for g in free if g.run == r] for r in runs} == {r: greedy(s, 10**9, 20) for r, s in runs.items()}
