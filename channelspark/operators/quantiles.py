@@ -36,19 +36,50 @@ def exact_quantiles(
     """Linear-interpolation quantiles per group, plus ``n``, the number of non-NULL values.
 
     ``probabilities`` maps output column names to probabilities. Groups without values are absent;
-    NULL is a key like any other. The narrow tables of wanted ranks are written when the query is built.
+    NULL is a key like any other. The input is evaluated once, when the query is built.
     """
-    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
-    rows = df.select(key.alias("_key"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    found = _narrowed(rows, ["_key"], probabilities)
+    found = _quantiles(*_bucketed(df, keys, value, {}), probabilities)
     return found.select(*[F.col("_key")[k].alias(k) for k in keys], "n", *probabilities)
 
 
-def _narrowed(rows: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+def quantile_summary(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], counts: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Quantiles and plain statistics of every group from one evaluation of the input.
+
+    Columns: keys, ``rows``, ``n`` (non-NULL values), ``sum``, ``min``, ``max``, the quantiles, and for each of ``counts`` the number of
+    rows for which it holds. All but the quantiles are added up from the bucket table. Groups without values are kept; without keys there is always one row.
+    """
+    counts = counts or {}
+    values, buckets = _bucketed(df, keys, value, counts)
+    totals = [
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.sum("_sum").alias("sum"),
+        F.min("_lo").alias("min"), F.max("_hi").alias("max"), *[F.coalesce(F.sum(f"_count_{name}"), F.lit(0)).alias(name) for name in counts],
+    ]
+    found = _quantiles(values, buckets, probabilities)
+    if not keys:
+        row = found.agg(F.struct(*[F.max(name).alias(name) for name in probabilities])).scalar()
+        return buckets.agg(*totals).select("*", *[row[name].alias(name) for name in probabilities])
+    stats, tails = buckets.groupBy("_key").agg(*totals).alias("l"), found.drop("n").alias("r")
+    joined = stats.join(tails, F.col("l._key").eqNullSafe(F.col("r._key")), "left")
+    return joined.select(*[F.col("l._key")[k].alias(k) for k in keys], *[f"l.{c}" for c in stats.columns if c != "_key"], *[f"r.{p}" for p in probabilities])
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], value: str, counts: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The values with their groups (``_key, _v``), written once, and the table of coarse buckets."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
+    flags = [F.coalesce(c, F.lit(False)).alias(f"_count_{name}") for name, c in counts.items()]
+    written = stored(df.select(key.alias("_key"), F.col(value).cast("double").alias("_v"), *flags), "quantile-input")
+    buckets = written.withColumn("_b", _coarse(F.col("_v"))).groupBy("_key", "_b").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_v").alias("_c"), F.sum("_v").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        *[F.count_if(f"_count_{name}").alias(f"_count_{name}") for name in counts])
+    return written.select("_key", "_v").where("_v IS NOT NULL"), stored(buckets, "quantile-buckets")
+
+
+def _quantiles(rows: DataFrame, buckets: DataFrame, probabilities: dict[str, float]) -> DataFrame:
+    keys = ["_key"]
     rows = rows.withColumn("_b", _coarse(F.col("_v")))
-    coarse = rows.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
+    coarse = buckets.where("_b IS NOT NULL").select(*keys, "_b", "_c", "_lo", "_hi")
     running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     coarse = coarse.withColumns({
         "_upto": F.sum("_c").over(running), "n": F.sum("_c").over(W.partitionBy(*keys)),

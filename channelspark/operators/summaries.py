@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from channelspark.functions import complex as C
 from channelspark.functions import geometry as G
 from channelspark.functions.grid import histogram_bin
-from channelspark.operators.quantiles import exact_quantiles
+from channelspark.operators.quantiles import exact_quantiles, quantile_summary
 from channelspark.session import stored
 
 
@@ -21,14 +21,8 @@ def unpivot_metrics(table: DataFrame, ids: Sequence[str], metrics: Sequence[str]
 def metric_summary(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Finite count, min, median, mean and max per group."""
     rows = long.select(*keys, C.nan_to_null(F.col(value)).alias("v"))
-    stats = rows.groupBy(*keys).agg(
-        F.count("v").alias("finite_count"), F.min("v").alias("min"), F.avg("v").alias("mean"),
-        F.max("v").alias("max"),
-    )
-    medians = exact_quantiles(rows, keys, "v", {"median": 0.5}).drop("n")
-    if not keys:
-        return stats.withColumn("median", medians.select("median").scalar())
-    return stats.join(medians, list(keys), "left")
+    found = quantile_summary(rows, keys, "v", {"median": 0.5})
+    return found.select(*keys, F.col("n").alias("finite_count"), "min", F.try_divide("sum", "n").alias("mean"), "max", "median")
 
 
 def ranging_summary(ranging: DataFrame) -> DataFrame:
@@ -36,14 +30,13 @@ def ranging_summary(ranging: DataFrame) -> DataFrame:
     error = F.abs(F.col("range_m") - F.col("truth_m"))
     ok = F.col("success") & C.is_finite(error)
     rows = ranging.select("estimator", "success", F.when(ok, error).alias("e"))
-    stats = rows.groupBy("estimator").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successes"),
-        (F.count("e") / F.count(F.lit(1))).alias("finite_rate"), F.avg("e").alias("mean_abs_m"),
+    found = quantile_summary(
+        rows, ["estimator"], "e", {"median_abs_m": 0.5, "p80_abs_m": 0.8, "p95_abs_m": 0.95}, {"successes": F.col("success")}
+    )
+    return found.select(
+        "estimator", F.col("rows").alias("total"), "successes", (F.col("n") / F.col("rows")).alias("finite_rate"),
+        F.try_divide("sum", "n").alias("mean_abs_m"), "median_abs_m", "p80_abs_m", "p95_abs_m",
     )
-    tails = exact_quantiles(
-        rows, ["estimator"], "e", {"median_abs_m": 0.5, "p80_abs_m": 0.8, "p95_abs_m": 0.95}
-    ).drop("n")
-    return stats.join(tails, "estimator", "left")
 
 
 def estimator_vs_truth(ranging: DataFrame) -> DataFrame:
