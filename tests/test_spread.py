@@ -9,6 +9,7 @@ from channelspark.operators import sequences as Q
 from channelspark.operators import shards as SH
 from channelspark.operators import skew as SK
 from channelspark.operators import spectrum as SP
+from channelspark.operators.quantiles import quantile_summary
 
 
 def median(v, w):
@@ -115,3 +116,12 @@ def test_batches_cross_blocks(spark, block):
     assert {r: [g.batch for g in got if g.run == r] for r in runs} == {r: greedy(s, 11, 20) for r, s in runs.items()}
     free = SH.training_batches(df, "run", None, 20, block).orderBy("run", "fragment").collect()
     assert {r: [g.batch for g in free if g.run == r] for r in runs} == {r: greedy(s, 10**9, 20) for r, s in runs.items()}
+
+
+def test_statistics_come_with_the_quantiles(spark):
+    rows = [("a", 1.0, True), ("a", 3.0, None), ("a", None, True), ("b", None, False), (None, 2.0, True)]
+    df = spark.createDataFrame(rows, "k string, v double, f boolean")
+    got = {r.k: (r.rows, r.n, r["sum"], r.min, r.max, r.m, r.yes) for r in quantile_summary(df, ["k"], "v", {"m": 0.5}, {"yes": F.col("f")}).collect()}
+    assert got == {"a": (3, 2, 4.0, 1.0, 3.0, 2.0, 2), "b": (1, 0, None, None, None, None, 0), None: (1, 1, 2.0, 2.0, 2.0, 2.0, 1)}
+    none = quantile_summary(df.limit(0), [], "v", {"m": 0.5}).collect()
+    assert len(none) == 1 and none[0].n == 0 and none[0].m is None
