@@ -138,6 +138,14 @@ def cfr(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cfr_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same vectors laid out with two snapshots and two transmit antennas per link."""
+    return cfr(spark, sf).withColumns({
+        "tx_ant": F.expr("vec_id div 4 % 2"), "snapshot": F.expr("vec_id div 8 % 2"),
+        "rx": F.expr("vec_id div 16 % 5"), "tx": F.expr("vec_id div 80"),
+    })
+
+
 def samples(cfr_rows: DataFrame, column: str = "h") -> DataFrame:
     """Array rows to one row per subcarrier (k, re, im)."""
     keys = [c for c in cfr_rows.columns if c != column]
@@ -203,7 +211,8 @@ VIEWS: dict[str, str] = {
     "fx_est": """SELECT a.vec_id, a.label, a.tx, a.rx, a.rx_ant, a.k, a.re, a.im, a.re + 0.1::DOUBLE * b.re AS ere,
   a.im + 0.1::DOUBLE * b.im AS eim FROM fx_cfr a JOIN fx_cfr b ON b.vec_id = (a.vec_id + 1) % (SELECT MAX(vec_id) + 1 FROM embeddings) AND b.k = a.k""",
 }
-_DEPENDS = {"fx_est": ("fx_cfr",)}
+VIEWS["fx_axes"] = """SELECT vec_id // 80 AS tx, vec_id // 16 % 5 AS rx, vec_id // 8 % 2 AS snapshot, vec_id // 4 % 2 AS tx_ant, rx_ant, k, re, im FROM fx_cfr"""
+_DEPENDS = {"fx_est": ("fx_cfr",), "fx_axes": ("fx_cfr",)}
 
 
 def with_views(sql: str, *views: str) -> str:

@@ -190,6 +190,19 @@ def d33(spark, sf):
     )
 
 
+AXES = ["snapshot", *LINK]
+AXES_SQL = """cov AS (SELECT a.snapshot, a.tx, a.rx, a.rx_ant AS i, b.rx_ant AS j, AVG(a.re * b.re + a.im * b.im) AS re,
+  AVG(a.im * b.re - a.re * b.im) AS im FROM fx_axes a JOIN fx_axes b ON a.tx = b.tx AND a.rx = b.rx AND a.snapshot = b.snapshot
+  AND a.tx_ant = b.tx_ant AND a.k = b.k GROUP BY ALL)"""
+
+
+@query("d33_covariance_per_snapshot", f"WITH {AXES_SQL} SELECT snapshot, tx, rx, i, j, {sr('re')} AS re, {sr('im')} AS im FROM cov", ("fx_axes",))
+def d33_axes(spark, sf):
+    return SP.rx_covariance(B.cfr_axes(spark, sf), AXES).select(
+        *AXES, "i", "j", r(F.col("re")).alias("re"), r(F.col("im")).alias("im")
+    )
+
+
 def _bartlett_sql(position_x: str, position_y: str, position_z: str) -> str:
     return f"""WITH {COV_SQL}, el AS (SELECT e, e // 2 AS c, e % 2 AS w FROM (SELECT UNNEST(RANGE(4)) AS e) t),
   rxs AS (SELECT DISTINCT rx FROM fx_cfr),
@@ -215,6 +228,21 @@ def d34(spark, sf):
     return _spectrum(spark, sf).withColumn("power", r(F.col("power"), 5))
 
 
+@query("d34_bartlett_per_snapshot", f"""WITH {AXES_SQL},
+  ps AS (SELECT e, (e // 2 - 0.5) * 0.5 AS py, (0.5 - e % 2) * 0.5 AS pz FROM (SELECT UNNEST(RANGE(4)) AS e) t),
+  an AS (SELECT zi, ai, zi * 0.375::DOUBLE AS ze, -3.0::DOUBLE + ai * 0.75::DOUBLE AS az FROM
+  (SELECT UNNEST(RANGE(9)) AS zi) a, (SELECT UNNEST(RANGE(9)) AS ai) b),
+  sv AS (SELECT e, zi, ai, 2 * PI() * (py * SIN(ze) * SIN(az) + pz * COS(ze)) AS ph FROM ps, an),
+  pj AS (SELECT c.snapshot, c.tx, c.rx, s.zi, s.ai, GREATEST(SUM(c.re * COS(t.ph - s.ph) - c.im * SIN(t.ph - s.ph)) / 4, 0) AS p
+  FROM cov c JOIN sv s ON s.e = c.i JOIN sv t ON t.e = c.j AND t.zi = s.zi AND t.ai = s.ai GROUP BY ALL)
+  SELECT snapshot, tx, rx, zi AS zenith_idx, ai AS azimuth_idx, {sr('p / MAX(p) OVER (PARTITION BY snapshot, tx, rx)', 5)} AS power FROM pj""",
+       ("fx_axes",))
+def d34_axes(spark, sf):
+    cov = SP.rx_covariance(B.cfr_axes(spark, sf), AXES)
+    rows = SP.spectrum_rows(SP.bartlett_spectrum(cov, AXES, LAYOUT, ANGLES), AXES, ANGLES)
+    return rows.withColumn("power", r(F.col("power"), 5))
+
+
 # Receiver r is turned by alpha = 0.3 r about z and gamma = 0.2 r about x.
 @query("d34_bartlett_rotated", _bartlett_sql(
     "-SIN(0.3 * rx) * (COS(0.2 * rx) * py - SIN(0.2 * rx) * pz)",
