@@ -80,6 +80,7 @@ popup modal overlay comment comments commentlist reply replies respond responses
 signup subscribe subscription newsletter share sharing social related recommended recommendations pagination pager widget widgets skip
 contentinfo toc tags kommentar kommentare comentario comentarios commentaire commentaires
 """.split())
+QUALIFIERS = frozenset(["has", "with", "no", "without"])
 HEADER = frozenset(["header", "head"])
 ARTICLE_NAMES = frozenset("article articlebody post entry story articlecontent postcontent entrycontent articletext storybody".split())
 MAIN_NAMES = frozenset("main maincontent content".split())
@@ -346,10 +347,12 @@ def unpacked_items(rows: list) -> list[Item]:
 
 
 def words_of(key: str) -> set[str]:
-    """Lower-case words of an element's names, alone and as neighbours written together."""
+    """Lower-case words of an element's names, alone and as neighbours written together; ``has-sidebar`` names no sidebar."""
     found = set()
     for name in key.split(" ")[1:]:
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-zà-ÿ]+|[A-Z]+(?![a-z])", name)]
+        if QUALIFIERS & set(parts):
+            continue
         found |= {*parts, *("".join(pair) for pair in zip(parts, parts[1:]))}
     return found
 
@@ -388,6 +391,8 @@ def decide(wrapper: list[Item]) -> None:
     found: list[Item] = []
     for test in (by_tag, by_name(ARTICLE_NAMES), by_name(MAIN_NAMES)):
         found = found or [i for i in named(wrapper, test) if any(True for _ in slots(i.items))]
+    # an article inside a box whose names (or an all-embracing form) would exclude it, where there is no other
+    found = found or [i for i in named(wrapper, lambda i: i.key.split(" ")[0] in ("article", "main"), False) if any(True for _ in slots(i.items))]
     if found:
         for item in found:
             mark(item.items, True)
@@ -407,14 +412,14 @@ def decide(wrapper: list[Item]) -> None:
         mark(part, False)
 
 
-def named(items: list[Item], test) -> list[Item]:
-    """Outermost elements that pass ``test``, outside of menus and the like."""
+def named(items: list[Item], test, strict: bool = True) -> list[Item]:
+    """Outermost elements that pass ``test``, outside of menus and the like (unless not ``strict``: of all but boxes and forms)."""
     found = []
     for item in items:
         if item.key != "#" and test(item):
             found.append(item)
-        elif item.key != "#" and not is_aside(item, False):
-            found += named(item.items, test)
+        elif item.key != "#" and (not is_aside(item, False) or not strict and item.key.split(" ")[0] in (*BOXES, "form")):
+            found += named(item.items, test, strict)
     return found
 
 

@@ -69,6 +69,21 @@ def test_two_builds_on_one_host_and_single_pages(spark, words):
     assert all(want[i] in got[i] for i in want)
 
 
+def boxed(title, body, rng, words):
+    return f"""<body class="no-comments"><form id=page><div class="layout sidebar-left menu"><div class="menu"><a href=1>{rng.choice(words)}</a></div>
+    <article class="post has-sidebar"><h1>{title}</h1>{''.join(f'<p>{b}</p>' for b in body)}<div class="comments"><p>{rng.choice(words)}</p></div></article></div></form></body>"""
+
+
+def test_article_in_boxes_with_misleading_names(spark, words):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(12):
+        title, *body = sentences(words, rng, 4)
+        rows.append((i, "http://boxed.example", boxed(title, body, rng, words)))
+        want[i] = "\n".join([title, *body])
+    assert result(spark, rows) == want
+
+
 def test_partitioning_does_not_matter(spark, words):
     rng = random.Random(9)
     rows = [(i, "http://a.example/", nameless(*[s := sentences(words, rng, 4)][0][:1], s[1:], rng, words)) for i in range(50)]
