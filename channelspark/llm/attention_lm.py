@@ -60,7 +60,8 @@ PIECE = 1 << 20
 ROWS = 1000
 HEAD, HEAD_BYTES = 65_536, 64
 MEMO_WORDS = 500_000
-BATCH = 512
+BATCH = 512  # windows that are scored together
+STEP = 256  # windows of one training step
 #: How the vocabulary splits a text before it merges bytes (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -127,15 +128,18 @@ class Model:
         logits += np.where(apart >= 0, self.bias[np.maximum(apart, 0)], np.float32(-1e9))
         logits -= logits.max(2, keepdims=True)
         weight = np.exp(logits, out=logits)
-        weight /= weight.sum(2, keepdims=True)
+        weight /= (weight @ np.ones(WINDOW - 1, weight.dtype))[:, :, None]
         near = (np.clip(apart, 0, len(LAGS) - 1) * CLASSES).astype(windows.dtype)
         at = near + windows[:, None, : WINDOW - 1]
         at *= CLASSES
         at += windows[:, first:, None]
         return weight, self.table.ravel().take(at), apart
 
-    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of id sequences that begin and end with END."""
+    def log10(self, ids: list[np.ndarray], counted: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """log10 probability of id sequences that begin and end with END.
+
+        ``counted`` holds ``n``, ``total`` and ``freed`` of the triple at each inner place, if they are known already.
+        """
         length = np.array([len(i) for i in ids])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.uint16)])
         kinds = self.kind[flat].astype(np.int32)
@@ -154,35 +158,43 @@ class Model:
         inner = np.ones(len(own), bool)
         inner[begin] = False
         chance = places[: len(own)][inner] * self.inside[flat[: len(own)][inner]]
-        return np.bincount(own[inner], np.log10(self.recalled(flat[: len(own)], own, inner, chance)), minlength=len(ids))
+        n, total, freed = self.lookup(triple_keys(flat[: len(own)], own, inner)) if counted is None else counted
+        chance = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + freed * chance) / np.maximum(total, 1), chance)
+        return np.bincount(own[inner], np.log10(chance), minlength=len(ids))
 
-    def recalled(self, flat: np.ndarray, own: np.ndarray, inner: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """The attention's chances of the inner places, under the counts of triples."""
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``n``, ``total`` and ``freed`` of triples (0 where they are not known)."""
         if not len(self.triples):
-            return chance
-        keys = triple_keys(flat, own, inner)
-        before = keys >> 16
-        at = np.minimum(np.searchsorted(self.pairs, before), len(self.pairs) - 1)
-        known = np.flatnonzero(self.pairs[at] == before)
-        at, keys = at[known], keys[known]
+            return (np.zeros(len(keys)),) * 3
+        at = np.minimum(np.searchsorted(self.pairs, keys >> 16), len(self.pairs) - 1)
         place = np.minimum(np.searchsorted(self.triples, keys), len(self.triples) - 1)
-        seen = np.where(self.triples[place] == keys, self.times[place] - DISCOUNT, 0)
-        out = chance.copy()
-        out[known] = (seen + self.freed[at] * chance[known]) / self.total[at]
-        return out
+        known = self.pairs[at] == keys >> 16
+        return tuple(np.where(k, x, 0) for k, x in ((self.triples[place] == keys, self.times[place]), (known, self.total[at]), (known, self.freed[at])))
 
     def step(self, windows: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss of windows and its gradient; ``real`` marks the places that are text."""
-        weight, value, apart = self.attend(windows, 1)
-        chance = np.einsum("nij,nij->ni", weight, value)[:, :, None]
-        n = max(1, int(real.sum()))
-        g = -weight * (value - chance) / chance * real[:, 1:, None] / n
-        before = windows[:, :-1]
-        query, key = np.zeros_like(self.query), np.zeros_like(self.key)
-        np.add.at(query, before, g @ self.key[before])
-        np.add.at(key, before, g.transpose(0, 2, 1) @ self.query[before])
+        """Mean loss of windows and its gradient; ``real`` marks the places that count.
+
+        Where no place before HOP counts, attention is worked out from HOP on only.
+        """
+        first = 1 if real[:, 1:HOP].any() else HOP
+        weight, value, apart = self.attend(windows, first)
+        chance = np.einsum("nij,nij->ni", weight, value)
+        counts = real[:, first:]
+        n = max(1, int(counts.sum()))
+        g = np.subtract(chance[:, :, None], value, out=value)
+        g *= weight
+        g *= (counts / (chance * np.float32(n)))[:, :, None]
+        rows, cols = windows[:, first - 1 : -1], windows[:, :-1]
+        query = _summed(rows, g @ self.key.take(cols, axis=0))
+        key = _summed(cols, g.transpose(0, 2, 1) @ self.query.take(rows, axis=0))
         bias = np.bincount(np.maximum(apart, 0).ravel(), g.sum(0).ravel(), minlength=WINDOW - 1)
-        return float(-(np.log(chance[:, :, 0]) * real[:, 1:]).sum() / n), np.concatenate([query.ravel(), key.ravel(), bias])
+        return float(-(np.log(chance) * counts).sum() / n), np.concatenate([query, key, bias])
+
+
+def _summed(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of DEPTH numbers summed by class, flat."""
+    at = kinds.reshape(-1, 1) * DEPTH + np.arange(DEPTH)
+    return np.bincount(at.ravel(), rows.ravel(), minlength=CLASSES * DEPTH)
 
 
 def triple_keys(flat: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -195,28 +207,37 @@ def triple_keys(flat: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndar
 
 
 def train_here(model: Model, ids: Iterator[np.ndarray], seed: int) -> tuple[np.ndarray, int]:
-    """Parameters after Adam over all windows of all sequences, each place once, and the number of windows."""
+    """Parameters after Adam over all windows of all sequences, each place once, and the number of windows.
+
+    A batch holds first windows only or later ones only, because of the latter just the places from HOP on count.
+    """
     random = np.random.default_rng(seed)
-    flat = model.parameters().astype(np.float64)
+    flat = model.parameters()
     m, v, t, total = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    for held in _gathered(ids, PIECE // 16):
+    for held in _gathered(ids, PIECE // 4):
         length = np.array([len(h) for h in held])
-        kinds = np.concatenate([model.kind[np.concatenate(held)], np.zeros(WINDOW, np.int64)])
+        kinds = np.concatenate([model.kind[np.concatenate(held)], np.zeros(WINDOW, np.int64)]).astype(np.int32)
         end = np.cumsum(length)
         hops = np.maximum(-(-(length - WINDOW) // HOP), 0) + 1
         of = np.repeat(np.arange(len(held)), hops)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(hops) - hops, hops)
+        start, stop = (end - length)[of] + nth * HOP, end[of]
         order = random.permutation(len(of))
-        for some in (order[i : i + 64] for i in range(0, len(order), 64)):
-            at = (end - length)[of[some], None] + nth[some, None] * HOP + np.arange(WINDOW)
-            real = (at < end[of[some], None]) & ((nth[some, None] == 0) | (np.arange(WINDOW) >= HOP))
-            windows = np.where(at < end[of[some], None], kinds[np.minimum(at, len(kinds) - 1)], 0)
-            _, g = model.replaced(flat).step(windows, real.astype(np.float32))
+        batches = [some[i : i + STEP] for some in (order[nth[order] == 0], order[nth[order] > 0]) for i in range(0, len(some), STEP)]
+        for b in random.permutation(len(batches)):
+            some = batches[b]
+            at = start[some, None] + np.arange(WINDOW)
+            real = at < stop[some, None]
+            windows = np.where(real, kinds[np.minimum(at, len(kinds) - 1)], 0)
+            if nth[some[0]]:
+                real[:, :HOP] = False
+            g = model.replaced(flat).step(windows, real.astype(np.float32))[1].astype(np.float32)
             t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            flat = flat - 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            flat -= np.float32(0.02 / (1 - 0.9**t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
         total += len(order)
-    return flat, total
+    return flat.astype(np.float64), total
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -280,7 +301,10 @@ def _heads(keys: np.ndarray) -> np.ndarray:
 
 
 def _triples_of(ids: list[np.ndarray], train: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct triples of sequences by shard, their counts where ``train``, and the ends of the shards."""
+    """Distinct triples of sequences by shard, their counts where ``train``, and the ends of the shards.
+
+    Within a shard they ascend.
+    """
     own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     inner = np.append(False, own[1:] == own[:-1])
     both = (triple_keys(np.concatenate(ids), own, inner) << 1) + train[own[inner]]
@@ -351,27 +375,36 @@ def scored(tokens: DataFrame, model: Model, shards: int) -> DataFrame:
             scores = np.full(len(rows), np.nan)
             for (first, last), found in groupby(counts, lambda c: (c["row"], c["last"])):
                 s, e = np.searchsorted(rows, [first, last + 1]).tolist()
-                local = _recalling(model, ids[s:e], list(found), shards)
+                counted = _counted(ids[s:e], list(found), shards)
+                ends = np.cumsum([0, *(len(i) - 1 for i in ids[s:e])])
                 for i in range(s, e, 64):
-                    scores[i : min(i + 64, e)] = local.log10(ids[i : min(i + 64, e)])
+                    j = min(i + 64, e)
+                    scores[i:j] = model.log10(ids[i:j], tuple(c[ends[i - s] : ends[j - s]] for c in counted))
             yield from texts.select(kept).append_column("score", pa.array(scores)).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in kept)
     return both.repartition("key").sortWithinPartitions("key", "text", "row", "shard").mapInArrow(run, f"{schema}, score double")
 
 
-def _recalling(model: Model, ids: list[np.ndarray], counts: list[dict], shards: int) -> Model:
-    """The model with the triples of ``ids``, whose ``counts`` come by shard."""
-    keys, _, _ = _triples_of(ids, np.zeros(len(ids), np.int64), shards)
+def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> tuple[np.ndarray, ...]:
+    """``n``, ``total`` and ``freed`` at each inner place of ``ids``, from ``counts`` that come by shard."""
+    own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    each = triple_keys(np.concatenate(ids), own, np.append(False, own[1:] == own[:-1]))
+    order = np.argsort(each)
+    each = each[order]
+    new = np.append(True, each[1:] != each[:-1]) if len(each) else np.empty(0, bool)
+    keys = each[new]
+    by_shard = np.argsort(_shards(keys >> 16, shards), kind="stable")  # as _triples_of orders them
+    heads = _heads(keys[by_shard])
     n, total, kinds = (np.concatenate([_values(c[name], width) for c in counts]) for name, width in (("n", 5), ("total", 5), ("kinds", 2)))
-    pairs = keys[_heads(keys)] >> 16
-    if len(n) != len(keys) or len(total) != len(pairs):
+    if len(n) != len(keys) or len(total) != len(heads):
         raise RuntimeError("the counts of a piece do not fit its triples")
-    keys, n = keys[n > 0], n[n > 0]
-    pairs, total, kinds = pairs[total > 0], total[total > 0], kinds[total > 0]
-    order, by_pair = np.argsort(keys), np.argsort(pairs)
-    return replace(model, triples=keys[order], times=n[order].astype(np.float64), pairs=pairs[by_pair],
-                   total=total[by_pair].astype(np.float64), freed=DISCOUNT * kinds[by_pair])
+    pair = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
+    at, of = np.empty(len(keys), np.int64), np.cumsum(new) - 1
+    at[by_shard] = np.arange(len(keys))
+    place = np.empty(len(each), np.int64)
+    place[order] = at[of]
+    return n[place].astype(np.float64), total[pair[place]].astype(np.float64), DISCOUNT * kinds[pair[place]]
 
 
 def _clusters(signs: np.ndarray, count: int) -> np.ndarray:
