@@ -27,7 +27,8 @@ from channelspark.session import stored
 PAGE, FANOUT = 64, 16
 SHARD = 8192
 BLOCK = 2048
-LARGEST = 2.0**63
+EXACT = 2.0**53  # below, a double holds every integer
+UNIT_BITS = 400  # longer integers are measured in a larger unit, so that squares stay doubles
 SLACK = 1e-3
 
 
@@ -42,17 +43,24 @@ class Node:
 
 
 class MTree:
-    """Bulk-loaded tree over integer vectors (int64 while inner products fit, else Python integers)."""
+    """Bulk-loaded tree over integer vectors (int64 while inner products fit, else Python integers).
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    Distances are doubles in units of 1, or of a power of two that is at least the largest component over 2^UNIT_BITS.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int = 0):
         self.ids, self.vectors = ids, vectors
+        self.unit = 1 << max(0, largest.bit_length() - UNIT_BITS)
         norms = (vectors * vectors).sum(1)
         self.bound = int(norms.max(initial=0))
-        self.points = np.column_stack([vectors.astype(np.float64), np.sqrt((self.bound - norms).astype(np.float64))])
+        self.points = np.column_stack([self._double(vectors), np.sqrt(self._double(self.bound - norms, 2))])
         self.random = np.random.default_rng(11)
         self.root = self._page(np.arange(len(ids)), np.zeros(vectors.shape[1] + 1))
         self.computed = 0
 
+    def _double(self, values: np.ndarray, power: int = 1) -> np.ndarray:
+        return (values if self.unit == 1 else values / self.unit**power).astype(np.float64)
+
     def _distance(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - point) ** 2).sum(1))
 
@@ -72,8 +80,8 @@ class MTree:
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) by score, then smaller id, without the id ``own``."""
         norm = int(query @ query)
-        target = np.append(query.astype(np.float64), 0.0)
-        slack = max(SLACK, 2.0**-50 * (len(target) + 4) * (math.sqrt(norm) + math.sqrt(self.bound)))  # rounding of distances
+        target, square = np.append(self._double(query), 0.0), self.unit**2
+        slack = max(SLACK, 2.0**-50 * (len(target) + 4) * (math.sqrt(norm / square) + math.sqrt(self.bound / square)))  # rounding of distances
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         far, order = np.inf, count()
         todo = [(0.0, next(order), self.root, float(np.sqrt((target**2).sum())))]
@@ -99,7 +107,7 @@ class MTree:
                 elif (score, -key) > best[0]:
                     heapq.heapreplace(best, (score, -key))
             if len(best) == k:
-                far = math.sqrt(max(norm + self.bound - 2 * best[0][0], 0))
+                far = math.sqrt(max(norm + self.bound - 2 * best[0][0], 0) / square)
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
@@ -109,16 +117,26 @@ def fitting(score: int) -> tuple[int, int]:
 
 
 def scaled(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``id`` and ``v``, the vector's components as floor(scale * x); unusable rows are left out."""
+    """``id`` and ``v``, the vector's components as floor(scale * x); unusable rows are left out.
+
+    A vector with a component that no double scales exactly has its plain components in ``wide`` instead.
+    """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    usable = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(LARGEST / scale)))
+    usable = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
+    fits = F.forall("x", lambda c: F.abs(c) < F.lit(EXACT / scale))
     return (
         df.select(F.col(id_col).cast("bigint").alias("id"), x.alias("x"))
         .where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(usable)
-        .select("id", F.transform("x", lambda c: F.floor(c * scale).cast("bigint")).alias("v"))
+        .select("id", F.when(fits, F.transform("x", lambda c: F.floor(F.when(F.abs(c) < EXACT / scale, c * scale).otherwise(0.0)).cast("bigint"))).alias("v"),
+                F.when(~fits, F.col("x")).alias("wide"))
     )
 
 
+def integer(x: float, scale: int) -> int:
+    """floor(scale * x) of any finite double."""
+    return math.floor(x * scale) if abs(x) < EXACT else int(x) * scale
+
+
 def exact_top_k(
     vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
@@ -126,37 +144,42 @@ def exact_top_k(
 
     Queries are the rows whose id is divisible by ``every`` (rows that share an id ask together); every row
     with another id is a candidate, all of them if there are fewer than k. Equal scores go to the smaller id, and repeated rows count
-    as often as they occur. Rows without an id, without a vector, or with a null or non-finite component, or one
-    that is no 64-bit integer once scaled, take no part. Shorter vectors count as padded with zeros. A score
+    as often as they occur. Rows without an id, without a vector, or with a null or non-finite component take no part. Shorter vectors count as padded with zeros. A score
     among the best that is no 64-bit integer is an error.
     """
     rows = stored(scaled(vectors, id_col, vector_col, scale), "vectors")
-    size, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    size, width = rows.agg(F.count(F.lit(1)), F.max(F.size(F.coalesce("v", "wide")))).first()
     asked = stored(rows.where(F.col("id") % every == 0).distinct().withColumn("n", F.monotonically_increasing_id()), "queries")
     shards, blocks = max(1, -(-size // SHARD)), max(1, -(-asked.count() // BLOCK))
     # of equal vectors only the k + 1 smallest ids (one may be the query's own) can be among a query's k best, each at most k times
     few = (
-        rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(W.partitionBy("v").orderBy("id")))
-        .where(F.col("place") <= k + 1).select("id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("r"))
+        rows.groupBy("id", "v", "wide").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(W.partitionBy("v", "wide").orderBy("id")))
+        .where(F.col("place") <= k + 1).select("id", "v", "wide", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("r"))
     )
-    points = few.select(F.pmod(F.xxhash64("id", "v", "r"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-                        F.lit(False).alias("query"), "id", "v")
+    points = few.select(F.pmod(F.xxhash64("id", "v", "wide", "r"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+                        F.lit(False).alias("query"), "id", "v", "wide")
     queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block"),
-                           F.lit(True).alias("query"), "id", "v")
-    both = points.union(queries).select((F.col("shard") * blocks + F.col("block")).cast("bigint").alias("key"), "query", "id", "v")
+                           F.lit(True).alias("query"), "id", "v", "wide")
+    both = points.union(queries).select((F.col("shard") * blocks + F.col("block")).cast("bigint").alias("key"), "query", "id", "v", "wide")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches):
             ids, asks = rows["id"].to_numpy(), rows["query"].to_numpy()
             matrix = np.zeros((len(ids), width or 0), np.int64)
-            sizes = rows["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            sizes = rows["v"].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             matrix[np.arange(matrix.shape[1]) < sizes[:, None]] = rows["v"].combine_chunks().flatten().to_numpy()
+            wide = np.flatnonzero(rows["wide"].is_valid().to_numpy())
+            if len(wide):
+                matrix = matrix.astype(object)
+                for i in wide.tolist():
+                    own = rows["wide"][i].as_py()
+                    matrix[i, : len(own)] = [integer(x, scale) for x in own]
             if asks.all() or not asks.any():
                 continue
             largest = max(-int(matrix.min(initial=0)), int(matrix.max(initial=0)))
-            if matrix.shape[1] * largest**2 >= 2**63:
+            if matrix.dtype != object and matrix.shape[1] * largest**2 >= 2**63:
                 matrix = matrix.astype(object)
-            tree = MTree(ids[~asks], matrix[~asks])
+            tree = MTree(ids[~asks], matrix[~asks], largest)
             found = [(ids[i], other, *fitting(score)) for i in np.flatnonzero(asks)
                      for score, other in tree.search(matrix[i], ids[i], k)]
             columns = np.array(found, np.int64).reshape(-1, 4).T
