@@ -26,6 +26,21 @@ from channelspark.llm.common import TOKENIZERS, packed
 
 #: Unicode white space, as the pattern's own engine reads it (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters of the newest Unicode versions that the library's tables do not know yet (fixed values).
+UNKNOWN = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    r"\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    r"\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    r"\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    r"\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals of the newest Unicode versions, which the library lower-cases (fixed values).
+NEWER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 TABLE_ENTRIES = 400_000
 WORD_ENTRIES = 300_000
 ROWS = 256
@@ -115,7 +130,10 @@ class Tokenizer:
         names = sorted(map(regex.escape, added), key=len, reverse=True)
         self.special = regex.compile(f"({'|'.join(names)})") if names else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
+        plain = pattern.replace(r"\s", SPACE)
+        self.pattern = regex.compile(plain)
+        self.newer = regex.compile(f"[{UNKNOWN}{''.join(map(chr, NEWER_LOWER))}]")
+        self.exact = regex.compile(plain.replace(r"\p{L}", rf"[\p{{L}}--[{UNKNOWN}]]"), regex.V1)
         self.bytes = byte_symbols()
         self.words: dict[str, bytes] = {}
 
@@ -136,7 +154,10 @@ class Tokenizer:
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         known, make = self.words.get, self.word
-        return b"".join([known(w) or make(w) for w in self.pattern.findall(text)])
+        pattern = self.pattern
+        if not text.isascii() and self.newer.search(text):
+            text, pattern = text.translate(NEWER_LOWER), self.exact
+        return b"".join([known(w) or make(w) for w in pattern.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         """Arc labels joined by a space, as files without a decoder ask for."""
