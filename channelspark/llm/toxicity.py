@@ -60,7 +60,7 @@ class Model:
 
 
 def _minima(words: list[str]) -> list[int]:
-    """Three minimum hashes over word triples: documents that share one are taken for copies."""
+    """Three minimum hashes over word triples: documents of one label that share all three are taken for copies."""
     h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
     with np.errstate(over="ignore"):
         if len(h) > 2:
@@ -89,22 +89,25 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_co
             each = [LETTERS.findall(t.lower()) for t in batch["text"]]
             low = np.array([_minima(w) for w in each], np.int64).reshape(-1, 3)
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "words": [sorted(set(w)) for w in each],
-                                "m1": low[:, 0], "m2": low[:, 1], "m3": low[:, 2]})
+                                "m1": low[:, 0], "m2": low[:, 1], "m3": low[:, 2], "at": batch["at"]})
 
     # at most `limit` rows of an id and a label: a proven bound for the broadcast
     return stored(
-        source.join(F.broadcast(chosen), "id")
-        .mapInPandas(words, "id long, y int, words array<string>, m1 long, m2 long, m3 long"),
+        source.join(F.broadcast(chosen), "id").withColumn("at", F.xxhash64("id", "text"))
+        .mapInPandas(words, "id long, y int, words array<string>, m1 long, m2 long, m3 long, at long"),
         "labelled",
     )
 
 
-def _distinct(sample: DataFrame) -> DataFrame:
-    """One document of each group of copies, so that copies don't lend their words significance."""
-    one = sample
-    for m in ("m1", "m2", "m3"):
-        one = one.groupBy(m).agg(F.min_by(F.struct(*one.columns), F.struct("id", "m1", "m2", "m3")).alias("r")).select("r.*")
-    return one
+def _distinct(sample: DataFrame, limit: int) -> DataFrame:
+    """One document of each label's group of copies, so that copies don't lend their words significance.
+
+    An id may stand for many texts: of those that are left, the ``limit`` smallest by hash of id and text stay.
+    """
+    one = sample.groupBy("y", "m1", "m2", "m3").agg(F.min_by(F.struct("id", "words", "at"), F.struct("id", "at")).alias("r")).select("y", "r.*")
+    one = stored(one, "labelled-one")
+    last = one.select("at").orderBy("at").limit(limit).agg(F.max("at")).first()[0]
+    return one.where(F.col("at") <= F.lit(last)) if last is not None else one
 
 
 def _voters(word: Column) -> Column:
@@ -123,19 +126,17 @@ def _mine(distinct: DataFrame, max_voters: int, chance: float) -> list[str]:
         .groupBy("voter").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")),
         "votes",
     )
-    support = np.zeros(distinct.count() + 2)
-    for n, times in counts.groupBy("n").count().collect():  # one row per support, at most the sample's size
-        support[n] = times
-    tests = support[::-1].cumsum()[::-1]
+    times = counts.groupBy("n").count().orderBy(F.desc("n")).toPandas()  # one row per support, at most the sample's size
+    tests = distinct.sparkSession.createDataFrame(list(zip(times["n"].tolist(), times["count"].cumsum().tolist())), "n bigint, tests bigint")
     rate = F.col("pos") / F.col("n")
     clean = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
     gain = F.col("n") * (rate * F.log(rate / share) + clean)
     found = (
-        counts.where((F.col("pos") >= 3) & (rate > max(0.5, share)))
-        .withColumn("gain", gain).where(F.col("gain") > -math.log(chance))
-        .orderBy(F.desc("gain"), "voter").limit(20 * max_voters).collect()
+        counts.where((F.col("pos") >= 3) & (rate > max(0.5, share))).join(tests, "n")
+        .withColumn("gain", gain).where(F.exp(-F.col("gain")) * F.col("tests") < chance)
+        .orderBy(F.desc("gain"), "voter").limit(max_voters).collect()
     )
-    return [r.voter for r in found if math.exp(-r.gain) * tests[r.n] < chance][:max_voters]
+    return [r.voter for r in found]
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, float]:
@@ -189,11 +190,14 @@ def fit(
 ) -> Model:
     """Learn from ``labels`` (id, label), of which at most ``max_labelled`` rows by hash are used.
 
+    So are at most as many texts, if an id stands for several. Every significant voter is tested; the ``max_voters``
+    strongest of them make up the model.
+
     Null labels and ids are ignored; repeated labels of an id are averaged. Without a toxic or a
     clean example, or without a significant voter, the model scores every text near 0.
     """
     sample = _sample(docs, labels, max_labelled, id_col, text_col, label_col)
-    distinct = stored(_distinct(sample), "labelled-distinct")
+    distinct = stored(_distinct(sample, max_labelled), "labelled-distinct")
     names = _mine(distinct, max_voters, chance)
     if not names:
         return Model()
@@ -205,9 +209,9 @@ def fit(
                 continue
             fired = [sorted({index[f] for w in words for f in names_of(w) if f in index})
                      for words in batch["words"]]
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "fired": fired})
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "at": batch["at"], "fired": fired})
 
-    rows = distinct.mapInPandas(votes, "id long, y int, fired array<int>").orderBy("id").collect()  # <= max_labelled rows
+    rows = distinct.mapInPandas(votes, "id long, y int, at long, fired array<int>").orderBy("id", "at").collect()  # <= max_labelled rows
     matrix = np.zeros((len(rows), len(names)), bool)
     for i, r in enumerate(rows):
         matrix[i, r.fired] = True
