@@ -187,22 +187,6 @@ def test_copies_lend_no_significance(spark, docs_of, words):
     assert "w:grumsk" in model.weights and "w:onlyhere" not in model.weights
 
 
-def test_a_passage_shared_by_both_labels_merges_nothing(spark, docs_of, words):
-    passage = " ".join(words[:30])
-    rows, labels = toxic_rows(words)
-    docs = docs_of([(i, f"{passage} {t}") for i, t in rows])
-    sample = toxicity._sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 1000, "doc_id", "text", "toxic")
-    assert toxicity._distinct(sample, 1000).count() > 380
-
-
-def test_an_id_over_many_texts_stays_bounded(spark, docs_of, words):
-    rows, labels = toxic_rows(words)
-    docs = docs_of([(7, t) for _, t in rows] + rows[:50])
-    sample = toxicity._sample(docs, spark.createDataFrame(labels[:50], "doc_id long, toxic int"), 100, "doc_id", "text", "toxic")
-    assert sample.count() == 450 and 90 < toxicity._distinct(sample, 100).count() <= 100
-    assert toxicity.fit(docs, spark.createDataFrame(labels[:50], "doc_id long, toxic int"), max_labelled=100) is not None
-
-
 def test_label_model_discounts_correlated_voters():
     random_ = np.random.default_rng(3)
     y = random_.random(2000) < 0.2
