@@ -69,15 +69,19 @@ def product_columns(df: DataFrame, table: str, products: Sequence[str]) -> DataF
     return columns(df, table, sorted(required), sorted(foreign))
 
 
-def increasing(df: DataFrame, table: str, keys: Sequence[str], grid: str) -> DataFrame:
-    """Q2: an array column is finite and strictly increasing; checked inside the row."""
+def increasing_rule(table: str, keys: Sequence[str], grid: str) -> Rule:
+    """Q2 as a row rule."""
     later, earlier = F.slice(grid, 2, F.size(grid)), F.slice(grid, 1, F.size(grid) - 1)
     rises = F.zip_with(later, earlier, lambda b, a: b > a)
     falls = F.filter(rises, lambda up: ~F.coalesce(up, F.lit(False)))
     odd = F.filter(grid, lambda f: ~C.is_finite(f))
     bad = F.size(falls) + F.size(odd)
-    return check(df.withColumn("_bad", bad), Rule("Q2", table, tuple(keys), F.col("_bad") > 0,
-                                                  F.col("_bad")))
+    return Rule("Q2", table, tuple(keys), bad > 0, bad)
+
+
+def increasing(df: DataFrame, table: str, keys: Sequence[str], grid: str) -> DataFrame:
+    """Q2: an array column is finite and strictly increasing; checked inside the row."""
+    return check(df, increasing_rule(table, keys, grid))
 
 
 def some_finite(df: DataFrame, table: str, keys: Sequence[str], value: str) -> DataFrame:
@@ -93,15 +97,20 @@ def all_finite(df: DataFrame, table: str, names: Sequence[str], rule_id: str = "
                  Rule(rule_id, table, ("column",), F.col("n") > 0, F.col("n")))
 
 
-def label_values(labels: DataFrame, keys: Sequence[str], always: Sequence[str],
-                 when_valid: Sequence[str], valid: str = "valid") -> DataFrame:
-    """Q5: some labels are always finite, delays are finite on valid links."""
+def label_rule(keys: Sequence[str], always: Sequence[str], when_valid: Sequence[str],
+               valid: str = "valid") -> Rule:
+    """Q5 as a row rule."""
     def broken(names: Sequence[str]) -> Column:
         return F.lit(False) if not names else ~_all([C.is_finite(F.col(n)) for n in names])
 
-    return check(labels, Rule("Q5", "links", tuple(keys),
-                              broken(always) | (F.col(valid) & broken(when_valid)),
-                              F.lit("label not finite")))
+    return Rule("Q5", "links", tuple(keys), broken(always) | (F.col(valid) & broken(when_valid)),
+                F.lit("label not finite"))
+
+
+def label_values(labels: DataFrame, keys: Sequence[str], always: Sequence[str],
+                 when_valid: Sequence[str], valid: str = "valid") -> DataFrame:
+    """Q5: some labels are always finite, delays are finite on valid links."""
+    return check(labels, label_rule(keys, always, when_valid, valid))
 
 
 def _all(parts: Sequence[Column]) -> Column:
@@ -111,24 +120,34 @@ def _all(parts: Sequence[Column]) -> Column:
     return result
 
 
-def ranging_consistency(ranging: DataFrame, keys: Sequence[str], default: str) -> DataFrame:
-    """Q6: finite iff success, bin >= 0 iff success (-1 otherwise), default estimator present."""
+def ranging_rule(keys: Sequence[str]) -> Rule:
+    """Q6 as a row rule: finite iff success, bin >= 0 iff success (-1 otherwise)."""
     finite = C.is_finite(F.col("range_m"))
     ok = (finite == F.col("success")) & F.when(
         F.col("success"), F.col("delay_bin") >= 0).otherwise(F.col("delay_bin") == -1)
-    rows = check(ranging, Rule("Q6", "ranging", tuple(keys), ~ok, F.lit("success flag disagrees")))
+    return Rule("Q6", "ranging", tuple(keys), ~ok, F.lit("success flag disagrees"))
+
+
+def ranging_consistency(ranging: DataFrame, keys: Sequence[str], default: str) -> DataFrame:
+    """Q6: finite iff success, bin >= 0 iff success (-1 otherwise), default estimator present."""
+    rows = check(ranging, ranging_rule(keys))
     absent = ranging.agg(F.count_if(F.col("estimator") == default).alias("n")).where("n = 0")
     return rows.unionByName(absent.select(
         *_row("Q6", "ranging", F.lit(default), F.lit("default estimator missing"))
     ))
 
 
-def path_samples(paths: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """Q7: finite samples and at least interactions + 2 vertices."""
+def path_rule(keys: Sequence[str], numbers: Sequence[str]) -> Rule:
+    """Q7 as a row rule."""
     finite = _all([C.is_finite(F.col(n)) for n in numbers])
     enough = F.col("vertex_count") >= F.col("depth") + 2
-    return check(paths, Rule("Q7", "paths", tuple(keys), ~(finite & enough),
-                             F.when(~finite, "not finite").otherwise("too few vertices")))
+    return Rule("Q7", "paths", tuple(keys), ~(finite & enough),
+                F.when(~finite, "not finite").otherwise("too few vertices"))
+
+
+def path_samples(paths: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """Q7: finite samples and at least interactions + 2 vertices."""
+    return check(paths, path_rule(keys, numbers))
 
 
 def shard_indices(shards: DataFrame, keys: Sequence[str], planned: DataFrame, users: DataFrame
@@ -196,13 +215,18 @@ def iq_layout(captures: DataFrame, keys: Sequence[str]) -> DataFrame:
                                 F.when(~sizes, "sizes").when(~length, "sample count").otherwise("not finite")))
 
 
-def block_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q12: 0 <= errors <= blocks and rate = errors/blocks within 1e-4 relative, 1e-6 absolute."""
+def block_rule(keys: Sequence[str]) -> Rule:
+    """Q12 as a row rule."""
     ratio = F.try_divide(F.col("errors"), F.col("blocks"))
     near = F.abs(F.col("rate") - ratio) <= 1e-6 + 1e-4 * F.abs(ratio)
     counts = (F.col("errors") >= 0) & (F.col("errors") <= F.col("blocks")) & (F.col("blocks") > 0)
-    return check(rows, Rule("Q12", "evaluation", tuple(keys), ~(counts & near),
-                            F.when(~counts, "counts").otherwise("rate")))
+    return Rule("Q12", "evaluation", tuple(keys), ~(counts & near),
+                F.when(~counts, "counts").otherwise("rate"))
+
+
+def block_errors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Q12: 0 <= errors <= blocks and rate = errors/blocks within 1e-4 relative, 1e-6 absolute."""
+    return check(rows, block_rule(keys))
 
 
 def rows_per_key(df: DataFrame, table: str, keys: Sequence[str], expected: int | Column,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from channelspark.functions import paths as P
+from channelspark.operators import contracts as CT
 from channelspark.operators import links as L
 from channelspark.operators import paths as PO
 from channelspark.operators import quality as QA
@@ -86,29 +87,37 @@ def q5(spark, sf):
             "r WHERE fin <> ok OR (ok AND bin < 0) OR (NOT ok AND bin <> -1)")
        + " UNION ALL " + _v("Q6", "ranging", "'music'", "'default estimator missing'", "(SELECT COUNT(*) FROM r) t"))
 def q6(spark, sf):
+    return QA.ranging_consistency(_flagged_ranges(spark, sf), ["estimator", "l_orderkey", "l_linenumber"], "music")
+
+
+def _flagged_ranges(spark, sf):
+    """Ranges whose success flag is wrong at some quantities."""
     fin = F.col("l_discount") > 0.01
-    rows = B.table(spark, sf, "lineitem").select(
+    return B.table(spark, sf, "lineitem").select(
         F.when(F.col("l_linestatus") == "O", "pdp_peak").otherwise("phase_slope")
         .alias("estimator"), "l_orderkey", "l_linenumber",
         F.when(fin, F.col("l_quantity")).alias("range_m"),
         (fin | (F.col("l_quantity") == 7)).alias("success"),
         F.when(fin, 1).otherwise(-1).alias("delay_bin"),
     )
-    return QA.ranging_consistency(rows, ["estimator", "l_orderkey", "l_linenumber"], "music")
 
 
 @query("q7_path_samples", _v("Q7", "paths", "tx || '-' || rx || '-' || path",
                              "CASE WHEN tau_s > 4.95e-8 THEN 'not finite' ELSE 'too few vertices' END",
                              "fx_paths WHERE tau_s > 4.95e-8 OR (flag = 'R' AND rx_ant = 1)"), ("fx_paths",))
 def q7(spark, sf):
+    return QA.path_samples(_short_paths(spark, sf), ["tx", "rx", "path"], ["tau_s", "a_re"])
+
+
+def _short_paths(spark, sf):
+    """Paths with an infinite delay or a vertex too few here and there."""
     depth = P.path_depth(F.col("interactions"))
     short = (P.path_type(F.col("interactions")) == "mixed") & (F.col("rx_ant") == 1)
-    rows = B.paths(spark, sf).select(
+    return B.paths(spark, sf).select(
         "tx", "rx", "path", depth.alias("depth"), "a_re",
         (depth + 2 - F.when(short, 1).otherwise(0)).alias("vertex_count"),
         F.when(F.col("tau_s") > 4.95e-8, F.lit(float("inf"))).otherwise(F.col("tau_s")).alias("tau_s"),
     )
-    return QA.path_samples(rows, ["tx", "rx", "path"], ["tau_s", "a_re"])
 
 
 @query("q8_shard_indices", f"WITH {FRAGMENT_SQL} "
@@ -226,3 +235,53 @@ def q15(spark, sf):
     rows = B.samples(B.cfr_est(spark, sf).select("vec_id", "tx", "rx", "h"))
     cut = rows.where(~((F.col("vec_id") % 50 == 9) & (F.col("k") > 20)))
     return QA.rows_per_key(cut, "cfr", ["tx", "rx"], 4 * B.SUBCARRIERS, axis=B.cfr_est(spark, sf))
+
+
+@query("q_ranging_contract", "WITH r AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'pdp_peak' ELSE 'phase_slope' END AS estimator, "
+       "l_orderkey, l_linenumber, l_discount > 0.01::DOUBLE AS fin, l_discount > 0.01::DOUBLE OR l_quantity = 7 AS ok FROM lineitem), "
+       "n AS (SELECT COUNT(*) FILTER (NOT fin) AS c FROM r) "
+       + _v("Q1", "ranging", "'snr_db'", "'missing'", "n") + " UNION ALL "
+       + _v("Q1", "ranging", "'success'", "'forbidden'", "n") + " UNION ALL "
+       + _v("Q1", "ranging", "'range_m'", "'null rows: ' || c", "n WHERE c > 0") + " UNION ALL "
+       + _v("Q4", "ranging", "'range_m'", "c", "n WHERE c > 0") + " UNION ALL "
+       + _v("Q6", "ranging", "estimator || '-' || l_orderkey || '-' || l_linenumber", "'success flag disagrees'",
+            "r WHERE fin <> ok") + " UNION ALL "
+       + _v("Q6", "ranging", "'music'", "'default estimator missing'", "n") + " UNION ALL "
+       + _v("Q14", "ranging", "'range_m'", "'unit missing'", "n") + " UNION ALL "
+       + _v("Q15", "ranging", "estimator", "COUNT(*)", "r GROUP BY estimator HAVING COUNT(*) <> 1000"))
+def ranging_contract(spark, sf):
+    keys = ("estimator", "l_orderkey", "l_linenumber")
+    return CT.violations(_flagged_ranges(spark, sf), CT.Contract(
+        "ranging", required=["estimator", "range_m", "snr_db"], forbidden=["success", "truth_m"],
+        units=["range_m"], finite=["range_m", "delay_bin"], rows=[QA.ranging_rule(keys)],
+        values=[("Q6", "estimator", "music", "default estimator missing"),
+                ("Q6", "estimator", "pdp_peak", "default estimator missing")],
+        sizes=[CT.Size("Q15", ("estimator",), 1000)]))
+
+
+@query("q_response_contract", """WITH e AS (SELECT *, label = 3 AS bad FROM fx_est WHERE NOT (vec_id % 50 = 9 AND k > 20)),
+  c AS (SELECT tx, rx, COUNT(*) AS n FROM e GROUP BY ALL), t AS (SELECT COUNT(*) AS n FROM e WHERE bad) """
+       + _v("Q3", "cfr", "vec_id", "'no finite value'", "(SELECT DISTINCT vec_id FROM e WHERE bad) t") + " UNION ALL "
+       + _v("Q4", "cfr", "'re'", "n", "t WHERE n > 0") + " UNION ALL "
+       + _v("Q15", "cfr", "tx || '-' || rx", "n", "c WHERE n <> 128"), ("fx_est",))
+def response_contract(spark, sf):
+    """Samples with infinite values and short vectors: rules per row, column, vector and link at once."""
+    rows = B.samples(B.cfr_est(spark, sf).select("vec_id", "tx", "rx", "label", "h"))
+    cut = rows.where(~((F.col("vec_id") % 50 == 9) & (F.col("k") > 20))).withColumn(
+        "re", F.when(F.col("label") == 3, F.lit(float("nan"))).otherwise(F.col("re")))
+    return CT.violations(cut, CT.Contract(
+        "cfr", required=["vec_id", "k"], finite=["re", "im"], some_finite=[(("vec_id",), "re")],
+        sizes=[CT.Size("Q15", ("tx", "rx"), 4 * B.SUBCARRIERS, B.cfr_est(spark, sf))]))
+
+
+@query("q_path_contract", "WITH n AS (SELECT tx, rx, COUNT(*) AS n FROM fx_paths GROUP BY ALL) "
+       + _v("Q7", "paths", "tx || '-' || rx || '-' || path",
+            "CASE WHEN tau_s > 4.95e-8 THEN 'not finite' ELSE 'too few vertices' END",
+            "fx_paths WHERE tau_s > 4.95e-8 OR (flag = 'R' AND rx_ant = 1)") + " UNION ALL "
+       + _v("Q4", "paths", "'tau_s'", "c", "(SELECT COUNT(*) AS c FROM fx_paths WHERE tau_s > 4.95e-8) t WHERE c > 0")
+       + " UNION ALL " + _v("Q15", "paths", "tx || '-' || rx", "n", "n WHERE n <> 4"), ("fx_paths",))
+def path_contract(spark, sf):
+    return CT.violations(_short_paths(spark, sf), CT.Contract(
+        "paths", required=["tx", "rx", "path"], forbidden=["power_db"], finite=["tau_s", "a_re"],
+        rows=[QA.path_rule(("tx", "rx", "path"), ["tau_s", "a_re"])],
+        sizes=[CT.Size("Q15", ("tx", "rx"), 4)]))
