@@ -308,6 +308,23 @@ def h2(spark, sf):
         {"total_s": r(F.col("total_s"), 4), "start": F.col("start").cast("timestamp_ntz")})
 
 
+@query("h2_stream_late_rows", """WITH m AS (SELECT DATE_TRUNC('hour', MAX(ts) - INTERVAL 1 HOUR) AS closed FROM fx_perf)
+  SELECT COUNT(*) + COUNT(*) FILTER (ts < closed) AS "read", COUNT(*) AS kept, COUNT(*) FILTER (ts < closed) AS late
+  FROM fx_perf, m""", ("fx_perf",))
+def h2_late(spark, sf):
+    """All events in time, then those of closed windows once more, in several files and a second run."""
+    events = B.perf(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = events.agg(F.date_trunc("hour", F.max("ts") - F.expr("INTERVAL 1 HOUR"))).scalar()
+    source = work_path(spark, "late")
+    events.repartition(2, "ts").write.parquet(source)
+    path = ST.run_available(ST.stage_windows(ST.file_stream(spark, source, events.schema)), "update", name="h2-late")
+    events.where(F.col("ts") < closed).repartition(4, "event_id").write.mode("append").parquet(source)
+    windows = ST.stage_windows(ST.file_stream(spark, source, events.schema, max_files=2))
+    ST.run_available(windows, "update", path)
+    current = ST.newest_per_key(ST.batch_outputs(spark, path, windows.schema), ["start", "stage"])
+    return ST.late_rows(spark, path, current, "events")
+
+
 @query("h3_stream_hw_peaks", f"""WITH w AS (SELECT event_id, duration_s, TIME_BUCKET(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * n AS start
   FROM fx_perf, (SELECT UNNEST(RANGE(4)) AS n) t)
   SELECT start, {sr('MAX(duration_s)')} AS peak_rss_mb, {sr('AVG(event_id % 101)')} AS mean_util, COUNT(*) AS samples FROM w GROUP BY start""",

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: State on local disk with changes written per batch; the default keeps all state in the executor's heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def get_session(app: str = "channelspark", cpus: str | int | None = None, **conf: str) -> SparkSession:
     """The submitted session; with ``cpus`` (a number or ``*``) a local one for tests and benches.
@@ -18,6 +21,8 @@ def get_session(app: str = "channelspark", cpus: str | int | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if cpus is not None:
@@ -60,6 +65,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write (or replace) one small file, wherever the path's file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     path = work_path(df.sparkSession, name)

@@ -7,14 +7,16 @@ executor or driver replaces its earlier output instead of adding to it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from threading import Event
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
-from channelspark.session import remove, work_path
+from channelspark.session import work_path, write_text
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -72,28 +74,85 @@ def run_available(stream: DataFrame, mode: str, path: str | None = None,
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(sink).start()
-    )
-    query.awaitTermination()
-    _count_late(stream.sparkSession, query, path)
+    run_batches(stream, mode, path, sink)
     return path
 
 
-def _count_late(spark: SparkSession, query: StreamingQuery, path: str) -> None:
-    """Keep how many rows each batch of a run dropped behind the watermark."""
-    rows = [
-        (p.batchId, operator.numRowsDroppedByWatermark)
-        for p in query.recentProgress for operator in p.stateOperators
-    ]
-    spark.createDataFrame(rows, "batch bigint, dropped bigint").coalesce(1).write.mode("append").json(f"{path}/late")
+class BatchLog(StreamingQueryListener):
+    """Writes what each batch of one stream read and dropped, as the batch ends.
+
+    One small file per batch, named by its number, so a batch that runs again after a restart replaces
+    its entry, and neither the length of a run nor a later crash loses any. A driver that dies between
+    the commit of a batch and its report leaves a gap in the numbers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.run_id: str | None = None
+        self.ended = Event()
+        self.failures: list[BaseException] = []
+
+    def onQueryStarted(self, event) -> None:  # before start() returns
+        if event.name == self.path:
+            self.run_id = str(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self.run_id != str(progress.runId):
+            return
+        try:
+            dropped = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+            entry = {"batch": progress.batchId, "rows": progress.numInputRows, "dropped": dropped}
+            write_text(self.spark, f"{self.path}/batches/batch-{progress.batchId}.json", json.dumps(entry))
+        except Exception as failure:  # noqa: BLE001 - raised by run_batches, not on Spark's listener thread
+            self.failures.append(failure)
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run_id == str(event.runId):
+            self.ended.set()
+
+
+def run_batches(stream: DataFrame, mode: str, path: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Everything available through ``sink``, batch by batch, with a ``BatchLog`` beside it."""
+    spark = stream.sparkSession
+    log = BatchLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        query = (
+            stream.writeStream.queryName(path).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(sink).start()
+        )
+        query.awaitTermination()
+        if not log.ended.wait(60):
+            raise TimeoutError("the stream ended, but its last progress was not reported")
+    finally:
+        spark.streams.removeListener(log)
+    if log.failures:
+        raise log.failures[0]
+
+
+def batch_log(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, rows, dropped) of every batch of all runs into ``path``.
+
+    ``dropped`` is what the stateful operator turned away: rows that an aggregate had combined before
+    it saw them count once. ``late_rows`` counts the rows themselves.
+    """
+    return spark.read.schema("batch bigint, rows bigint, dropped bigint").json(f"{path}/batches")
 
 
 def dropped_late(spark: SparkSession, path: str) -> DataFrame:
     """Rows dropped behind the watermark, per batch of the runs into ``path``."""
-    return spark.read.schema("batch bigint, dropped bigint").json(f"{path}/late").groupBy("batch").agg(
-        F.sum("dropped").alias("dropped"))
+    return batch_log(spark, path).select("batch", "dropped")
+
+
+def late_rows(spark: SparkSession, path: str, current: DataFrame, counted: str) -> DataFrame:
+    """One row (read, kept, late): rows read by all batches less those that ``current`` windows count.
+
+    ``current`` holds the newest row of each window of a stream whose rows fall into one window each.
+    """
+    kept = current.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("kept"))
+    read = batch_log(spark, path).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).scalar()
+    return kept.select(read.alias("read"), "kept", (read - F.col("kept")).alias("late"))
 
 
 def batch_outputs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -112,33 +171,21 @@ def newest_per_key(outputs: DataFrame, keys: Sequence[str], order: Column | None
     )
 
 
-def latest_status(log: DataFrame, late: str = "1 hour", name: str = "latest") -> DataFrame:
-    """Latest status per entity, ignoring replays.
+def status_changes(log: DataFrame) -> DataFrame:
+    """Latest (ts, seq, status) per entity as a running maximum.
 
-    Each batch is reduced to one row per entity and merged by (ts, seq) into the generation before,
-    so the order of batches does not matter. A batch writes one generation, replacing it on replay,
-    and removes the one before the last: two tables of one row per entity are all that is kept.
+    A maximum takes a replayed line without effect and lines in any order, so nothing has to be
+    remembered but one row per entity, in the state store; a batch reads and emits only its entities.
     """
-    fresh = first_deliveries(log, ["entity", "seq"], late)
-    path = work_path(log.sparkSession, name)
     newest = F.max_by(F.struct("ts", "seq", "status"), F.struct("ts", "seq"))
+    return log.groupBy("entity").agg(newest.alias("m")).select("entity", "m.ts", "m.seq", "m.status")
 
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("entity", "ts", "seq", "status")
-        if number:
-            rows = rows.union(spark.read.schema(rows.schema).parquet(f"{path}/data/batch={number - 1}"))
-        rows.groupBy("entity").agg(newest.alias("m")).select(
-            "entity", "m.ts", "m.seq", "m.status"
-        ).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        remove(spark, f"{path}/data/batch={number - 2}")
-
-    (
-        fresh.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    )
-    stored = batch_outputs(log.sparkSession, path, fresh.select(
-        "entity", "ts", "seq", "status").schema)
+
+def latest_status(log: DataFrame, path: str | None = None) -> DataFrame:
+    """Latest status per entity, ignoring replays; an earlier ``path`` resumes from its state."""
+    changes = status_changes(log)
+    path = run_available(changes, "update", path, "latest")
+    stored = batch_outputs(log.sparkSession, path, changes.schema)
     return newest_per_key(stored, ["entity"], F.struct("ts", "seq"))
 
 

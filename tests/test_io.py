@@ -116,13 +116,43 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     assert ST.dropped_late(spark, path).agg({"dropped": "sum"}).first()[0] == 1
 
 
-def test_latest_status_keeps_two_generations(spark):
+def test_late_rows_of_more_than_a_hundred_batches_and_a_restart(spark, request):
+    """Progress keeps 100 batches only; the batch log keeps all, over two runs."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", partitions))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    source = work_path(spark, "perf")
+    events(spark, [0, 6000]).coalesce(1).write.mode("append").parquet(source)
+    path = ST.run_available(ST.stage_windows(ST.file_stream(spark, source, schemas.PERF_EVENTS)), "update")
+    late = events(spark, [m % 60 for m in range(330)], 10)  # windows closed by the first run
+    late.repartition(110, "event_id").write.mode("append").parquet(source)
+    files = spark.read.schema(schemas.PERF_EVENTS).parquet(source).select(F.input_file_name()).distinct().count()
+    windows = ST.stage_windows(ST.file_stream(spark, source, schemas.PERF_EVENTS, max_files=1))
+    ST.run_available(windows, "update", path)
+    current = ST.newest_per_key(ST.batch_outputs(spark, path, windows.schema), ["start", "stage"])
+    assert tuple(ST.late_rows(spark, path, current, "events").first()) == (332, 2, 330)
+    log = ST.batch_log(spark, path)
+    assert files > 100 and log.where("rows > 0").count() == files
+    # rows of one window in one file are combined before they are dropped: one each
+    assert ST.dropped_late(spark, path).agg({"dropped": "sum"}).first()[0] == files - 1
+
+
+def test_latest_status_resumes_and_emits_changes_only(spark):
     source = work_path(spark, "queue")
     t = datetime(2024, 1, 1)
-    for i in range(5):
-        spark.createDataFrame([(i % 2, i, t + timedelta(minutes=i), f"s{i}")], schemas.QUEUE_LOG).coalesce(1).write.mode("append").parquet(source)
-    log = ST.file_stream(spark, source, schemas.QUEUE_LOG, max_files=1)
-    assert {r.entity: r.status for r in ST.latest_status(log).collect()} == {0: "s4", 1: "s3"}
+
+    def deliver(*items):
+        rows = [(e, i, t + timedelta(minutes=i), f"s{i}") for e, i in items]
+        spark.createDataFrame(rows, schemas.QUEUE_LOG).coalesce(1).write.mode("append").parquet(source)
+        return ST.file_stream(spark, source, schemas.QUEUE_LOG, max_files=1)
+
+    path = work_path(spark, "latest")
+    ST.latest_status(deliver((0, 0), (1, 1), (2, 9)), path)
+    log = deliver((1, 4), (1, 1), (2, 3))  # newer, replayed, older than what is known
+    got = {r.entity: r.status for r in ST.latest_status(log, path).collect()}
+    assert got == {0: "s0", 1: "s4", 2: "s9"}
+    changed = ST.batch_outputs(spark, path, ST.status_changes(log).schema).where("batch > 0")
+    assert {r.entity for r in changed.collect()} == {1, 2}
 
 
 def test_ingest_reads_each_file_once(spark):
