@@ -8,6 +8,7 @@ from channelspark.functions import complex as C
 from channelspark.functions import grid
 from channelspark.operators import cfr as K
 from channelspark.operators import channel as CH
+from channelspark.operators import long_axes as LX
 from channelspark.operators import ranging as RG
 from channelspark.operators import resources as RS
 from channelspark.operators import sequences as Q
@@ -540,3 +541,49 @@ def e18(spark, sf):
         "source_scene_index", F.posexplode(times).alias("snapshot", "t")
     ).select("source_scene_index", F.col("snapshot").cast("bigint").alias("snapshot"),
              r(F.col("t")).alias("timestamp_s"))
+
+
+_LONG = "ax AS (SELECT rx_ant, vec_id // 4 * 32 + k AS pos, re, im, re * re + im * im AS power FROM fx_cfr)"
+
+
+def long_axis(spark, sf):
+    """All samples of a receive antenna along one axis: four vectors that grow with the table."""
+    rows = B.samples(B.cfr(spark, sf).select("vec_id", "rx_ant", "h"))
+    return rows.select("rx_ant", (F.expr("vec_id div 4") * N + F.col("k")).alias("pos"), "re", "im")
+
+
+@query("e1_unwrap_long_axis", f"""WITH {_LONG}, ph AS (SELECT *, ATAN2(im, re) AS p FROM ax),
+  st AS (SELECT *, p - LAG(p) OVER (PARTITION BY rx_ant ORDER BY pos) AS d FROM ph),
+  tn AS (SELECT *, CASE WHEN d > PI() THEN -1 WHEN d < -PI() THEN 1 ELSE 0 END AS t FROM st)
+  SELECT rx_ant, pos, {sr('p + 2 * PI() * SUM(t) OVER (PARTITION BY rx_ant ORDER BY pos)')} AS unwrapped FROM tn""", ("fx_cfr",))
+def e1_long(spark, sf):
+    rows = long_axis(spark, sf).withColumn("phase", C.angle(F.col("re"), F.col("im")))
+    return LX.unwrap_phase(rows, ["rx_ant"], "phase", "pos", block=1024).select(
+        "rx_ant", "pos", r(F.col("unwrapped")).alias("unwrapped"))
+
+
+@query("e3_first_cluster_long_axis", f"""WITH {_LONG},
+  gp AS (SELECT *, pos - LAG(pos, 1, pos) OVER (PARTITION BY rx_ant ORDER BY pos) > 20 AS brk FROM ax WHERE power > 0.03),
+  rn AS (SELECT *, BOOL_OR(brk) OVER (PARTITION BY rx_ant ORDER BY pos) AS off FROM gp)
+  SELECT rx_ant, ARG_MAX(pos, power) AS bin, {sr('MAX(power)')} AS power FROM rn WHERE NOT off GROUP BY rx_ant""", ("fx_cfr",))
+def e3_long(spark, sf):
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    rows = long_axis(spark, sf).select("rx_ant", F.col("pos").alias("bin"), power.alias("power")).where("power > 0.03")
+    return LX.first_peak_cluster(rows, ["rx_ant"], 20, block=128).withColumn("power", r(F.col("power")))
+
+
+@query("e5_interpolate_long_axis", f"""WITH {_LONG}, mk AS (SELECT *, pos * 7 % 11 = 3 AND pos // 200 % 3 <> 1 AS known FROM ax),
+  nb AS (SELECT rx_ant, pos, CASE WHEN known THEN pos END AS kp, CASE WHEN known THEN re END AS kr FROM mk),
+  fl AS (SELECT rx_ant, pos, LAST_VALUE(kp IGNORE NULLS) OVER b AS a, LAST_VALUE(kr IGNORE NULLS) OVER b AS ra,
+    FIRST_VALUE(kp IGNORE NULLS) OVER f AS z, FIRST_VALUE(kr IGNORE NULLS) OVER f AS rz FROM nb
+    WINDOW b AS (PARTITION BY rx_ant ORDER BY pos ROWS UNBOUNDED PRECEDING),
+      f AS (PARTITION BY rx_ant ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT rx_ant, pos, {sr('CASE WHEN a IS NULL THEN rz WHEN z IS NULL OR a = z THEN ra ELSE ra + (rz - ra) * (pos - a) / (z - a) END')} AS re
+  FROM fl""", ("fx_cfr",))
+def e5_long(spark, sf):
+    """Comb samples with gaps of 200 positions, filled along the whole axis."""
+    rows = long_axis(spark, sf)
+    last = rows.agg(F.max("pos") + 1).scalar()
+    known = rows.where("pos * 7 % 11 = 3 AND pos div 200 % 3 <> 1").withColumnRenamed("pos", "k")
+    return LX.linear_interpolate(known, ["rx_ant"], ["re"], last, block=128).select(
+        "rx_ant", F.col("k").alias("pos"), r(F.col("re")).alias("re"))
