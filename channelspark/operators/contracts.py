@@ -100,7 +100,7 @@ def violations(df: DataFrame, contract: Contract) -> DataFrame:
     if found := _row_facts(df, contract):
         numbered = df.withColumn("_row", F.monotonically_increasing_id())
         facts = facts.unionByName(
-            numbered.select(F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f")).select("f.*"))
+            numbered.select(F.explode(F.array(*found)).alias("f")).where("f IS NOT NULL").select("f.*"))
     for size in contract.sizes:
         if size.axis is not None:
             facts = facts.unionByName(size.axis.select(_fact(
