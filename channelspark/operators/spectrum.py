@@ -122,10 +122,13 @@ def bartlett_spectrum(
     """max(a^H R a, 0) on the angle grid, divided by the link's peak.
 
     One row per link is sent to numpy in Arrow batches; the steering matrix depends only on the
-    array, the grid and the receiver rotation. ``orientation`` has rx, alpha, beta, gamma.
+    array, the grid and the receiver rotation. ``orientation`` has rx, alpha, beta, gamma. Antennas
+    that a link lacks count as zero; an antenna outside the layout is an error.
     """
     size = layout.size
-    element = F.struct((F.col("i") * size + F.col("j")).alias("at"), "re", "im")
+    outside = F.when((F.least("i", "j") < 0) | (F.greatest("i", "j") >= size),
+                     F.raise_error(F.lit("an antenna lies outside the array layout")).cast("bigint"))
+    element = F.struct(F.coalesce(outside, F.col("i") * size + F.col("j")).alias("at"), "re", "im")
     packed = covariance.groupBy(*link).agg(F.sort_array(F.collect_list(element)).alias("r"))
     if orientation is not None:
         packed = packed.join(orientation, "rx", "left")
@@ -135,10 +138,12 @@ def bartlett_spectrum(
     directions, positions = angles.directions(), layout.positions()
 
     @pandas_udf("array<double>")
-    def spectrum(re: pd.Series, im: pd.Series, turns: pd.Series) -> pd.Series:
+    def spectrum(at: pd.Series, re: pd.Series, im: pd.Series, turns: pd.Series) -> pd.Series:
         if not len(re):
             return pd.Series([], dtype=object)
-        cov = np.stack(re.to_numpy()) + 1j * np.stack(im.to_numpy())
+        cov = np.zeros((len(at), size * size), complex)
+        for row, (places, real, imaginary) in enumerate(zip(at, re, im)):
+            cov[row, places] = _finite(real) + 1j * _finite(imaginary)
         cov = cov.reshape(-1, size, size)
         all_turns = np.stack(turns.to_numpy())
         out = np.zeros((len(cov), len(directions)))
@@ -154,7 +159,7 @@ def bartlett_spectrum(
         return pd.Series(list(out))
 
     return packed.select(
-        *link, spectrum(F.col("r.re"), F.col("r.im"), turn).alias("spectrum")
+        *link, spectrum(F.col("r.at"), F.col("r.re"), F.col("r.im"), turn).alias("spectrum")
     )
 
 

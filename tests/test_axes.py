@@ -92,3 +92,22 @@ def test_samples_of_a_capture_are_finite(spark):
     schema = "id long, fft int, cp int, symbols int, sample_count int, samples array<struct<re:double,im:double>>"
     rows = spark.createDataFrame([(1, 2, 0, 1, 2, [(0.0, 1.0)] * 2), (2, 2, 0, 1, 2, [(0.0, 1.0), (float("nan"), 0.0)])], schema)
     assert details(QA.iq_layout(rows, ["id"])) == [("2", "not finite")]
+
+
+def test_spectrum_of_a_link_without_all_antennas(spark):
+    """Antennas that a link lacks count as zero, next to links that have them all."""
+    layout, angles = SP.ArrayLayout(2, 2), SP.AngleGrid((0.2, 2.8, 5), (-1.4, 1.4, 6))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4, 8)) + 1j * rng.normal(size=(4, 8))
+    held = {1: (0, 1, 2, 3), 2: (0, 3), 3: (2,)}
+    rows = [(0, tx, 2, a, 0, [(float(v.real), float(v.imag)) for v in x[a]]) for tx, ants in held.items() for a in ants]
+    link = ["snapshot", "tx", "rx"]
+    spectra = SP.bartlett_spectrum(SP.rx_covariance(spark.createDataFrame(rows, CFR), link), link, layout, angles)
+    got = {r.tx: r.spectrum for r in spectra.collect()}
+    steering = np.exp(2j * np.pi * angles.directions() @ layout.positions().T)
+    assert set(got) == set(held)
+    for tx, ants in held.items():
+        power = (abs(steering[:, ants].conj() @ x[list(ants)]) ** 2).sum(axis=1)
+        np.testing.assert_allclose(got[tx], power / power.max(), atol=1e-12)
+    with pytest.raises(Exception, match="outside the array"):
+        SP.bartlett_spectrum(SP.rx_covariance(spark.createDataFrame(rows, CFR), link), link, SP.ArrayLayout(1, 2), angles).collect()
