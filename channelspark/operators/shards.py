@@ -194,7 +194,8 @@ def concat_rows(
 
     ``batches`` has run, fragment, batch, ue_count and the ``shared`` columns (axis roles, grids,
     stations); a batch whose fragments differ in one of them is an error. ``row`` numbers the data
-    rows of a fragment from 0. Windows run over one row per fragment, and a batch is capped.
+    rows of a fragment from 0. Windows run over one row per fragment, and a batch is capped. The join is
+    shuffled: Spark takes unnested ``data`` for as small as what it was unnested from, and would broadcast it.
     """
     whole = W.partitionBy(run, "batch")
     before = whole.orderBy("fragment").rowsBetween(W.unboundedPreceding, -1)
@@ -207,7 +208,7 @@ def concat_rows(
         run, "fragment", "batch", F.coalesce(F.sum("ue_count").over(before), F.lit(0)).alias("_offset"),
         ok.alias("_same"),
     ).where(F.when(F.col("_same"), F.lit(True)).otherwise(error.cast("boolean"))).drop("_same")
-    return data.join(placed, [run, "fragment"]).withColumn(
+    return data.join(placed.hint("shuffle_hash"), [run, "fragment"]).withColumn(
         "position", (F.col("_offset") + F.col(row)).cast("bigint")
     ).drop("_offset")
 

@@ -220,3 +220,19 @@ def test_concatenation_of_batches(spark):
     mixed = batches.withColumn("batch", F.lit(0))
     with pytest.raises(Exception, match="shared value"):
         SH.concat_rows(data, mixed, "run", ["role"]).collect()
+
+
+def test_concatenated_rows_are_not_broadcast(spark, sf):
+    """Unnested rows look as small as what they come from; they must not be sent through the driver."""
+    from channelspark.plans import load_all
+    from channelspark.plans.registry import QUERIES
+
+    batches = spark.range(100).select(F.lit("r").alias("run"), F.col("id").alias("fragment"), (F.col("id") % 9).alias("batch"),
+                                      F.lit(50).cast("bigint").alias("ue_count"), F.lit("up").alias("role"))
+    data = batches.select("run", "fragment", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ue_count") - 1)).alias("row"))
+    joined = SH.concat_rows(data, batches, "run", ["role"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.select("batch", "position").distinct().count() == joined.count() == 5000
+    load_all()
+    plan = QUERIES["e12_concat_rows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan.split("Join")[0]  # unnested above every join
