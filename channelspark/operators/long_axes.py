@@ -78,7 +78,10 @@ def first_peak_cluster(candidates: DataFrame, keys: Sequence[str], max_gap: int,
 
 def linear_interpolate(points: DataFrame, keys: Sequence[str], values: Sequence[str], count: int | Column,
                        block: int = BLOCK) -> DataFrame:
-    """E5 for long vectors; a gap of any width is filled block by block, never as one array."""
+    """E5 for long vectors; a gap of any width is filled block by block, never as one array.
+
+    ``count`` may be a column, one of ``keys`` if vectors differ in length.
+    """
     part = [*keys, "_block"]
     known = _blocks(points, "k", block).groupBy(*part, "k").agg(*[F.avg(v).alias(v) for v in values])
     point = F.struct("k", *values)

@@ -581,9 +581,9 @@ def e3_long(spark, sf):
   SELECT rx_ant, pos, {sr('CASE WHEN a IS NULL THEN rz WHEN z IS NULL OR a = z THEN ra ELSE ra + (rz - ra) * (pos - a) / (z - a) END')} AS re
   FROM fl""", ("fx_cfr",))
 def e5_long(spark, sf):
-    """Comb samples with gaps of 200 positions, filled along the whole axis."""
+    """Comb samples with gaps of 200 positions, filled along the whole axis of each antenna: to its own last sample."""
     rows = long_axis(spark, sf)
-    last = rows.agg(F.max("pos") + 1).scalar()
-    known = rows.where("pos * 7 % 11 = 3 AND pos div 200 % 3 <> 1").withColumnRenamed("pos", "k")
-    return LX.linear_interpolate(known, ["rx_ant"], ["re"], last, block=128).select(
+    ends = rows.groupBy("rx_ant").agg((F.max("pos") + 1).alias("n"))
+    known = rows.where("pos * 7 % 11 = 3 AND pos div 200 % 3 <> 1").withColumnRenamed("pos", "k").join(ends, "rx_ant")
+    return LX.linear_interpolate(known, ["rx_ant", "n"], ["re"], F.col("n"), block=128).select(
         "rx_ant", F.col("k").alias("pos"), r(F.col("re")).alias("re"))

@@ -59,3 +59,20 @@ def test_empty_and_single(spark):
     assert LX.linear_interpolate(none, ["v"], ["y"], 9).count() == 0
     one = spark.createDataFrame([(1, 5, 2.0)], "v int, k int, y double")
     assert rows_of(LX.linear_interpolate(one, ["v"], ["y"], 9, block=2), "k", "y") == [(k, 2.0) for k in range(9)]
+
+
+def test_long_axes_of_different_lengths_end_at_their_own_last_sample(spark, tmp_path):
+    """A table whose last link lacks antennas: query and SQL give the same rows."""
+    import verify
+    from channelspark.plans import load_all
+    from channelspark.plans.registry import ORACLES, QUERIES
+
+    load_all()
+    vectors = spark.range(30).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.transform(
+        F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(i + F.col("id")).cast("float")).alias("embedding"))
+    vectors.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    con = verify.duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    name = "e5_interpolate_long_axis"
+    ok, note, _ = verify.compare(spark, con, QUERIES[name], ORACLES[name], str(tmp_path))
+    assert ok, note
