@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from channelspark.functions import complex as C
 from channelspark.functions import paths as P
 from channelspark.functions import power as PW
+from channelspark.session import stored
 
 PAIR = ["tx", "rx", "rx_ant", "tx_ant"]
 
@@ -158,18 +161,26 @@ def cir_to_cfr(paths: DataFrame, grid_hz: Column, part_paths: int = 65_536) -> D
 
     ``grid_hz`` is an array expression such as :func:`functions.grid.frequency_grid`, so every
     path row carries its own grid and nothing is joined. A pair usually has far fewer paths than
-    subcarriers, so the compact path rows are shuffled and unnested afterwards. Parts of
-    ``part_paths`` consecutive paths are summed by themselves, then the parts of a pair.
+    subcarriers, so the compact path rows are shuffled by pair once, unnested and summed where they are.
+    Pairs of more than ``part_paths`` paths, counted first, are dealt to parts by a hash of the path,
+    and their parts are added up.
     """
+    parts = F.ceil(F.col("count") / part_paths).cast("int")
+    counts = paths.groupBy(*PAIR).count().where(F.col("count") > part_paths)
+    many = F.broadcast(stored(counts.select(*PAIR, parts.alias("_parts")), "large-pairs"))  # at most a row per part_paths rows
+    part = F.pmod(F.xxhash64("path"), F.col("_parts")).cast("int")
+    small = paths.join(many, PAIR, "left_anti")
+    large = paths.join(many, PAIR).withColumn("_part", part)
+    summed = _sum_paths(large, [*PAIR, "_part"], grid_hz).groupBy(*PAIR, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return _sum_paths(small, PAIR, grid_hz).unionByName(summed)
+
+
+def _sum_paths(paths: DataFrame, keys: Sequence[str], grid_hz: Column) -> DataFrame:
     phase = -2 * F.pi() * F.col("f_hz") * F.col("tau_s")
     re, im = C.rotate(F.col("a_re"), F.col("a_im"), phase)
-    keys = [*PAIR, "_part"]
-    placed = paths.select(
-        *PAIR, F.floor(F.col("path") / part_paths).alias("_part"), "a_re", "a_im", "tau_s"
-    ).repartition(*keys)
+    placed = paths.select(*keys, "a_re", "a_im", "tau_s").repartition(*keys)
     unnested = placed.select(*keys, "a_re", "a_im", "tau_s", F.posexplode(grid_hz).alias("k", "f_hz"))
-    parts = unnested.groupBy(*keys, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-    return parts.groupBy(*PAIR, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return unnested.groupBy(*keys, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
 def path_scatter(paths: DataFrame, links: DataFrame) -> DataFrame:

@@ -199,6 +199,17 @@ def test_top_n_is_limited_before_the_shuffle(spark, sf):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_cir_to_cfr_sums_scattered_paths_where_they_are_shuffled(spark):
+    """Path numbers far apart do not cut a pair into parts, so its unnested rows are shuffled once only."""
+    rows = [(i // 3, 0, 0, 0, i * 10_000_000, 1e-8, 1.0, 0.0, 0., 0., 0., 0., []) for i in range(300)]
+    out = PO.cir_to_cfr(spark.createDataFrame(rows, PATH_SCHEMA), frequency_grid := grid.frequency_grid(F.lit(1e9), F.lit(1e7), F.lit(4)))
+    got = out.where("tx = 7").orderBy("k").collect()
+    f = spark.range(1).select(frequency_grid).first()[0]
+    assert out.count() == 400 and np.allclose([r.re + 1j * r.im for r in got], 3 * np.exp(-2j * np.pi * np.array(f) * 1e-8))
+    plain = out._jdf.queryExecution().optimizedPlan().children().head().toString()  # pairs that are not cut up
+    assert plain.count("Aggregate") - plain.count("Aggregate [tx#") <= 1 and "_part#" not in plain
+
+
 def test_scan_reads_only_needed_columns(spark, sf):
     from channelspark.plans import bindings as B
 
