@@ -7,7 +7,7 @@ once; unnesting, windows and reductions all reuse that partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from channelspark.functions import power as PW
 from channelspark.operators import sequences as Q
 
 LINK = ["tx", "rx"]
-ROW_SLICE = 32  # rows whose oversampled profiles are held at once
+ROW_SLICE = 256  # rows whose oversampled profiles are held at once
 
 
 def link_keys(cfr: DataFrame) -> list[str]:
@@ -71,17 +71,18 @@ class PdpOptions:
 
 
 def delay_power(options: PdpOptions) -> Callable[[Column, Column], Column]:
-    """Arrow-batched inverse FFT: (re array, im array) -> power per delay bin."""
+    """Arrow-batched inverse FFT: (re array, im array) -> power per delay bin.
+
+    Profiles are handed on a slice of rows at a time, so a Python worker never holds a batch's profiles.
+    """
     weights, n_fft, bins = options.weights(), options.n_fft, options.bins
 
     @pandas_udf("array<double>")
-    def power(re: pd.Series, im: pd.Series) -> pd.Series:
-        if not len(re):
-            return pd.Series([], dtype=object)
-        h = (np.stack(re.to_numpy()) + 1j * np.stack(im.to_numpy())) * weights
-        parts = [np.abs(np.fft.ifft(h[s : s + ROW_SLICE], n=n_fft, axis=1)[:, :bins]) ** 2
-                 for s in range(0, len(h), ROW_SLICE)]
-        return pd.Series(list(np.concatenate(parts)))
+    def power(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for re, im in batches:
+            for s in range(0, len(re), ROW_SLICE):
+                h = np.stack(re.iloc[s : s + ROW_SLICE]) + 1j * np.stack(im.iloc[s : s + ROW_SLICE])
+                yield pd.Series(list(np.abs(np.fft.ifft(h * weights, n=n_fft, axis=1)[:, :bins]) ** 2))
 
     return power
 

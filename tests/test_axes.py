@@ -111,3 +111,16 @@ def test_spectrum_of_a_link_without_all_antennas(spark):
         np.testing.assert_allclose(got[tx], power / power.max(), atol=1e-12)
     with pytest.raises(Exception, match="outside the array"):
         SP.bartlett_spectrum(SP.rx_covariance(spark.createDataFrame(rows, CFR), link), link, SP.ArrayLayout(1, 2), angles).collect()
+
+
+def test_delay_profiles_are_handed_on_in_slices():
+    """A batch of any size leaves a Python worker in slices; its profiles are never held together."""
+    import pandas as pd
+
+    options, rng = RG.PdpOptions(1e6, 32), np.random.default_rng(6)
+    h = rng.normal(size=(1000, 32)) + 1j * rng.normal(size=(1000, 32))
+    batch = (pd.Series(list(h.real)), pd.Series(list(h.imag)))
+    parts = list(RG.delay_power(options).func(iter([batch, (batch[0][:0], batch[1][:0])])))
+    assert max(map(len, parts)) <= RG.ROW_SLICE
+    want = abs(np.fft.ifft(h * np.hanning(32), n=256, axis=1)) ** 2
+    np.testing.assert_allclose(np.stack([row for part in parts for row in part]), want)
