@@ -12,6 +12,7 @@ position keeps one state. Decoding emits the arc labels.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -42,7 +43,7 @@ NEWER_LOWER = {
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
 TABLE_ENTRIES = 400_000
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 600_000
 ROWS = 256
 
 
@@ -87,16 +88,28 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word."""
-        n, get = len(word), self.vocab.get
+        n, get, known = len(word), self.vocab.get, self.table.get
+        marked = word + self.suffix
+        whole = get(marked) if n else None
+        if whole is not None:  # no longer token could end here
+            return [whole]
         last: list[int] = [-1] * (n + 1)
         start = [0] * (n + 1)
         for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
+            stop = end if end < n else None
             for begin in range(max(0, end - self.longest), end):
-                token = get(word[begin:end] + tail)
-                if token is not None and (not begin or last[begin] >= 0 and self.arc(last[begin], token)):
-                    last[end], start[end] = token, begin
-                    break
+                token = get(marked[begin:stop])
+                if token is None:
+                    continue
+                if begin:
+                    state = last[begin]
+                    if state < 0:
+                        continue
+                    follows = known(state << 32 | token)
+                    if not (self.arc(state, token) if follows is None else follows):
+                        continue
+                last[end], start[end] = token, begin
+                break
         if n and last[n] < 0:
             raise ValueError("the vocabulary lacks a symbol of the word")
         out = []
@@ -132,6 +145,7 @@ class Tokenizer:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         plain = pattern.replace(r"\s", SPACE)
         self.pattern = regex.compile(plain)
+        self.later = re.compile("[\u0558-\U0010ffff]")  # from the first of the newer ones on; quick to rule out
         self.newer = regex.compile(f"[{UNKNOWN}{''.join(map(chr, NEWER_LOWER))}]")
         self.exact = regex.compile(plain.replace(r"\p{L}", rf"[\p{{L}}--[{UNKNOWN}]]"), regex.V1)
         self.bytes = byte_symbols()
@@ -155,7 +169,7 @@ class Tokenizer:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         known, make = self.words.get, self.word
         pattern = self.pattern
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and self.later.search(text) and self.newer.search(text):
             text, pattern = text.translate(NEWER_LOWER), self.exact
         return b"".join([known(w) or make(w) for w in pattern.findall(text)])
 

@@ -318,3 +318,18 @@ def test_sha_is_of_utf8(docs_of):
 
     row = line_dedup.drop_repeated_lines(docs_of([(1, "é\nß")])).select(F.sha2("kept", 256).alias("h")).first()
     assert row.h == hashlib.sha256("é\nß".encode()).hexdigest()
+
+
+def test_texts_without_newer_letters_are_not_searched_for_them():
+    """The search through the long class of newer letters only runs where one of them could be."""
+    import types
+
+    from channelspark.llm import bpe
+
+    own = bpe.Tokenizer(f"{bpe.TOKENIZERS}/word_bpe_49k.json")
+    seen, search = [], own.newer.search
+    own.newer = types.SimpleNamespace(search=lambda text: seen.append(text) or search(text))
+    own.encode("größer als señales, façade")
+    assert not seen
+    assert own.encode("ꟋA") == own.encode("ɤA") and len(seen) >= 1
+    assert own.automaton.encode("the" + own.automaton.suffix[:0]) == [own.automaton.vocab["the" + own.automaton.suffix]]
