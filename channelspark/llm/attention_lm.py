@@ -21,23 +21,23 @@ document it holds, and the tasks' parameters are averaged by Spark after each ro
 2 * HOP tokens overlap by HOP, so that each token is scored once, with HOP to 2 * HOP - 1 tokens before it
 (fewer at the start of a text).
 
-The base score needs the count of every word. The ``HEAD`` most frequent words travel to the tasks (a
-bounded table); only the others are joined.
+Words are split, counted and looked up in slices of texts by Arrow; only the distinct words of a slice are encoded.
+The base score needs the count of every word. At most ``HEAD`` of the most frequent words travel to the tasks
+(a bounded table); only the others are joined.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
-from itertools import groupby
+from functools import cached_property, lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +57,11 @@ FAR = (3, 5, 9)  # distances that are counted for it
 PRIOR = 5.0
 DISCOUNT = 0.75
 PIECE = 1 << 20
-ROWS = 1000
-HEAD, HEAD_BYTES = 65_536, 64
-MEMO_WORDS = 500_000
-BATCH = 512  # windows that are scored together
-STEP = 256  # windows of one training step
+SLICE, COUNTED = 1 << 24, 1 << 25  # bytes of text whose words are looked up, or counted, together
+HEAD, HEAD_BYTES = 1 << 20, 64
+TOGETHER = 1 << 15  # words that are encoded together
+BATCH = 2048  # windows that are scored together
+FIRST_STEP, STEP = 256, 4096  # windows of one training step
 #: How the vocabulary splits a text before it merges bytes (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -70,6 +70,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def words_in(texts: pa.Array) -> pa.ListArray:
+    """``words_of`` each text; no words are one empty word."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+
+
 class Subwords:
     """Byte-level BPE ids of words, each with the space before it."""
 
@@ -77,17 +82,26 @@ class Subwords:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
         self.encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes], distinct: Iterable[bytes]) -> bytes:
-        """Ids as unsigned 16-bit integers."""
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for word in distinct:
-            if word not in memo:
-                memo[word] = array("H", self.encode(" " + word.decode("utf-8", "replace"))).tobytes()
-        return b"".join(map(memo.__getitem__, words))
+        self.begins = np.zeros(IDS, bool)
+        self.begins[[rank for piece, rank in ranks.items() if piece.startswith(b" ")]] = True
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each word has."""
+        found, long = [np.empty(0, np.uint16)], []
+        for some in (words[s : s + TOGETHER] for s in range(0, len(words), TOGETHER)):
+            text = b" ".join(some).decode("utf-8", "replace")
+            if len(text.split()) == len(some):  # every space before a word begins a token, and no token crosses it
+                ids = np.array(self.encode(" " + text), np.uint16)
+                starts = np.flatnonzero(self.begins[ids])
+                if len(starts) != len(some):
+                    raise RuntimeError("the ids of words run into each other")
+                long.extend(np.diff(starts, append=len(ids)).tolist())
+            else:  # an empty word, or white space that does not part words
+                each = [self.encode(" " + w.decode("utf-8", "replace")) if w else [] for w in some]
+                ids = np.array([i for e in each for i in e], np.uint16)
+                long.extend(map(len, each))
+            found.append(ids)
+        return np.concatenate(found), np.array(long, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -119,30 +133,49 @@ class Model:
         query, key = flat[: 2 * size].reshape(2, CLASSES, DEPTH).astype(np.float32)
         return replace(self, query=query, key=key, bias=flat[2 * size :].astype(np.float32))
 
-    def attend(self, windows: np.ndarray, first: int):
-        """Attention and values of windows (n, WINDOW) of classes, for the places from ``first`` on."""
-        rows = np.arange(first - 1, WINDOW - 1)
-        cols = np.arange(WINDOW - 1)
-        apart = rows[:, None] - cols[None, :]
-        logits = self.query.take(windows[:, first - 1 : -1], axis=0) @ self.key.take(windows[:, :-1], axis=0).transpose(0, 2, 1)
-        logits += np.where(apart >= 0, self.bias[np.maximum(apart, 0)], np.float32(-1e9))
-        logits -= logits.max(2, keepdims=True)
-        weight = np.exp(logits, out=logits)
-        weight /= (weight @ np.ones(WINDOW - 1, weight.dtype))[:, :, None]
-        near = (np.clip(apart, 0, len(LAGS) - 1) * CLASSES).astype(windows.dtype)
-        at = near + windows[:, None, : WINDOW - 1]
-        at *= CLASSES
-        at += windows[:, first:, None]
-        return weight, self.table.ravel().take(at), apart
-
-    def log10(self, ids: list[np.ndarray], counted: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    @cached_property
+    def scores(self) -> np.ndarray:
+        """Attention before the softmax, without the distance's bias, by class of the last token and of an earlier one."""
+        return (self.query @ self.key.T).ravel()
+
+    def attend(self, places: np.ndarray, first: int):
+        """Probabilities of the classes of windows (WINDOW, n) at the places from ``first`` on.
+
+        Place by place, so that a distance is a shift. Also the sum of each softmax, by distance the row of its first
+        place, its weights and its values, and where in ``scores`` all of them are; these hold until the next call.
+        """
+        n = places.shape[1]
+        firsts = [max(first, lag) for lag in range(1, WINDOW)]
+        ends = np.cumsum([0, *((WINDOW - p) * n for p in firsts)]).tolist()
+        room = _room(max(ends[-1], STEP * (WINDOW - HOP) * WINDOW))
+        wide, found = places * CLASSES, []
+        top = np.full((WINDOW - first, n), -np.inf, np.float32)
+        for lag, p, s, e in zip(range(1, WINDOW), firsts, ends, ends[1:]):
+            at, weight, value = (r[s:e].reshape(WINDOW - p, n) for r in room)
+            np.add(wide[p - lag : WINDOW - lag], places[p:], out=at)
+            self.table[min(lag, len(LAGS)) - 1].ravel().take(at, out=value, mode="clip")
+            np.add(wide[p - 1 : -1], places[p - lag : WINDOW - lag], out=at)
+            self.scores.take(at, out=weight, mode="clip")
+            weight += self.bias[lag - 1]
+            np.maximum(top[p - first :], weight, out=top[p - first :])
+            found.append((p - first, weight, value))
+        total, chance, one = np.zeros_like(top), np.zeros_like(top), np.empty_like(top)
+        for row, weight, value in found:
+            weight -= top[row:]
+            np.exp(weight, out=weight)
+            total[row:] += weight
+            chance[row:] += np.multiply(weight, value, out=one[row:])
+        chance /= total
+        return chance, total, found, room[0][: ends[-1]], room[2][: ends[-1]]
+
+    def log10(self, ids: list[np.ndarray], counted: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of id sequences that begin and end with END.
 
-        ``counted`` holds ``n``, ``total`` and ``freed`` of the triple at each inner place, if they are known already.
+        ``counted`` holds the ``shares`` of the triple at each inner place, if they are known already.
         """
         length = np.array([len(i) for i in ids])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.uint16)])
-        kinds = self.kind[flat].astype(np.int32)
+        kinds = self.kind[flat]
         begin = np.cumsum(length) - length
         places = np.zeros(len(flat))
         hops = np.maximum(-(-(length - WINDOW) // HOP), 0)
@@ -150,16 +183,17 @@ class Model:
         nth = np.arange(len(later)) - np.repeat(np.cumsum(hops) - hops, hops) + 1
         for start, end, first in ((begin, begin + length, 1), (begin[later] + nth * HOP, (begin + length)[later], HOP)):
             for s in range(0, len(start), BATCH):
-                at = start[s : s + BATCH, None] + np.arange(WINDOW)
-                weight, value, _ = self.attend(kinds[np.minimum(at, len(flat) - 1)], first)
-                own = at[:, first:] < end[s : s + BATCH, None]
-                places[at[:, first:][own]] = np.einsum("nij,nij->ni", weight, value)[own]
+                at = start[s : s + BATCH] + np.arange(WINDOW)[:, None]
+                chance = self.attend(kinds.take(at, mode="clip"), first)[0]
+                own = at[first:] < end[s : s + BATCH]
+                places[at[first:][own]] = chance[own]
         own = np.repeat(np.arange(len(ids)), length)
         inner = np.ones(len(own), bool)
         inner[begin] = False
         chance = places[: len(own)][inner] * self.inside[flat[: len(own)][inner]]
-        n, total, freed = self.lookup(triple_keys(flat[: len(own)], own, inner)) if counted is None else counted
-        chance = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + freed * chance) / np.maximum(total, 1), chance)
+        known = shares(*self.lookup(triple_keys(flat[: len(own)], own, inner))) if counted is None else counted
+        chance *= known[:, 1]
+        chance += known[:, 0]
         return np.bincount(own[inner], np.log10(chance), minlength=len(ids))
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,24 +211,32 @@ class Model:
         Where no place before HOP counts, attention is worked out from HOP on only.
         """
         first = 1 if real[:, 1:HOP].any() else HOP
-        weight, value, apart = self.attend(windows, first)
-        chance = np.einsum("nij,nij->ni", weight, value)
-        counts = real[:, first:]
+        chance, total, found, at, slopes = self.attend(np.ascontiguousarray(windows.T), first)
+        counts = real.T[first:]
         n = max(1, int(counts.sum()))
-        g = np.subtract(chance[:, :, None], value, out=value)
-        g *= weight
-        g *= (counts / (chance * np.float32(n)))[:, :, None]
-        rows, cols = windows[:, first - 1 : -1], windows[:, :-1]
-        query = _summed(rows, g @ self.key.take(cols, axis=0))
-        key = _summed(cols, g.transpose(0, 2, 1) @ self.query.take(rows, axis=0))
-        bias = np.bincount(np.maximum(apart, 0).ravel(), g.sum(0).ravel(), minlength=WINDOW - 1)
-        return float(-(np.log(chance) * counts).sum() / n), np.concatenate([query, key, bias])
+        scale = counts / (chance * total * np.float32(n))
+        bias = []
+        for row, weight, value in found:  # values give way to the slopes of the scores
+            np.subtract(chance[row:], value, out=value)
+            value *= weight
+            value *= scale[row:]
+            bias.append(value.sum())
+        every = np.zeros(CLASSES**2, np.float32)
+        np.add.at(every, at, slopes)
+        every = every.reshape(CLASSES, CLASSES)
+        flat = np.concatenate([(every @ self.key).ravel(), (every.T @ self.query).ravel(), bias])
+        return float(-(np.log(chance) * counts).sum() / n), flat
+
 
+@lru_cache(maxsize=1)
+def _room(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays that are used again and again, because fresh memory costs more than the arithmetic."""
+    return np.empty(size, np.int64), np.empty(size, np.float32), np.empty(size, np.float32)
 
-def _summed(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows of DEPTH numbers summed by class, flat."""
-    at = kinds.reshape(-1, 1) * DEPTH + np.arange(DEPTH)
-    return np.bincount(at.ravel(), rows.ravel(), minlength=CLASSES * DEPTH)
+
+def shares(n: np.ndarray, total: np.ndarray, freed: np.ndarray) -> np.ndarray:
+    """What the counts of triples give, and what they leave to the attention: all of it where the first two ids are unknown."""
+    return np.column_stack([np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, freed / np.maximum(total, 1), 1)])
 
 
 def triple_keys(flat: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -210,28 +252,29 @@ def train_here(model: Model, ids: Iterator[np.ndarray], seed: int) -> tuple[np.n
     """Parameters after Adam over all windows of all sequences, each place once, and the number of windows.
 
     A batch holds first windows only or later ones only, because of the latter just the places from HOP on count.
+    Batches are small until a task has seen its first ``PIECE // 4`` ids, so that a small corpus gets its steps too.
     """
     random = np.random.default_rng(seed)
     flat = model.parameters()
     m, v, t, total = np.zeros_like(flat), np.zeros_like(flat), 0, 0
     for held in _gathered(ids, PIECE // 4):
         length = np.array([len(h) for h in held])
-        kinds = np.concatenate([model.kind[np.concatenate(held)], np.zeros(WINDOW, np.int64)]).astype(np.int32)
+        kinds = np.concatenate([model.kind[np.concatenate(held)], np.zeros(WINDOW, np.int64)])
         end = np.cumsum(length)
         hops = np.maximum(-(-(length - WINDOW) // HOP), 0) + 1
         of = np.repeat(np.arange(len(held)), hops)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(hops) - hops, hops)
         start, stop = (end - length)[of] + nth * HOP, end[of]
-        order = random.permutation(len(of))
-        batches = [some[i : i + STEP] for some in (order[nth[order] == 0], order[nth[order] > 0]) for i in range(0, len(some), STEP)]
+        order, size = random.permutation(len(of)), STEP if total else FIRST_STEP
+        batches = [some[i : i + size] for some in (order[nth[order] == 0], order[nth[order] > 0]) for i in range(0, len(some), size)]
         for b in random.permutation(len(batches)):
             some = batches[b]
-            at = start[some, None] + np.arange(WINDOW)
-            real = at < stop[some, None]
-            windows = np.where(real, kinds[np.minimum(at, len(kinds) - 1)], 0)
+            at = start[some] + np.arange(WINDOW)[:, None]
+            real = at < stop[some]
+            windows = kinds.take(at, mode="clip")
             if nth[some[0]]:
-                real[:, :HOP] = False
-            g = model.replaced(flat).step(windows, real.astype(np.float32))[1].astype(np.float32)
+                real[:HOP] = False
+            g = model.replaced(flat).step(windows.T, real.T.astype(np.float32))[1].astype(np.float32)
             t += 1
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.01) * (g * g - v)
@@ -264,12 +307,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _tally(tokens: DataFrame, size: int, keys_of) -> np.ndarray:
-    """Counts over all sequences of the integer keys below ``size`` that ``keys_of`` draws from one batch."""
+    """Counts over all sequences of the integer keys below ``size`` that ``keys_of`` draws from one batch; ``size`` is no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for flat, own in _pieces(batches):
-            total += np.bincount(keys_of(flat, own), minlength=size)
+            total += np.bincount(keys_of(flat, own).ravel(), minlength=size + 1)[:size]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "n"])
 
@@ -279,22 +322,42 @@ def _tally(tokens: DataFrame, size: int, keys_of) -> np.ndarray:
     return out
 
 
+def _apart(doc: np.ndarray, lags: tuple[int, ...], none: int, key) -> np.ndarray:
+    """``key`` of all places and the places ``lag`` before them, one row per lag; ``none`` where no such place is in the same sequence."""
+    keys = np.full((len(lags), len(doc)), none)
+    for row, lag in zip(keys, lags):
+        if lag < len(doc):
+            row[lag:] = key(lag, slice(lag, None), slice(None, -lag))
+            row[lag:][doc[lag:] != doc[:-lag]] = none
+    return keys
+
+
 def _shards(pairs: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each pair of ids."""
-    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
-    """Integers below 256 ** width by byte, which compresses well."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """Integers below 256 ** width by byte and compressed, after their number."""
+    planes = values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _values(planes: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(planes) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    size = int.from_bytes(planes[:8], "little")
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(planes[8:], size * width, codec="zstd"), np.uint8).reshape(width, -1).T
     return out.view("<i8").ravel()
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of triples, by one id after the other from the last, because sorting by 16 bits is quick."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    for bits in (16, 32):
+        order = order[np.argsort((keys >> bits).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def _heads(keys: np.ndarray) -> np.ndarray:
     """Where the first two ids of neighbouring triples change."""
     return np.flatnonzero(np.append(True, np.diff(keys >> 16) != 0)) if len(keys) else np.empty(0, np.int64)
@@ -312,7 +375,7 @@ def _triples_of(ids: list[np.ndarray], train: np.ndarray, shards: int) -> tuple[
     start = np.flatnonzero(np.append(True, np.diff(both >> 1) != 0))
     keys, n = both[start] >> 1, np.add.reduceat(both & 1, start)
     shard = _shards(keys >> 16, shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard, kind="stable")  # quick for 16 bits
     return keys[order], n[order], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))
 
 
@@ -379,18 +442,18 @@ def scored(tokens: DataFrame, model: Model, shards: int) -> DataFrame:
                 ends = np.cumsum([0, *(len(i) - 1 for i in ids[s:e])])
                 for i in range(s, e, 64):
                     j = min(i + 64, e)
-                    scores[i:j] = model.log10(ids[i:j], tuple(c[ends[i - s] : ends[j - s]] for c in counted))
+                    scores[i:j] = model.log10(ids[i:j], counted[ends[i - s] : ends[j - s]])
             yield from texts.select(kept).append_column("score", pa.array(scores)).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in kept)
     return both.repartition("key").sortWithinPartitions("key", "text", "row", "shard").mapInArrow(run, f"{schema}, score double")
 
 
-def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> tuple[np.ndarray, ...]:
-    """``n``, ``total`` and ``freed`` at each inner place of ``ids``, from ``counts`` that come by shard."""
+def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> np.ndarray:
+    """``shares`` at each inner place of ``ids``, from ``counts`` that come by shard."""
     own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     each = triple_keys(np.concatenate(ids), own, np.append(False, own[1:] == own[:-1]))
-    order = np.argsort(each)
+    order = _order(each)
     each = each[order]
     new = np.append(True, each[1:] != each[:-1]) if len(each) else np.empty(0, bool)
     keys = each[new]
@@ -400,11 +463,10 @@ def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> tuple[np
     if len(n) != len(keys) or len(total) != len(heads):
         raise RuntimeError("the counts of a piece do not fit its triples")
     pair = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
-    at, of = np.empty(len(keys), np.int64), np.cumsum(new) - 1
-    at[by_shard] = np.arange(len(keys))
-    place = np.empty(len(each), np.int64)
-    place[order] = at[of]
-    return n[place].astype(np.float64), total[pair[place]].astype(np.float64), DISCOUNT * kinds[pair[place]]
+    found, out = np.empty((len(keys), 2)), np.empty((len(each), 2))
+    found[by_shard] = shares(n, total[pair], DISCOUNT * kinds[pair])
+    out[order] = np.repeat(found, np.diff(np.flatnonzero(new), append=len(each)), axis=0)
+    return out
 
 
 def _clusters(signs: np.ndarray, count: int) -> np.ndarray:
@@ -430,9 +492,8 @@ def fit(tokens: DataFrame, rounds: int = 2) -> Model:
     sign[order[: SIGNS - 1]] = np.arange(SIGNS - 1)
 
     def signs_of(flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        pairs = [flat[lag:][same].astype(np.int64) * SIGNS + sign[flat[:-lag]][same]
-                 for lag in (1, 2, 3, 4) if lag < len(flat) for same in [doc[lag:] == doc[:-lag]]]
-        return np.concatenate(pairs) if pairs else np.empty(0, np.int64)
+        wide, signed = flat.astype(np.int64) * SIGNS, sign[flat]
+        return _apart(doc, (1, 2, 3, 4), IDS * SIGNS, lambda lag, here, before: wide[here] + signed[before])
 
     signs = _tally(tokens, IDS * SIGNS, signs_of).reshape(IDS, SIGNS)
     kind = np.full(IDS, CLASSES - 1)
@@ -444,13 +505,10 @@ def fit(tokens: DataFrame, rounds: int = 2) -> Model:
     inside = ((counts + 0.5) / (np.bincount(kind, counts, minlength=CLASSES) + 0.5 * size)[kind])
 
     def pairs_of(flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        kinds, found = kind[flat], []
-        for table, lags in enumerate(((1,), (2,), FAR)):
-            for lag in lags:
-                if lag < len(flat):
-                    same = doc[lag:] == doc[:-lag]
-                    found.append((table * CLASSES + kinds[:-lag][same]) * CLASSES + kinds[lag:][same])
-        return np.concatenate(found) if found else np.empty(0, np.int64)
+        kinds = kind[flat]
+        wide = kinds * CLASSES
+        return _apart(doc, (*LAGS[:-1], *FAR), len(LAGS) * CLASSES**2,
+                      lambda lag, here, before: wide[before] + kinds[here] + (min(lag, len(LAGS)) - 1) * CLASSES**2)
 
     pairs = _tally(tokens, len(LAGS) * CLASSES**2, pairs_of).reshape(len(LAGS), CLASSES, CLASSES)
     share = (np.bincount(kind, counts, minlength=CLASSES) + 0.5 * (size > 0)) / (counts.sum() + 0.5 * (size > 0).sum())
@@ -481,26 +539,44 @@ def _averaged(tokens: DataFrame, model: Model, turn: int) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their ``text`` has about ``size`` bytes; a row stays whole."""
+    for batch in batches:
+        part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(s, e - s) for s, e in zip(cuts, cuts[1:]) if e > s)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` (binary) and its count ``c`` over all rows of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total.update(words_of(text))
-                if len(total) > MEMO_WORDS:
-                    yield _words(total)
-        if total:
-            yield _words(total)
+        held: list[pa.Array] = []
+        size = 0
+        for batch in _slices(batches, COUNTED):
+            held.append(words_in(batch.column("text")).flatten().cast(pa.binary()))
+            size += held[-1].nbytes
+            if size > COUNTED:
+                yield _counted_words(held)
+                held, size = [], 0
+        if held:
+            yield _counted_words(held)
 
-    return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "word binary, c bigint").where(F.octet_length("word") > 0).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _words(total: Counter[bytes]) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "c"])
-    total.clear()
-    return out
+def _counted_words(held: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(pa.chunked_array(held).value_counts().flatten(), ["word", "c"])
+
+
+def _head(counts: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """At most ``HEAD`` most frequent words and their counts; of equally frequent ones all or none."""
+    level = F.floor(64 * F.log2("c"))  # a few thousand at most
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES)
+    sizes = sorted(((r.level, r.n) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    fit = [least for (least, _), total in zip(sizes, accumulate(n for _, n in sizes)) if total <= HEAD]
+    found = short.where(level >= (fit[-1] if fit else 64 * 64)).toArrow().combine_chunks()
+    return found["word"].combine_chunks(), found["c"].to_numpy()
 
 
 def score_documents(
@@ -518,32 +594,47 @@ def score_documents(
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + ends, v + (ends > 0)
     floor = n + 0.5 * (v + 1)
-    head = {bytes(r.word): r.c for r in counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
-    logs = {w: math.log10((c + 0.5) / floor) for w, c in head.items()}
     end = math.log10((ends + 0.5) / floor)
+    head, c = _head(counts)
+    logs = np.append(np.log10((c + 0.5) / floor), 0)  # at last for words that are not in the head
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = subwords(path)
         edge = np.array([END], np.uint16).tobytes()
         part = size = 0
-        for batch in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                times = Counter(words)
-                rare = [w for w in times if w not in logs]
-                base = math.fsum(k * logs[w] for w, k in times.items() if w in logs) + end
-                tf = [times[w] for w in rare]
-                known = len(words) - sum(tf) + (ends > 0)
-                ids = edge + own.ids(words, times) + edge
+        for batch in _slices(batches, SLICE):
+            rows = batch.num_rows
+            lists = words_in(batch.column("text"))
+            coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+            at, distinct = coded.indices.to_numpy(), coded.dictionary
+            filled = pc.binary_length(distinct).to_numpy() > 0
+            place = pc.fill_null(pc.index_in(distinct, head), len(head)).to_numpy()
+            rare = (place == len(head)) & filled
+            base = logs[place]
+            ids, long = own.ids(distinct.to_pylist())
+            # ids of all rows, one after the other
+            each = long[at]
+            shift = ((np.cumsum(long) - long)[at] - (np.cumsum(each) - each)).astype(np.int32)
+            ids = ids[np.repeat(shift, each) + np.arange(each.sum(), dtype=np.int32)].tobytes()
+            of = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
+            cuts = np.append(0, 2 * np.cumsum(np.bincount(of, each, minlength=rows).astype(np.int64))).tolist()
+            whole = [edge + ids[s:e] + edge for s, e in zip(cuts, cuts[1:])]
+            parts = []
+            for text in whole:
                 if size > 4 * PIECE:  # bytes
                     part, size = part + 1, 0
-                size += len(ids)
-                out.append((len(words) + 1, known, base, rare, tf, ids, part))
-            tokens, known, base, rare, tf, ids, parts = zip(*out)
+                size += len(text)
+                parts.append(part)
+            # words that are not in the head, by row
+            some = np.flatnonzero(rare[at])
+            keys, tf = np.unique(of[some] * len(distinct) + at[some], return_counts=True)
+            edges = pa.array(np.searchsorted(keys, np.arange(rows + 1) * len(distinct)).astype(np.int32))
+            tokens = np.bincount(of, filled[at], minlength=rows).astype(np.int64)
+            known = tokens - np.bincount(of[some], minlength=rows) + (ends > 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(rare, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64())), pa.array(ids, pa.binary()), pa.array(parts, pa.int64())],
+                [batch.column("id"), batch.column("held_out"), pa.array(tokens + 1), pa.array(known, pa.int64()), pa.array(np.bincount(of, base[at], minlength=rows) + end),
+                 pa.ListArray.from_arrays(edges, distinct.take(pa.array(keys % len(distinct)))), pa.ListArray.from_arrays(edges, pa.array(tf, pa.int64())),
+                 pa.array(whole, pa.binary()), pa.array(parts, pa.int64())],
                 ["id", "held_out", "n_tokens", "known", "base", "rare", "tf", "ids", "part"])
 
     kind = source.schema["id"].dataType.simpleString()
