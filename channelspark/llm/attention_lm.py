@@ -191,7 +191,7 @@ class Model:
         inner = np.ones(len(own), bool)
         inner[begin] = False
         chance = places[: len(own)][inner] * self.inside[flat[: len(own)][inner]]
-        known = shares(*self.lookup(triple_keys(flat[: len(own)], own, inner))) if counted is None else counted
+        known = shares(*self.lookup(triple_keys(flat[: len(own)], inner))) if counted is None else counted
         chance *= known[:, 1]
         chance += known[:, 0]
         return np.bincount(own[inner], np.log10(chance), minlength=len(ids))
@@ -239,13 +239,16 @@ def shares(n: np.ndarray, total: np.ndarray, freed: np.ndarray) -> np.ndarray:
     return np.column_stack([np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, freed / np.maximum(total, 1), 1)])
 
 
-def triple_keys(flat: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndarray:
+def triple_keys(flat: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """One integer per inner place for its id and the two before it (END before the start)."""
     wide = flat.astype(np.int64)
-    last = np.append(END, wide[:-1])
-    second = np.append([END, END], wide[:-2])
-    second[1:][own[1:] != np.append(-1, own[:-2])] = END
-    return ((second << 32) + (last << 16) + wide)[inner]
+    keys = wide.copy()
+    keys[1:] += wide[:-1] << 16
+    first = np.flatnonzero(~inner[:-1]) + 1
+    alone = keys[first] + (END << 32)
+    keys[2:] += wide[:-2] << 32
+    keys[first] = alone
+    return keys[inner]
 
 
 def train_here(model: Model, ids: Iterator[np.ndarray], seed: int) -> tuple[np.ndarray, int]:
@@ -370,7 +373,7 @@ def _triples_of(ids: list[np.ndarray], train: np.ndarray, shards: int) -> tuple[
     """
     own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     inner = np.append(False, own[1:] == own[:-1])
-    both = (triple_keys(np.concatenate(ids), own, inner) << 1) + train[own[inner]]
+    both = (triple_keys(np.concatenate(ids), inner) << 1) + train[own[inner]]
     both.sort()
     start = np.flatnonzero(np.append(True, np.diff(both >> 1) != 0))
     keys, n = both[start] >> 1, np.add.reduceat(both & 1, start)
@@ -404,19 +407,24 @@ def triple_counts(tokens: DataFrame, shards: int) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_key(batches):
             asked = [np.cumsum(_values(b, 6)) for b in held["triples"].to_pylist()]
-            keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+            every = np.concatenate(asked)
+            order = _order(every)
+            new = np.append(True, np.diff(every[order]) != 0)
+            keys, at = every[order][new], np.empty(len(every), np.int64)
+            at[order] = np.cumsum(new) - 1
             times = np.bincount(at, np.concatenate([_values(b, 4) for b in held["n"].to_pylist()]), minlength=len(keys)).astype(np.int64)
             heads = _heads(keys)
             total, kinds = np.add.reduceat(times, heads), np.add.reduceat((times > 0).astype(np.int64), heads)
             of = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
             ends = np.cumsum([len(a) for a in asked])
-            for i, (a, end) in enumerate(zip(asked, ends.tolist())):
+            found = []
+            for a, end in zip(asked, ends.tolist()):
                 mine = at[end - len(a) : end]
                 pairs = of[mine[_heads(a)]]
-                yield pa.RecordBatch.from_arrays(
-                    [*(held[c].slice(i, 1).combine_chunks() for c in ("piece", "first", "last", "key")),
-                     pa.array([_planes(times[mine], 5)], pa.binary()), pa.array([_planes(total[pairs], 5)], pa.binary()), pa.array([_planes(kinds[pairs], 2)], pa.binary())],
-                    ["key", "row", "last", "shard", "n", "total", "kinds"])
+                found.append((_planes(times[mine], 5), _planes(total[pairs], 5), _planes(kinds[pairs], 2)))
+            yield from pa.Table.from_arrays(
+                [*(held[c] for c in ("piece", "first", "last", "key")), *(pa.array(x, pa.binary()) for x in zip(*found))],
+                ["key", "row", "last", "shard", "n", "total", "kinds"]).combine_chunks().to_batches()
 
     asked = tokens.select(F.col("piece").alias("key"), "row", "held_out", "ids").mapInArrow(
         ask, "key bigint, piece bigint, first bigint, last bigint, triples binary, n binary")
@@ -452,7 +460,7 @@ def scored(tokens: DataFrame, model: Model, shards: int) -> DataFrame:
 def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> np.ndarray:
     """``shares`` at each inner place of ``ids``, from ``counts`` that come by shard."""
     own = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    each = triple_keys(np.concatenate(ids), own, np.append(False, own[1:] == own[:-1]))
+    each = triple_keys(np.concatenate(ids), np.append(False, own[1:] == own[:-1]))
     order = _order(each)
     each = each[order]
     new = np.append(True, each[1:] != each[:-1]) if len(each) else np.empty(0, bool)
@@ -463,10 +471,10 @@ def _counted(ids: list[np.ndarray], counts: list[dict], shards: int) -> np.ndarr
     if len(n) != len(keys) or len(total) != len(heads):
         raise RuntimeError("the counts of a piece do not fit its triples")
     pair = np.cumsum(np.bincount(heads, minlength=len(keys))) - 1
-    found, out = np.empty((len(keys), 2)), np.empty((len(each), 2))
-    found[by_shard] = shares(n, total[pair], DISCOUNT * kinds[pair])
-    out[order] = np.repeat(found, np.diff(np.flatnonzero(new), append=len(each)), axis=0)
-    return out
+    found, out = np.empty(len(keys), np.complex128), np.empty(len(each), np.complex128)  # both shares in one number
+    found[by_shard] = shares(n, total[pair], DISCOUNT * kinds[pair]).view(np.complex128).ravel()
+    out[order] = np.repeat(found, np.diff(np.flatnonzero(new), append=len(each)))
+    return out.view(np.float64).reshape(-1, 2)
 
 
 def _clusters(signs: np.ndarray, count: int) -> np.ndarray:
