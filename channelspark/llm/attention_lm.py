@@ -614,16 +614,19 @@ def score_documents(
             rows = batch.num_rows
             lists = words_in(batch.column("text"))
             coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-            at, distinct = coded.indices.to_numpy(), coded.dictionary
+            at, distinct = coded.indices.to_numpy().astype(np.intp), coded.dictionary
             filled = pc.binary_length(distinct).to_numpy() > 0
             place = pc.fill_null(pc.index_in(distinct, head), len(head)).to_numpy()
             rare = (place == len(head)) & filled
             base = logs[place]
             ids, long = own.ids(distinct.to_pylist())
-            # ids of all rows, one after the other
-            each = long[at]
-            shift = ((np.cumsum(long) - long)[at] - (np.cumsum(each) - each)).astype(np.int32)
-            ids = ids[np.repeat(shift, each) + np.arange(each.sum(), dtype=np.int32)].tobytes()
+            each, begin = long[at], np.cumsum(long) - long
+            pieces = []  # ids of all rows, one after the other
+            for s in range(0, len(at), TOGETHER):
+                n = each[s : s + TOGETHER]
+                shift = begin[at[s : s + TOGETHER]] - (np.cumsum(n) - n)
+                pieces.append(ids[np.repeat(shift, n) + np.arange(n.sum())].tobytes())
+            ids = b"".join(pieces)
             of = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
             cuts = np.append(0, 2 * np.cumsum(np.bincount(of, each, minlength=rows).astype(np.int64))).tolist()
             whole = [edge + ids[s:e] + edge for s, e in zip(cuts, cuts[1:])]
