@@ -99,10 +99,11 @@ class MTree:
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) by score, then smaller id, without the id ``own``."""
-        return self.search_block(query[None], np.array([own]), k)[0]
+        _, scores, keys = self.search_block(query[None], np.array([own]), k)
+        return list(zip(scores.tolist(), keys.tolist()))
 
-    def search_block(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """What ``search`` returns, for each of the queries.
+    def search_block(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the queries, scores and ids of all that ``search`` finds for each of them.
 
         A page is read once, for all queries that it can still serve, and pages come by the least distance at which one
         of their queries can find something. The first bounds are those of the pages to which the nearest pivots lead.
@@ -113,7 +114,6 @@ class MTree:
         vectors, queries, norms = self.vectors.astype(kind), queries.astype(kind), norms.astype(kind)
         lengths = np.sqrt(self._double(norms, 2))
         slack = np.maximum(SLACK, 2.0**-50 * (queries.shape[1] + 5) * (lengths + math.sqrt(self.bound / self.unit**2)))  # rounding of distances
-        best: list[list[tuple[int, int]]] = [[] for _ in queries]  # heaps of (score, -id), the worst first
         # a score that each query's k-th best has at least, the largest id of use at this score, and its distance with slack
         worst, last, far = np.full(len(queries), -most - 1, kind), np.full(len(queries), np.iinfo(np.int64).max), np.full(len(queries), np.inf)
 
@@ -134,41 +134,53 @@ class MTree:
         some = np.flatnonzero(worst > -most - 1)
         far[some] = self._apart(norms[some], worst[some]) + slack[some]
 
+        found, pending = [(np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, self.ids.dtype))], 0
+
+        def settle() -> None:
+            """Keep the k best of what was found, and tighten the bounds of queries that have as many."""
+            asks, scores, keys = (np.concatenate(column) for column in zip(*found))
+            by = np.lexsort((keys, -scores, asks))
+            asks, scores, keys = asks[by], scores[by], keys[by]
+            place = np.arange(len(asks)) - np.searchsorted(asks, asks)
+            found[:] = [(asks[place < k], scores[place < k], keys[place < k])]
+            full, kth = asks[place == k - 1], place == k - 1
+            worst[full], last[full] = scores[kth], keys[kth]
+            far[full] = self._apart(norms[full], worst[full]) + slack[full]
+
         order = count()
         todo = [(0.0, next(order), self.root, np.arange(len(queries)), lengths, np.zeros(len(queries)))]
         while todo:
             _, _, node, asks, d, low = heapq.heappop(todo)
+            bound = far[asks]
+            if not (low <= bound).all():
+                needed = np.flatnonzero(low <= bound)
+                if not len(needed):
+                    continue
+                asks, d, bound = asks[needed], d[needed], bound[needed]
+            # the entries whose distances from the page's pivot are within reach of those of the queries
             reach = node.radius if node.children else 0.0
-            # distances from the page's pivot at which the entries have something, and at which the queries still can find something
-            start, end = node.to_parent - reach, node.to_parent + reach
-            inner, outer = d - far[asks], d + far[asks]
-            needed = (low <= far[asks]) & (start.min() <= outer) & (inner <= end.max())
-            if not needed.any():
+            entries = np.flatnonzero((node.to_parent - reach <= (d + bound).max()) & ((d - bound).min() <= node.to_parent + reach))
+            if not len(entries):
                 continue
-            asks, entries = asks[needed], np.flatnonzero((start <= outer[needed].max()) & (inner[needed].min() <= end))
             rows = node.rows[entries]
             scores = scores_of(asks, rows)
             if node.children:
-                apart = self._apart(norms[asks, None], scores)
-                low = np.maximum(apart - node.radius[entries], 0.0)
-                for i, entry in enumerate(entries.tolist()):
-                    group = np.flatnonzero(low[:, i] <= far[asks])
-                    if len(group):
-                        heapq.heappush(todo, (float(low[group, i].min()), next(order), node.children[entry], asks[group], apart[group, i], low[group, i]))
+                apart = self._apart(norms[asks], scores.T)
+                low = np.maximum(apart - node.radius[entries, None], 0.0)
+                for i, least, own_apart, own_low in zip(entries.tolist(), low.min(1).tolist(), apart, low):
+                    heapq.heappush(todo, (least, next(order), node.children[i], asks, own_apart, own_low))
                 continue
             at, column = np.divmod(np.flatnonzero(scores >= worst[asks, None]), len(rows))
             asks, scores, keys = asks[at], scores[at, column], self.ids[rows[column]]
             better = ((scores > worst[asks]) | (keys <= last[asks])) & (keys != own[asks])
-            for ask, score, key in zip(asks[better].tolist(), scores[better].tolist(), keys[better].tolist()):
-                if len(best[ask]) < k:
-                    heapq.heappush(best[ask], (score, -key))
-                else:
-                    heapq.heappushpop(best[ask], (score, -key))
-            full = [ask for ask in np.unique(asks[better]).tolist() if len(best[ask]) == k]
-            if full:
-                worst[full], last[full] = [best[ask][0][0] for ask in full], [-best[ask][0][1] for ask in full]
-                far[full] = self._apart(norms[full], worst[full]) + slack[full]
-        return [[(int(score), -key) for score, key in sorted(heap, reverse=True)] for heap in best]
+            found.append((asks[better], scores[better], keys[better]))
+            pending += len(found[-1][0])
+            if pending > k * len(queries) // 2:
+                settle()
+                pending = 0
+        settle()
+        asks, scores, keys = found[0]
+        return asks, scores if kind is object else scores.astype(np.int64), keys
 
 
 def fitting(score: int) -> tuple[int, int]:
@@ -245,8 +257,9 @@ def exact_top_k(
             if block == 0:
                 tree, of = MTree(ids, matrix, largest), shard
             elif of == shard:
-                found = [(asker, other, *fitting(score)) for asker, answer in zip(ids.tolist(), tree.search_block(matrix, ids, k)) for score, other in answer]
-                columns = np.array(found, np.int64).reshape(-1, 4).T
+                asks, scores, others = tree.search_block(matrix, ids, k)
+                fits = np.array([fitting(score) for score in scores.tolist()], np.int64).reshape(-1, 2)
+                columns = ids[asks], others, fits[:, 0], fits[:, 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "beyond"])
 
     found = both.repartitionById(shards, "shard").sortWithinPartitions("key").mapInArrow(
